@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
+from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.media import op3_media_columns
+from pursebook.llm.warc import op5_warc
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_media_columns": op3_media_columns,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_warc": op5_warc,
 }
 
 #: Words of the decontamination contract.
@@ -28,5 +32,14 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+       CAST(NULL AS VARCHAR) AS error
+FROM f
 """,
 }
