@@ -6,6 +6,7 @@ from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
 from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.media import op3_media_columns
+from pursebook.llm.quality import op6_quality_classifier
 from pursebook.llm.warc import op5_warc
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
+    "op6_quality_classifier": op6_quality_classifier,
 }
 
 #: Words of the decontamination contract.
