@@ -5,6 +5,7 @@ from __future__ import annotations
 from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
 from pursebook.llm.html_text import op2_html_extraction
+from pursebook.llm.language import op9_language_id
 from pursebook.llm.media import op3_media_columns
 from pursebook.llm.quality import op6_quality_classifier
 from pursebook.llm.warc import op5_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 
 #: Words of the decontamination contract.
