@@ -6,6 +6,7 @@ from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
 from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.language import op9_language_id
+from pursebook.llm.line_dedup import op8_line_dedup
 from pursebook.llm.media import op3_media_columns
 from pursebook.llm.quality import op6_quality_classifier
 from pursebook.llm.warc import op5_warc
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
 }
 
@@ -45,5 +47,17 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
        CAST(NULL AS VARCHAR) AS error
 FROM f
+""",
+    "op8_line_dedup": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+     w AS (SELECT doc_id, k, l[k] || chr(10) || l[k + 1] || chr(10) || l[k + 2] AS s
+           FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS k FROM d WHERE len(l) >= 3)),
+     r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM w),
+     g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 3)) AS k FROM r WHERE n > 1),
+     a AS (SELECT doc_id, k, l[k] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM d)),
+     t AS (SELECT a.doc_id, count(g.k) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY a.k) FILTER (WHERE g.k IS NULL), '') AS kept
+           FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.k = a.k GROUP BY 1)
+SELECT d.doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(l) END AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS text_sha256
+FROM d JOIN t USING (doc_id)
 """,
 }
