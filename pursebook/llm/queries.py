@@ -9,6 +9,7 @@ from pursebook.llm.language import op9_language_id
 from pursebook.llm.line_dedup import op8_line_dedup
 from pursebook.llm.media import op3_media_columns
 from pursebook.llm.quality import op6_quality_classifier
+from pursebook.llm.toxicity import op10_toxicity
 from pursebook.llm.warc import op5_warc
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_quality_classifier": op6_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 #: Words of the decontamination contract.
