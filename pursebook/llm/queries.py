@@ -8,6 +8,7 @@ from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.language import op9_language_id
 from pursebook.llm.line_dedup import op8_line_dedup
 from pursebook.llm.media import op3_media_columns
+from pursebook.llm.near_dup import op7_minhash_near_dedup
 from pursebook.llm.quality import op6_quality_classifier
 from pursebook.llm.toxicity import op10_toxicity
 from pursebook.llm.warc import op5_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_warc": op5_warc,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
