@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, read_table, record, text_key
+from pursebook.llm.common import byte_rows, column_function, read_table, record, stored, text_key
 
 WINDOW_WORDS = 10
 #: Text of the benchmark that one broadcast may hold.
@@ -155,6 +155,16 @@ def find_benchmark_windows(
     return joined.select(doc_col, "n_words", "hits", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark window."""
+    blocks = 0
+    for items in pattern_blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = stored(docs, "clean") if blocks else docs
+        docs = docs.where(F.size(searcher(docs.sparkSession, build_tables(items, window), window)(text_col)["hits"]) == 0)
+        blocks += 1
+    return docs
+
+
 VERDICT = record(n_hit=pa.int64(), n_items=pa.int64(), items_sha256=pa.string(), contaminated=pa.bool_())
 
 
