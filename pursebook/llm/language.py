@@ -41,7 +41,8 @@ UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-_GAP = b"   "
+#: Around each text, so that no gram reaches into its neighbour.
+_BEFORE, _AFTER = b" ", b"  "
 
 
 def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,8 +63,8 @@ def count_vectors(texts: list[str]) -> np.ndarray:
         nonlocal held, size
         if not held:
             return
-        joined = np.frombuffer(_GAP.join(b for _, b in held) + _GAP, np.uint8)
-        lengths = np.array([len(b) + len(_GAP) for _, b in held])
+        joined = np.frombuffer(b"".join(_BEFORE + b + _AFTER for _, b in held), np.uint8)
+        lengths = np.array([len(b) + len(_BEFORE + _AFTER) for _, b in held])
         local = np.repeat(np.arange(len(held), dtype=np.int64), lengths)[:-2] << BITS
         blank = (joined[:-2] == 32) & (joined[1:-1] == 32)
         total = np.zeros(len(held) << BITS, np.int64)
