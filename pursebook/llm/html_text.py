@@ -1,8 +1,8 @@
 """Main text of HTML pages by tree scoring (operator 2).
 
 A page is tokenised leniently and built into a tree with implied end tags.  Scripts,
-menus, forms, page headers and footers, side bars, notices, adverts and reader comments
-are left out by element, role and class.  Every paragraph then passes points for its
+menus, forms, headers and footers, side bars, notices, adverts and reader comments are
+left out by element, role and class; of an article's own header its headings stay.  Every paragraph then passes points for its
 length and its commas to its ancestors, halved at each of the first steps; a container's
 points are discounted by the share of its text that is links.  The best container is
 kept, widened to the article (or main element) around it, and with it those siblings
@@ -65,12 +65,12 @@ SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "chars", "link_chars", "links", "points", "order")
+    __slots__ = ("tag", "attrs", "parent", "children", "dropped", "chars", "link_chars", "links", "points", "order", "headings_only")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None", order: int):
         self.tag, self.attrs, self.parent, self.order = tag, attrs, parent, order
         self.children: list = []
-        self.dropped = False
+        self.dropped = self.headings_only = False
         self.chars = self.link_chars = self.links = 0
         self.points = 0.0
 
@@ -166,6 +166,10 @@ def _holds_article(node: Node) -> bool:
     return False
 
 
+def is_heading(node: Node) -> bool:
+    return len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit()
+
+
 def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
     """(block element, text, characters inside links) in page order; drops the boilerplate."""
     out: list[tuple[Node, str, int]] = []
@@ -174,8 +178,9 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
 
     def flush() -> None:
         text = " ".join(_html.unescape("".join(parts)).split()) if parts else ""
-        if text:
-            out.append((state["block"], text, min(len(text), state["link"])))
+        block = state["block"]
+        if text and not (block.headings_only and not is_heading(block)):
+            out.append((block, text, min(len(text), state["link"])))
         parts.clear()
         state["link"] = 0
 
@@ -195,6 +200,7 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
             if c.tag in ("br", "wbr"):
                 parts.append(" " if c.tag == "br" else "")
                 continue
+            c.headings_only = node.headings_only or c.tag == "header"  # an article's own header
             c.dropped = is_boilerplate(c)
             if c.dropped:
                 if c.tag in BLOCK:
@@ -228,7 +234,7 @@ def main_blocks(root: Node) -> list[str]:
     touched: dict[int, Node] = {}
     for node, text, link in blocks:
         points = (1 + len(_COMMAS.findall(text)) + min(len(text) / 100, 3.0)) * (1 - link / len(text))
-        heading = len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1].isdigit()
+        heading = is_heading(node)
         up, level = node if node.tag not in ("p", "pre", "li", "td", "th", "dd", "dt", "blockquote") and not heading else node.parent or node, 0
         walk = node
         while walk is not None:
