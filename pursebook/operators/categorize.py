@@ -37,7 +37,8 @@ def rule_column(rules: DataFrame, text: str = "description_raw") -> Column:
         value = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category_id"))
         hit = F.col(text).rlike(f"(?i)(?:{pattern})")
         found = F.when(hit, value) if found is None else found.when(hit, value)
-    return found if found is not None else F.lit(None).cast("struct<rule_id:int,category_id:int>")
+    kind = rules.schema["category_id"].dataType.simpleString()
+    return found if found is not None else F.lit(None).cast(f"struct<rule_id:int,category_id:{kind}>")
 
 
 def leaves(categories: DataFrame) -> DataFrame:
@@ -68,15 +69,20 @@ def decide(txns: DataFrame, rules: DataFrame, classify: Callable[[Column, Column
     ``classify`` (label, amount, direction) -> struct<category_id, confidence> is asked only
     where no rule matches, and believed from CONFIDENCE on.  The spend flag never changes."""
     rows = txns.where(F.col("status") == "NEEDS_REVIEW").withColumn("rule", rule_column(rules))
-    model = classify(merchant_label(F.col("description_raw"), F.col("counterparty")), F.col("amount_paisa"), F.col("direction")) if classify else F.lit(None).cast("struct<category_id:int,confidence:double>")
-    rows = rows.withColumn("model", F.when(F.col("rule").isNull(), model))
-    sure = F.col("model.confidence") >= CONFIDENCE
     by_rule = F.col("rule").isNotNull()
+    category, source = F.when(by_rule, F.col("rule.category_id")), F.when(by_rule, F.lit("rule"))
+    confidence, filed = F.when(by_rule, 1.0), by_rule
+    if classify:
+        answer = classify(merchant_label(F.col("description_raw"), F.col("counterparty")), F.col("amount_paisa"), F.col("direction"))
+        rows = rows.withColumn("model", F.when(~by_rule, answer))
+        sure = F.coalesce(F.col("model.confidence") >= CONFIDENCE, F.lit(False))
+        category, source = category.when(sure, F.col("model.category_id")), source.when(sure, F.lit("llm"))
+        confidence, filed = confidence.when(sure, F.col("model.confidence")), filed | sure
     return rows.withColumns({
-        "category_id": F.when(by_rule, F.col("rule.category_id")).when(sure, F.col("model.category_id")).otherwise(F.col("category_id")),
-        "category_source": F.when(by_rule, "rule").when(sure, "llm").otherwise(F.col("category_source")),
-        "confidence": F.when(by_rule, 1.0).when(sure, F.col("model.confidence")),
-        "status": F.when(by_rule | sure, "CATEGORIZED").otherwise("NEEDS_REVIEW"),
+        "category_id": category.otherwise(F.col("category_id")),
+        "category_source": source.otherwise(F.col("category_source")),
+        "confidence": confidence,
+        "status": F.when(filed, "CATEGORIZED").otherwise("NEEDS_REVIEW"),
     }).drop("rule", "model")
 
 

@@ -12,14 +12,21 @@ GAP_KEY = ("account_id", "after_txn_id", "before_txn_id")
 RECONCILER = "RECONCILER"
 
 
-def find_gaps(rows: DataFrame) -> DataFrame:
+def find_gaps(rows: DataFrame, bucket: str = "month") -> DataFrame:
     """Neighbours in an account's chain whose balances do not add up.
 
-    Rows without a balance leave first, with their amount: what they moved is a gap."""
-    order = W.partitionBy("account_id").orderBy("occurred_at", "id")
-    chain = rows.where(F.col("balance_after_paisa").isNotNull()).withColumns({"after_txn_id": F.lag("id").over(order), "was": F.lag("balance_after_paisa").over(order)})
-    missing = F.col("balance_after_paisa") - F.col("was") - signed(F.col("amount_paisa"), F.col("direction"))
-    return chain.where("after_txn_id is not null").select("account_id", "after_txn_id", F.col("id").alias("before_txn_id"), missing.alias("missing_paisa")).where("missing_paisa <> 0")
+    Rows without a balance leave first, with their amount: what they moved is a gap.
+    An account may be very large, so its chain is sorted in pieces of a month; the first
+    row of a piece finds its predecessor among the last rows of the pieces, one each."""
+    chain = rows.where(F.col("balance_after_paisa").isNotNull()).withColumn("piece", F.date_trunc(bucket, "occurred_at"))
+    at, own = F.struct("occurred_at", "id"), F.struct(F.col("id").alias("p"), F.col("balance_after_paisa").alias("b"))
+    lasts = chain.groupBy("account_id", "piece").agg(F.max_by(own, at).alias("last"))
+    before = lasts.select("account_id", "piece", F.lag("last").over(W.partitionBy("account_id").orderBy("piece")).alias("carried"))
+    order = W.partitionBy("account_id", "piece").orderBy("occurred_at", "id")
+    linked = chain.withColumn("inner", F.lag(own).over(order)).join(before, ["account_id", "piece"]).withColumn("prev", F.coalesce("inner", "carried"))
+    missing = F.col("balance_after_paisa") - F.col("prev.b") - signed(F.col("amount_paisa"), F.col("direction"))
+    found = linked.where("prev is not null").select("account_id", F.col("prev.p").alias("after_txn_id"), F.col("id").alias("before_txn_id"), missing.alias("missing_paisa"))
+    return found.where("missing_paisa <> 0")
 
 
 def record_gaps(known: DataFrame, found: DataFrame) -> DataFrame:
