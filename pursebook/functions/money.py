@@ -14,7 +14,7 @@ def parse_subunit(text: Column, decimals: int = 2) -> Column:
 
 def parse_paisa(text: Column) -> Column:
     """What a person types: optional currency, commas, at most two decimals; else null."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?i)rs\.?|npr", ""), ",", ""))
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), ",", ""), r"^(?:Rs\.?|NPR)\s*", "")
     return F.when(bare.rlike(r"^\d+(\.\d{1,2})?$"), (bare.try_cast("decimal(20,2)") * 100).cast("long"))
 
 

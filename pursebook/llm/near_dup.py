@@ -49,6 +49,8 @@ MATCHES = 17
 BLOCK_ROWS = 2000
 #: Shingles of one block of a component, where its texts are long.
 BLOCK_SHINGLES = 2_000_000
+#: Classes with more than one row in so many are joined by broadcast.
+HOT_CLASSES = 1000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -312,7 +314,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     """(id_col, n_shingles, component_id, kept) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = stored(rows.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketch")
-    classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
+    classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     classes = stored(classes.where("rep is not null").withColumn("node", F.xxhash64("set_key")), "classes")
     near = stored(components(candidate_edges(classes.select("node", "sig"), block_rows)), "candidates")
     members = classes.select("node", "rep", "set_key", "n_shingles").join(near, "node")
@@ -322,7 +324,14 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     named = owned.join(owned.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_key", "component_id")
     alone = classes.select("set_key", "rep")
     names = alone.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("id", "n_shingles", "set_key").join(names, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    # Rows of the few classes with very many copies look their names up by broadcast: a
+    # class is one of those if it has over 1 / HOT_CLASSES of all rows, so there are at
+    # most HOT_CLASSES.  No other key can weigh down a task of the join.
+    own = sketched.select("id", "n_shingles", "set_key")
+    hot = classes.where(F.col("copies") > sketched.count() / HOT_CLASSES).select("set_key")
+    few = own.join(F.broadcast(hot.join(names, "set_key")), "set_key")
+    rest = own.join(F.broadcast(hot), "set_key", "left_anti").join(names, "set_key", "left")
+    out = few.unionByName(rest).withColumn("component_id", F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 

@@ -50,7 +50,7 @@ def manual_entries(drafts: DataFrame) -> DataFrame:
     """Drafts (user_id, account_id, occurred_at, direction, amount_paisa, description, currency,
     balance_after_paisa, category_id, note) as transactions; unusable ones are left out."""
     note = F.nullif(F.trim("note"), F.lit(""))
-    key = manual_key(F.col("account_id"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("direction"), F.col("amount_paisa"), F.col("currency"), F.col("description"), note)
+    key = manual_key(F.col("account_id"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("direction"), F.col("amount_paisa"), F.col("currency"), F.trim("description"), note)
     ok = (F.col("amount_paisa") > 0) & F.col("direction").isin("DEBIT", "CREDIT") & (F.coalesce(F.length(note), F.lit(0)) <= NOTE_LIMIT)
     return drafts.where(ok).select(
         row_id(F.lit("txn"), F.col("user_id"), key).alias("id"), "user_id", "account_id", "occurred_at", F.lit("MINUTE").alias("occurred_precision"), "direction", "amount_paisa", "balance_after_paisa", "currency",

@@ -30,7 +30,9 @@ LAXMI_SMS = r"(?is)Your #(\S+) has been (debited|credited) by NPR\s*([\d,]+\.\d{
 QR_REFERENCE = r"([A-Z0-9]{6,})/([^,;]+)"
 NABIL_CARD = r"(?s)Your Debit Card (\S+) was used at (.+?) for Purchase of ([A-Z]{3}) ([\d,]+\.\d{2}) on (\d{2}-[A-Z]{3}-\d{2})"
 STATEMENT_SENDER = "ESEWA_STATEMENT"
-BANK_STATEMENT_SENDERS = ("BANK_STATEMENT", "NABIL_STATEMENT", "LAXMI_STATEMENT")
+STATEMENT_SUFFIX = "_STATEMENT"
+WALLET_DOMAIN, LOAD_PHRASE, PAYMENT_PHRASE = "esewa.com.np", "Your fund load from bank details", "Thank you for the payment"
+ACCOUNT_NUMBER = r"(?i)(?:Account\s*(?:Number|No\.?)|A/C\s*No\.?)\s*[:.]?\s*(\d{8,20})"
 SHEET_HEADER = ("Reference Code", "Date Time", "Description", "Dr.", "Cr.", "Status", "Balance (NPR)", "Channel")
 #: Remark lines of statements that are no transactions.
 NOT_ROWS = ("opening balance", "closing balance", "total", "carried over")
@@ -45,19 +47,19 @@ def route_sms(messages: DataFrame) -> DataFrame:
         F.when(both.contains("NABIL") & F.col("body").rlike(NABIL_SMS), "nabil.sms_alert")
         .when(both.contains("LAXMI") & F.col("body").rlike(LAXMI_SMS), "laxmi.sms_alert")
         .when(F.col("sender") == STATEMENT_SENDER, "esewa.statement_row")
-        .when(F.col("sender").isin(*BANK_STATEMENT_SENDERS), "bank.statement_row"),
+        .when(F.col("sender").endswith(STATEMENT_SUFFIX), "bank.statement_row"),
     )
 
 
 def route_email(mails: DataFrame) -> DataFrame:
-    """mails (from_addr, subject, text): template_key of the first parser that fits."""
+    """mails (from_addr, subject, text, html): template_key of the first parser that fits."""
     sender, subject = F.lower("from_addr"), F.lower("subject")
     return mails.withColumn(
         "template_key",
         F.when(sender.contains("card-no-reply@nabilbank.com") | subject.contains("debit and credit txn"), "nabil.card_txn")
         .when(sender.contains("nabilbank.com") & F.col("text").contains("Transaction Alert"), "nabil.txn_alert")
-        .when(sender.contains("esewa.com") & subject.contains("fund load"), "esewa.fund_load")
-        .when(sender.contains("esewa.com") & subject.contains("payment"), "esewa.payment_success"),
+        .when(sender.contains(WALLET_DOMAIN) & F.col("html").contains(LOAD_PHRASE), "esewa.fund_load")
+        .when(sender.contains(WALLET_DOMAIN) & F.col("html").contains(PAYMENT_PHRASE), "esewa.payment_success"),
     )
 
 
@@ -135,6 +137,13 @@ def sheet_rows(grid: DataFrame) -> DataFrame:
     return body.select(F.col("file_id").alias("message_id"), "row_no", "reference", cell("Date Time").alias("datetime_str"), cell("Description").alias("description"), cell("Dr.").alias("dr"), cell("Cr.").alias("cr"), cell("Balance (NPR)").alias("balance"), cell("Channel").alias("channel"))
 
 
+def statement_heads(texts: DataFrame) -> DataFrame:
+    """(file_id, sender, text) of whole statements: institution and account number from the text."""
+    low, number = F.lower("text"), F.regexp_extract("text", ACCOUNT_NUMBER, 1)
+    named = F.when(low.contains("laxmi") | low.contains("sunrise"), "LAXMI").when(low.contains("nabil"), "NABIL")
+    return texts.select("file_id", F.coalesce(named, F.when(F.col("sender").contains("LAXMI"), "LAXMI"), F.lit("NABIL")).alias("institution"), F.nullif(number, F.lit("")).alias("account_mask"))
+
+
 def headerless_files(grid: DataFrame) -> DataFrame:
     """Files without a header row: an error, not an empty statement."""
     header = F.array(*[F.lit(h) for h in SHEET_HEADER])

@@ -72,7 +72,7 @@ def group_shares(leaves: DataFrame) -> DataFrame:
     groups = leaves.groupBy("side", "group_name").agg(F.sum("spent_paisa").alias("spent_paisa"), F.sum("txn_count").alias("txn_count"))
     side = W.partitionBy("side")
     percent = F.col("spent_paisa") * 100 / F.sum("spent_paisa").over(side)
-    text = F.when(percent < 1, "<1%").otherwise(F.concat(F.round(percent, 0).cast("int").cast("string"), F.lit("%")))
+    text = F.when((percent > 0) & (percent < 1), "<1%").otherwise(F.concat(F.round(percent, 0).cast("int").cast("string"), F.lit("%")))
     return groups.withColumns({
         "rank": F.row_number().over(side.orderBy(F.desc("spent_paisa"), "group_name")),
         "share": F.when(F.col("side") == "spend", text),

@@ -61,8 +61,16 @@ def test_windows():
     for bad in ("0d", "x", "3q", ""):
         with pytest.raises(ValueError):
             clock.parse_window(bad, account_start=start, now=now)
-    assert clock.describe_window(now - timedelta(days=92), now=now) == "about 3 months back"
-    assert clock.describe_window(now - timedelta(days=1), now=now) == "about 1 day back"
+    assert clock.describe_window(now - timedelta(days=92), now=now) == "2026-06-15 (about 3 months back)"
+    assert clock.describe_window(now - timedelta(days=1), now=now) == "2026-09-14 (about 1 day back)"
+
+
+def test_labels(spark):
+    t = lambda x: F.lit(x).cast("timestamp_ntz")
+    ago = lambda x: clock.time_ago(t(x), t("2026-03-01 12:00:00"))
+    day = lambda x: clock.day_label(F.lit(x).cast("date"), F.lit("2026-03-01").cast("date"))
+    row = spark.range(1).select(ago("2026-03-01 11:59:30"), ago("2026-03-01 11:00:00"), ago("2026-02-27 12:00:00"), ago("2026-02-15 12:00:00"), ago("2025-12-01 12:00:00"), day("2026-03-01"), day("2026-02-28"), day("2026-02-25"), day("2026-02-01"), day("2025-12-31")).first()
+    assert tuple(row) == ("just now", "1h ago", "2d ago", "2w ago", "3mo ago", "Today", "Yesterday", "Wednesday", "Sun 1 Feb", "Wed 31 Dec 2025")
 
 
 @pytest.mark.parametrize("remark,channel", [("ATM WDL X", "ATM"), ("MPAY FPQR,1", "FONEPAY"), ("MPAY 12", "MOBILE_BANKING"), ("Salary for May", "SALARY"), ("atm wdl", None), ("ESW DLA:1", "ESEWA_LOAD")])

@@ -64,6 +64,11 @@ def test_bank_statement(spark):
     assert [(r.direction, r.amount_paisa, r.balance_after_paisa, r.description_raw, r.account_mask, r.dedupe_key) for r in out] == [("DEBIT", 500, 500, "ATM WDL", "00178901", "nabil_stmt:f:0"), ("CREDIT", 750, 1250, "Salary", "00178901", "nabil_stmt:f:1")]
 
 
+def test_statement_heads(spark):
+    df = spark.createDataFrame([("f", "BANK_STATEMENT", "Laxmi Sunrise Bank A/C No.: 0123456789 x"), ("g", "LAXMI_STATEMENT", "nothing"), ("h", "X_STATEMENT", "Nabil Account Number 00112345678901")], "file_id string, sender string, text string")
+    assert {tuple(r) for r in parsing.statement_heads(df).collect()} == {("f", "LAXMI", "0123456789"), ("g", "LAXMI", None), ("h", "NABIL", "00112345678901")}
+
+
 def test_sources(spark):
     inbox = spark.createDataFrame([("NABIL_ALERT", "x", datetime(2026, 1, 2)), ("promo", "y", datetime(2026, 1, 3)), (None, "z", datetime(2026, 1, 3)), ("My_nabil", "w", datetime(2026, 1, 1))], "sender string, body string, received_at timestamp_ntz")
     assert [r.body for r in messages.scan_sms(inbox, F.lit("2025-12-31").cast("timestamp_ntz"), ["nabil"]).collect()] == ["w", "x"]
