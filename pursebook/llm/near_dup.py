@@ -18,9 +18,10 @@ where the sets' Jaccard similarity reaches ``threshold``; a group is what links
    full sets by a search that visits each class once and again emits a forest only.
 6. Components over the confirmed links give component_id; every row looks up its class.
 
-Large lists and components are dealt into blocks of at most ``BLOCK_ROWS`` classes, and
-every two blocks meet in a task of their own: memory of a task is bounded by two blocks,
-no link is lost, and the union of the blocks' forests connects what the links connect.
+Large lists and components are dealt into blocks of about ``BLOCK_ROWS`` classes.  Each
+block is searched with a few pivots of the whole; then only what does not hang together
+yet meets, two blocks to a task.  Memory of a task is bounded by two blocks, no link is
+lost, and the union of the forests connects what the links connect.
 
 Defined results: null or empty texts and texts without words have empty sets and are
 linked with nothing; fewer than five words are one shingle; repeated rows are in one
@@ -46,7 +47,9 @@ LINK_NUMERATOR, LINK_DENOMINATOR = 85, 100
 COORDINATES = 32
 #: At a similarity of 0.85 a pair agrees in fewer than 17 of 32 with probability 3.5e-6.
 MATCHES = 17
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 500
+#: Rows, about, of a large group that every one of its blocks sees.
+PIVOTS = 8
 #: Shingles of one block of a component, where its texts are long.
 BLOCK_SHINGLES = 2_000_000
 #: Classes with more than one row in so many are joined by broadcast.
@@ -144,14 +147,6 @@ def posting_keys(sig: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * COORDINATES), pa.array(keys.ravel()))
 
 
-def in_blocks(rows: DataFrame, member: str, blocks: Column) -> DataFrame:
-    """Adds ``cell``: every two of a group's blocks share one; a group of one block has one."""
-    n = blocks.cast("int")
-    own = F.pmod(F.xxhash64(F.col(member), F.lit(77)), n)
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.least(own, other) * n + F.greatest(own, other))
-    return rows.withColumn("cell", F.explode(F.when(n <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
-
-
 def edges_by_cell(rows: DataFrame, group: str, find: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
     """(a, b) that ``find`` yields for the rows of each (group, cell).
 
@@ -194,6 +189,34 @@ def edges_by_cell(rows: DataFrame, group: str, find: Callable[[pa.Table], list[t
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def group_edges(rows: DataFrame, sizes: DataFrame, group: str, attach: Callable[[DataFrame], DataFrame], find: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that connect what all the pairs within each group that ``find`` accepts would.
+
+    rows: (group, node, ...); sizes: (group, n, blocks); ``attach`` adds what ``find`` reads.
+    A group of one block is one cell.  A larger one is first searched block by block, with
+    the same few pivots in every block, which joins most of a group of near copies.  What
+    hangs together needs no more comparing: only the rows outside the group's largest
+    component then meet all of its blocks.  So the work is linear where a group hangs
+    together, and every two rows that do not are compared, whatever the group's size."""
+    n, blocks, others = F.col("n"), F.col("blocks"), F.col("others")
+    place = lambda count: F.pmod(F.xxhash64("node", F.lit(77)), count)
+    upto = lambda count: F.sequence(F.lit(0).cast("bigint"), count - 1)
+    pivot = (blocks > 1) & (F.pmod(F.xxhash64("node", F.lit(78)), n) < PIVOTS)
+    cells = F.when(pivot, upto(blocks)).otherwise(F.array(place(blocks)))
+    first = edges_by_cell(attach(rows.join(sizes, group).withColumn("cell", F.explode(cells))), group, find)
+    large = stored(sizes.where("blocks > 1"), "large-groups")
+    if large.isEmpty():
+        return first
+    stars = stored(components(first).select(F.col("node"), F.col("comp").alias("part")), "stars")
+    held = rows.join(large, group).join(stars, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parts = held.groupBy(group, "part").agg(F.count("*").alias("k")).groupBy(group).agg(F.max_by("part", F.struct("k", "part")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
+    open_groups = held.join(parts.where("rest > 0"), group).withColumn("others", F.ceil(F.col("rest") * blocks / n))
+    as_any = F.transform(upto(others), lambda i: i * blocks + place(blocks))
+    as_other = F.when(F.col("part") != F.col("main"), F.transform(upto(blocks), lambda j: place(others) * blocks + j)).otherwise(F.array().cast("array<bigint>"))
+    second = edges_by_cell(attach(open_groups.withColumn("cell", F.explode(F.array_union(as_any, as_other)))), group, find)
+    return stars.select(F.col("node").alias("a"), F.col("part").alias("b")).unionByName(second)
+
+
 def forest(n: int, order: np.ndarray, neighbours) -> Iterator[tuple[int, int]]:
     """Edges that connect what the links connect; each row is visited once.
 
@@ -224,9 +247,9 @@ def candidate_edges(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFra
     posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key")
     posted = stored(posted, "postings")
     lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = posted.join(lists, "key").join(classes.select("node", "sig"), "node")
-    rows = in_blocks(rows, "node", F.ceil(F.col("n") / block_rows)).select("key", "cell", "node", "sig")
-    return edges_by_cell(rows, "key", signature_forest)
+    sizes = lists.withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    signatures = lambda dealt: dealt.select("key", "cell", "node").join(classes.select("node", "sig"), "node")
+    return group_edges(posted, sizes, "key", signatures, signature_forest)
 
 
 def signature_forest(rows: pa.Table) -> list[tuple[int, int]]:
@@ -269,9 +292,10 @@ def confirmed_links(members: DataFrame, texts: DataFrame, block_rows: int = BLOC
     components, on full sets.  texts: (rep, text)."""
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles))
-    rows = in_blocks(members.join(sizes, "comp").withColumn("blocks", F.least(blocks, F.col("n"))), "node", F.col("blocks"))
-    rows = rows.select("comp", "cell", "node", "rep", "set_key").join(texts, "rep").select("comp", "cell", "node", "set_key", "text")
-    return edges_by_cell(rows, "comp", text_forest)
+    sizes = sizes.select("comp", "n", F.least(blocks, F.col("n")).alias("blocks"))
+    own = stored(members.join(texts, "rep").select("node", "set_key", "text"), "candidate-texts")
+    with_texts = lambda dealt: dealt.select("comp", "cell", "node").join(own, "node")
+    return group_edges(members.select("comp", "node"), sizes, "comp", with_texts, text_forest)
 
 
 def text_forest(rows: pa.Table) -> list[tuple[int, int]]:
