@@ -283,6 +283,31 @@ def _messages(spark, d):
                              "concat(props, '-----------------------------------------------------------------------') AS body")
 
 
+def _all_messages(spark, d):
+    """One message for every event; all but the failed and the ignored ones have a transaction."""
+    events = src.table(spark, d, "events")
+    return events.selectExpr("event_id AS message_id", "ts AS received_at", "CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status",
+                             "CASE WHEN event_id % 17 <> 0 AND event_id % 19 <> 0 THEN 1 ELSE 0 END AS txn_count", "CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel",
+                             "concat(props, '-----------------------------------------------------------------------') AS body")
+
+
+def all_retention_candidates(spark, d):
+    txns = _txns(spark, d).withColumn("message_no", F.col("id")).withColumn("status", F.when(F.col("message_no") % 2 == 0, "CONFIRMED").otherwise(F.col("status")))
+    return audit.retention_candidates(_all_messages(spark, d), txns, F.lit("2024-01-09").cast("timestamp_ntz")).select("message_id")
+
+
+def all_status_counts(spark, d):
+    return audit.status_counts(_all_messages(spark, d))
+
+
+def all_message_issues(spark, d):
+    return audit.issues(_all_messages(spark, d)).select("message_id", "status", "preview")
+
+
+def all_run_summary(spark, d):
+    return audit.run_summary(_all_messages(spark, d))
+
+
 def retention_candidates(spark, d):
     return audit.retention_candidates(_messages(spark, d), _txns(spark, d).withColumn("status", F.when(F.col("message_no") % 2 == 0, "CONFIRMED").otherwise(F.col("status"))), F.lit("2024-01-09").cast("timestamp_ntz")).select("message_id")
 
@@ -369,5 +394,5 @@ QUERIES = {f.__name__: f for f in (
     page_2, recent_by_status, on_day, day_sections, page_totals, txn_with_names, rule_match_first, categorize_decisions, recategorize_decisions, recategorize_counts, leaf_categories, category_choices,
     rule_coverage, learned_rules, merchant_labels, remark_channel, canonical_mask, dedupe_keys, upsert_collapse, insert_ignore, survivor_rank, survivor_category, merge_fold, account_survivor, new_accounts,
     statement_audit_missing, retention_candidates, status_counts, message_issues, run_summary, last_success, export_rows, constraint_violations, duplicate_keys, parse_amounts, format_amounts,
-    statement_dates, sms_parse, sms_outcomes, user_edits,
+    statement_dates, sms_parse, sms_outcomes, user_edits, all_retention_candidates, all_status_counts, all_message_issues, all_run_summary,
 )}

@@ -60,6 +60,8 @@ _ARR = """ar AS (SELECT user_id, 'k' || CAST(id % 3000 AS VARCHAR) AS dedupe_key
 _KEYED = "rk AS (SELECT *, 'k' || CAST(id % 2500 AS VARCHAR) AS new_key, occurred_at AS created_at FROM chain)"
 _MSG = """msg AS (SELECT event_id AS message_id, ts AS received_at, CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status,
  CASE WHEN event_id < 4000 AND event_id % 17 <> 0 AND event_id % 19 <> 0 THEN 1 ELSE 0 END AS txn_count, CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel, props || repeat('-', 71) AS body FROM events WHERE event_id < 5000)"""
+_ALL_MSG = """msg AS (SELECT event_id AS message_id, ts AS received_at, CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status,
+ CAST(event_id % 17 <> 0 AND event_id % 19 <> 0 AS INTEGER) AS txn_count, CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel, props || repeat('-', 71) AS body FROM events)"""
 _COLS = "id, account_id, occurred_at, direction, amount_paisa, status, category_id"
 _CHANNEL = """CASE WHEN starts_with(lower(description_raw), 'salary for') THEN 'SALARY' WHEN starts_with(description_raw, 'ATM WDL') THEN 'ATM' WHEN starts_with(description_raw, 'MPAY FPQR') THEN 'FONEPAY'
  WHEN starts_with(description_raw, 'MPAY ') THEN 'MOBILE_BANKING' WHEN starts_with(description_raw, 'C-ASBA Fee') THEN 'CHARGE' WHEN starts_with(description_raw, 'CASBA allot') THEN 'IPO_ALLOTMENT'
@@ -176,4 +178,9 @@ ORACLE_SQL = {
     "sms_outcomes": "SELECT CASE WHEN event_id % 3 = 2 THEN 'IGNORED' ELSE 'PARSED' END AS status, count(*) AS n, count(*) FILTER (event_id % 3 <> 2) AS txns FROM events GROUP BY 1",
     "user_edits": f"""WITH {_T} SELECT id, CASE WHEN id % 18 = 0 THEN 7 ELSE category_id END AS category_id, CASE WHEN id % 18 = 0 THEN 'user' ELSE category_source END AS category_source,
  CASE WHEN id % 27 = 0 THEN NULL WHEN id % 18 = 0 THEN 'tea' ELSE user_note END AS user_note, CASE WHEN id % 45 = 0 THEN 'CONFIRMED' WHEN id % 18 = 0 THEN 'CATEGORIZED' ELSE status END AS status FROM t""",
+    "all_retention_candidates": f"""WITH {_T}, {_ALL_MSG} SELECT message_id FROM msg WHERE status = 'PARSED' AND received_at < TIMESTAMP '2024-01-09'
+ AND message_id NOT IN (SELECT id FROM t WHERE id % 2 <> 0 AND status <> 'CONFIRMED')""",
+    "all_status_counts": f"WITH {_ALL_MSG} SELECT status, count(*) AS n FROM msg GROUP BY 1",
+    "all_message_issues": f"WITH {_ALL_MSG} SELECT message_id, status, CASE WHEN length(body) > 80 THEN substr(body, 1, 80) || '…' ELSE body END AS preview FROM msg WHERE status IN ('FAILED', 'IGNORED')",
+    "all_run_summary": f"WITH {_ALL_MSG} SELECT channel, count(*) AS fetched, count(*) FILTER (status = 'PARSED') AS parsed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'IGNORED') AS ignored, CAST(sum(txn_count) AS BIGINT) AS txns FROM msg GROUP BY 1",
 }
