@@ -84,10 +84,10 @@ def page_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(out("DEBIT").alias("out_paisa"), out("CREDIT").alias("in_paisa"))
 
 
-def day_sections(rows: DataFrame) -> DataFrame:
-    """Local days of a sorted list with their net, transfers left out."""
+def day_sections(rows: DataFrame, *by: str) -> DataFrame:
+    """Local days of a sorted list with their net, transfers left out; of one list for each ``by``."""
     net = F.when(~is_transfer(), signed(F.col("amount_paisa"), F.col("direction"))).otherwise(0)
-    return rows.groupBy(local_day(F.col("occurred_at")).alias("day")).agg(F.count("*").alias("n"), F.sum(net).alias("net_paisa"))
+    return rows.groupBy(*by, local_day(F.col("occurred_at")).alias("day")).agg(F.count("*").alias("n"), F.sum(net).alias("net_paisa"))
 
 
 def quartile_cuts(days: DataFrame, amount: str = "spent_paisa") -> DataFrame:

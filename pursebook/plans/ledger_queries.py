@@ -85,6 +85,19 @@ def _heat_inputs(spark, d):
     return days, spans
 
 
+def _gap_spans(chain, accounts, txns):
+    """Days around each open gap of the whole chain, for every user with rows in its account."""
+    gaps = reconcile.open_gaps(reconcile.find_gaps(chain).withColumn("resolved", F.lit(False)), accounts, chain)
+    users = txns.select("account_id", "user_id").distinct()
+    return gaps.join(users, "account_id").select("user_id", clock.local_day(F.col("after_occurred_at")).alias("after_day"), clock.local_day(F.col("before_occurred_at")).alias("before_day"))
+
+
+def all_heatmap_days(spark, d):
+    txns = _txns(spark, d)
+    days = views.daily_spend(txns).where("currency = 'NPR'").drop("currency")
+    return views.heatmap(days, _gap_spans(_chain(spark, d), src.accounts(spark, d), txns), NOW).drop("week", "weekday")
+
+
 def heatmap_days(spark, d):
     days, spans = _heat_inputs(spark, d)
     return views.heatmap(days, spans, NOW).drop("week", "weekday")
@@ -155,6 +168,10 @@ def day_sections(spark, d):
     return views.day_sections(_txns(spark, d).where("user_id = 'u1'"))
 
 
+def all_day_sections(spark, d):
+    return views.day_sections(_txns(spark, d), "user_id")
+
+
 def page_totals(spark, d):
     return views.page_totals(filters.page(_txns(spark, d), 0))
 
@@ -395,4 +412,5 @@ QUERIES = {f.__name__: f for f in (
     rule_coverage, learned_rules, merchant_labels, remark_channel, canonical_mask, dedupe_keys, upsert_collapse, insert_ignore, survivor_rank, survivor_category, merge_fold, account_survivor, new_accounts,
     statement_audit_missing, retention_candidates, status_counts, message_issues, run_summary, last_success, export_rows, constraint_violations, duplicate_keys, parse_amounts, format_amounts,
     statement_dates, sms_parse, sms_outcomes, user_edits, all_retention_candidates, all_status_counts, all_message_issues, all_run_summary,
+    all_heatmap_days, all_day_sections,
 )}

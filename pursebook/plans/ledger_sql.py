@@ -44,6 +44,12 @@ _HEAT = f"""sub AS (SELECT * FROM chain WHERE id % 40 = 1), {_gaps('sub', 'hg')}
  qw AS (SELECT user_id, v[least(len(v) * 1 // 4, len(v) - 1) + 1] AS q1, v[least(len(v) * 2 // 4, len(v) - 1) + 1] AS q2, v[least(len(v) * 3 // 4, len(v) - 1) + 1] AS q3 FROM qw0),
  hm AS (SELECT days.user_id, days.day, CASE WHEN days.day < earliest THEN 'beforeData' WHEN days.user_id = 'u1' AND EXISTS (SELECT 1 FROM sp WHERE days.day > x AND days.day < y) THEN 'uncertainGap' ELSE 'spend' END AS kind,
   coalesce(spent_paisa, 0) AS s, q1, q2, q3 FROM days LEFT JOIN dn ON dn.user_id = days.user_id AND dn.day = days.day LEFT JOIN qw ON qw.user_id = days.user_id)"""
+#: Gaps of the whole chain, for every user with rows in the account.
+_ALL_HEAT = (
+    _HEAT.replace("SELECT * FROM chain WHERE id % 40 = 1", "SELECT * FROM chain")
+    .replace("sp AS (SELECT", "au AS (SELECT DISTINCT account_id, user_id FROM t), sp AS (SELECT au.user_id,").replace("FROM hg JOIN chain a", "FROM hg JOIN au ON au.account_id = hg.account_id JOIN chain a")
+    .replace("days.user_id = 'u1' AND EXISTS (SELECT 1 FROM sp WHERE", "EXISTS (SELECT 1 FROM sp WHERE sp.user_id = days.user_id AND")
+)
 _PAIRS = """pr AS (SELECT d.id AS d_id, c.id AS c_id, d.amount_paisa, abs(epoch_us(d.occurred_at) - epoch_us(c.occurred_at)) AS apart_us,
   coalesce(contains(lower(d.description_raw), lower(c.institution)), FALSE) OR coalesce(contains(lower(d.counterparty), lower(c.institution)), FALSE)
   OR coalesce(contains(lower(c.description_raw), lower(d.institution)), FALSE) OR coalesce(contains(lower(c.counterparty), lower(d.institution)), FALSE) AS mentioned
@@ -183,4 +189,6 @@ ORACLE_SQL = {
     "all_status_counts": f"WITH {_ALL_MSG} SELECT status, count(*) AS n FROM msg GROUP BY 1",
     "all_message_issues": f"WITH {_ALL_MSG} SELECT message_id, status, CASE WHEN length(body) > 80 THEN substr(body, 1, 80) || '…' ELSE body END AS preview FROM msg WHERE status IN ('FAILED', 'IGNORED')",
     "all_run_summary": f"WITH {_ALL_MSG} SELECT channel, count(*) AS fetched, count(*) FILTER (status = 'PARSED') AS parsed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'IGNORED') AS ignored, CAST(sum(txn_count) AS BIGINT) AS txns FROM msg GROUP BY 1",
+    "all_heatmap_days": f"WITH {_T}, {_CHAIN}, {_DAILY}, {_ALL_HEAT} SELECT user_id, day, kind, CASE WHEN kind = 'spend' THEN s END AS spent_paisa, CASE WHEN kind = 'spend' THEN CASE WHEN s <= 0 THEN 0 WHEN s <= q1 THEN 1 WHEN s <= q2 THEN 2 WHEN s <= q3 THEN 3 ELSE 4 END END AS bucket FROM hm",
+    "all_day_sections": f"WITH {_T} SELECT user_id, CAST({_LOCAL} AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN transfer_group_id IS NOT NULL OR excluded_from_spend THEN 0 ELSE {_SIGN} END) AS BIGINT) AS net_paisa FROM t GROUP BY 1, 2",
 }

@@ -2,10 +2,12 @@
 
 import glob
 import os
+from datetime import date, datetime
 
 import duckdb
 import pytest
 
+from pursebook.plans import ledger_queries
 from pursebook.plans.catalog import oracle_sql, queries
 from tests.test_parity import plain
 
@@ -26,8 +28,8 @@ def from_spark(df):
     return sorted(repr([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
 
 
-@pytest.mark.parametrize("name", ["all_retention_candidates", "all_status_counts", "all_message_issues", "all_run_summary"])
-def test_message_queries_beyond_the_first_ids(spark, name):
+@pytest.mark.parametrize("name", ["all_heatmap_days", "all_day_sections", "all_retention_candidates", "all_status_counts", "all_message_issues", "all_run_summary"])
+def test_parity_beyond_the_first_ids(spark, name):
     assert from_spark(queries()[name](spark, DATA)) == from_sql(name)
 
 
@@ -41,3 +43,19 @@ def test_every_event_is_a_message(spark):
     assert {r.message_id for r in run("all_message_issues")} == bad
     old = {r.event_id for r in events.where("ts < timestamp_ntz'2024-01-09'").collect()}
     assert {r.message_id for r in run("all_retention_candidates")} == {i for i in old - bad if i % 2 == 0 or i % 3 == 2}
+
+
+def test_day_sections_of_every_user(spark):
+    users = {r.user_id for r in queries()["monthly_spend"](spark, DATA).collect()}
+    rows = queries()["all_day_sections"](spark, DATA).collect()
+    assert {r.user_id for r in rows} == users and len(users) > 1
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{DATA}/events.parquet").count()
+
+
+def test_gap_spans_of_every_neighbour_and_user(spark):
+    at = lambda day: datetime(2024, 1, day, 6)
+    rows = [(2, 7, "u0", at(1), "CREDIT", 5, 100), (3, 7, "u0", at(4), "CREDIT", 5, 105), (4, 7, "u0", at(9), "DEBIT", 5, 300), (5, 8, "u2", at(2), "CREDIT", 5, 50), (6, 8, "u2", at(6), "DEBIT", 5, 50)]
+    chain = spark.createDataFrame(rows, "id long, account_id long, user_id string, occurred_at timestamp_ntz, direction string, amount_paisa long, balance_after_paisa long")
+    accounts = spark.createDataFrame([(7, "a"), (8, "b")], "id long, display_name string")
+    got = sorted(map(tuple, ledger_queries._gap_spans(chain, accounts, chain).collect()))
+    assert got == [("u0", date(2024, 1, 4), date(2024, 1, 9)), ("u2", date(2024, 1, 2), date(2024, 1, 6))]
