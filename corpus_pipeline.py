@@ -30,9 +30,8 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    groups = near_dup.near_duplicate_groups(docs)
-    return docs.join(groups.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each near-duplicate group, that with the smallest id."""
+    return near_dup.one_row_per_group(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, read_table, record, stored
+from pursebook.llm.common import byte_rows, column_function, read_table, record, stored, text_key
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, kept as integers so that the comparison is exact.
@@ -310,10 +310,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id_col, n_shingles, component_id, kept) for every row."""
+def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_col: str, block_rows: int) -> DataFrame:
+    """(id, n_shingles, component_id, grp, and ``extra`` of the text) for every row; grp is null
+    where the text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(rows.select("id", sketch("text").alias("s")).select("id", "s.*"), "sketch")
+    sketched = stored(rows.select("id", sketch("text").alias("s"), *[c.alias(n) for n, c in extra.items()]).select("id", "s.*", *extra), "sketch")
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     classes = stored(classes.where("rep is not null").withColumn("node", F.xxhash64("set_key")), "classes")
     near = stored(components(candidate_edges(classes.select("node", "sig"), block_rows)), "candidates")
@@ -321,19 +322,51 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
     groups = stored(components(confirmed_links(members, texts, block_rows)), "groups")
     owned = classes.select("node", "set_key", "rep").join(groups, "node")
-    named = owned.join(owned.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_key", "component_id")
-    alone = classes.select("set_key", "rep")
-    names = alone.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    named = owned.join(owned.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_key", "component_id", "comp")
+    alone = classes.select("set_key", "rep", "node")
+    names = alone.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("comp", "node").alias("grp"))
     # Rows of the few classes with very many copies look their names up by broadcast: a
     # class is one of those if it has over 1 / HOT_CLASSES of all rows, so there are at
     # most HOT_CLASSES.  No other key can weigh down a task of the join.
-    own = sketched.select("id", "n_shingles", "set_key")
+    own = sketched.select("id", "n_shingles", "set_key", *extra)
     hot = classes.where(F.col("copies") > sketched.count() / HOT_CLASSES).select("set_key")
     few = own.join(F.broadcast(hot.join(names, "set_key")), "set_key")
     rest = own.join(F.broadcast(hot), "set_key", "left_anti").join(names, "set_key", "left")
-    out = few.unionByName(rest).withColumn("component_id", F.coalesce("component_id", "id"))
+    grp = F.when(F.col("set_key").isNotNull(), F.coalesce("grp", F.xxhash64("set_key")))
+    return few.unionByName(rest).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), grp.alias("grp"), *extra)
+
+
+def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id_col, n_shingles, component_id, kept) for every row."""
+    out = grouped_rows(docs, {}, id_col, text_col, block_rows)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def one_row_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The row with the smallest id of each group, whatever ids repeat or are null.
+
+    A row is named by id and text: ids may repeat.  Rows without words have no group; of
+    those only repeats of the same id and text leave.  Rows without an id come last."""
+    # The key tells a null text from an empty one.
+    key = F.concat(F.when(F.col("text").isNull(), "n").otherwise("t"), text_key("text"))
+    rows = grouped_rows(docs, {"text_key": key}, id_col, text_col, block_rows)
+    keyed = stored(rows.groupBy("id", "text_key").agg(F.count("*").alias("n"), F.min("grp").alias("grp")), "row-keys")
+    grouped = keyed.where("grp is not null").groupBy("grp").agg(F.min(F.struct(F.col("id").isNull().alias("x"), "id", "text_key")).alias("w")).select(F.col("w.id").alias("_id"), F.col("w.text_key").alias("_key"))
+    same = lambda a, b: a["id"].eqNullSafe(b["_id"]) & (a["text_key"] == b["_key"])
+    losers = keyed.where("grp is not null").join(grouped, same(keyed, grouped), "left_anti").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    repeated = keyed.where("n > 1 and (grp is not null or id is not null)").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
+    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.concat(F.when(F.col(text_col).isNull(), "n").otherwise("t"), text_key(text_col))})
+    on = lambda k: own["_own_id"].eqNullSafe(k["_id"]) & (own["_own_key"] == k["_key"])
+    if repeated.isEmpty():
+        return own.join(losers, on(losers), "left_anti").select(*docs.columns)
+    gone = losers.unionByName(repeated)
+    single = own.join(gone, on(gone), "left_anti").select(*docs.columns)
+    winners = repeated.join(losers.withColumnsRenamed({"_id": "_l", "_key": "_k"}), F.col("_id").eqNullSafe(F.col("_l")) & (F.col("_key") == F.col("_k")), "left_anti")
+    again = own.join(winners, on(winners), "left_semi")
+    whole = F.struct(*docs.columns)
+    first = again.groupBy("_own_id", "_own_key").agg(F.min_by(whole, F.to_json(whole)).alias("r")).select("r.*")
+    return single.unionByName(first)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read_table(spark, sf_dir, "documents"))

@@ -41,3 +41,28 @@ def test_stages_keep_the_columns_and_take_odd_tables(spark, sf_dir):
             assert out.columns == rows.columns, name
             out.count()
         assert "ids_sha256" in corpus_pipeline.STAGES[-1][1](spark, rows, sf_dir).columns
+
+
+A, B, C, D = (" ".join(f"{c}{i}" for i in range(40)) for c in "abcd")
+NEAR_A = A.replace("a39", "z39")
+ODD = [
+    (1, A, "p"), (5, A, "p"), (5, B, "p"),  # a repeated id with one text of its own
+    (2, C, "q"), (2, C, "q"), (None, C, "q"), (None, C, "r"), (9, C, "p"),  # repeated rows of the smallest id, copies without an id
+    (5, NEAR_A, "p"), (3, D, "p"), (3, D.replace("d39", "z39"), "p"),  # near copies under one id
+    (None, "only " + B[::-1], "p"), (None, "only " + B[::-1], "p"), (None, None, "p"), (None, None, "p"), (7, "", "p"), (7, None, "p"), (7, "", "p"),
+]
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark, sf_dir):
+    docs = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in ODD], "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_deduplication(spark, docs, sf_dir).collect()
+    rows = sorted(((r.doc_id, r.text, r.source) for r in got), key=repr)
+    three = [x for x in rows if x[0] == 3]
+    assert len(three) == 1 and three[0] in ODD
+    assert [x for x in rows if x[0] != 3] == sorted([(1, A, "p"), (5, B, "p"), (2, C, "q"), (None, "only " + B[::-1], "p"), (None, None, "p"), (None, None, "p"), (7, "", "p"), (7, None, "p")], key=repr)
+    assert all(r.n_chars == len(r.text or "") for r in got)
+
+
+def test_near_dedup_repeats_without_text_of_a_loser(spark, sf_dir):
+    docs = spark.createDataFrame([(4, A), (8, A), (8, A), (8, B)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_deduplication(spark, docs, sf_dir).collect())) == [(4, A), (8, B)]
