@@ -174,3 +174,20 @@ def test_classifier_is_believed_from_threshold_and_spend_flag_stays(spark):
     answer = lambda label, amount, direction: F.struct(F.lit(9).alias("category_id"), F.when(label == "a", 0.85).otherwise(0.84).alias("confidence"))
     out = {r.id: (r.category_id, r.status, r.excluded_from_spend) for r in categorize.decide(df, rules, answer).collect()}
     assert out == {1: (9, "CATEGORIZED", True), 2: (None, "NEEDS_REVIEW", False)}
+
+
+def test_balance_chain_sorts_months_not_accounts(spark):
+    from pursebook.sources import adapters
+
+    t = [datetime(2026, 1, 31, 23), datetime(2026, 2, 1), datetime(2026, 2, 1), datetime(2026, 4, 9), None, datetime(2025, 12, 2)]
+    rows = [(i, a, t[i % 6], "CREDIT" if i % 3 else "DEBIT", i * 7 if i % 8 else None) for i in range(1, 90) for a in [i % 4 or None]]
+    txns = spark.createDataFrame(rows, "id long, account_id long, occurred_at timestamp_ntz, direction string, amount_paisa long")
+    want, sums = {}, {}
+    for i, a, at, d, m in sorted(rows, key=lambda r: (r[2] is not None, r[2] or t[0], r[0])):
+        if m is not None:
+            sums[a] = sums.get(a, 0) + (m if d == "CREDIT" else -m)
+        want[i] = sums[a] + adapters.OPENING_PAISA if i % 5 and a in sums else None
+    out = adapters.balance_chain(txns)
+    assert {r.id: r.balance_after_paisa for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_piece" in x.split("], [")[1] or "_total" in x for x in plan.splitlines() if "Window [" in x), plan
