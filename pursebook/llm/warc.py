@@ -14,7 +14,7 @@ Skew: the representative of equal payloads comes from a min() with map-side comb
 is joined back on the digest, which AQE can split.  A group of segments is one page.
 
 Defined results: null html is an empty payload; a null url is an empty one; a row that
-repeats id, url and payload is archived once; rows with a null id are responses unless a
+repeats id, url and payload is a logical record with ``copies``, and op5 returns each row; rows with a null id are responses unless a
 row with an id has the same payload; gaps, wrong totals or bad framing give a text in
 ``error`` and no payload.  Only the named columns are read.
 """
@@ -198,7 +198,9 @@ def reassemble(segments: pa.Array) -> pa.Array:
 
 
 def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
-    """(record_id, kind, uri, refers_to, payload_bytes, payload_digest, error): one row per logical record."""
+    """(record_id, kind, uri, refers_to, payload_bytes, payload_digest, error, copies): one row per logical record.
+
+    copies: how many records in the archives start it."""
 
     def parse(batches):
         for batch in batches:
@@ -217,15 +219,17 @@ def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
     piece = F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "declared", "block"))
     is_head = F.col("kind") != "continuation"
     head = [F.max(F.when(is_head, F.col(c))).alias(c) for c in ("kind", "uri", "refers_to", "payload_bytes", "payload_digest", "error")]
-    joined = rows.groupBy("origin").agg(*head, F.array_sort(F.array_distinct(F.collect_list(piece))).alias("parts")).withColumn("j", reassemble("parts"))
+    joined = rows.groupBy("origin").agg(*head, F.count_if(is_head).alias("copies"), F.array_sort(F.array_distinct(F.collect_list(piece))).alias("parts")).withColumn("j", reassemble("parts"))
     either = [F.coalesce(f"j.{c}", c).alias(c) for c in ("payload_bytes", "payload_digest", "error")]
-    return joined.select(F.col("origin").alias("record_id"), "kind", "uri", "refers_to", *either)
+    return joined.select(F.col("origin").alias("record_id"), "kind", "uri", "refers_to", *either, "copies")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = stored(write_archives(read_table(spark, sf_dir, "pages")), "warc")
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)", 1)
-    return read_archives(archives).select(
+    # A record whose first segment is lost has no start; it stays, with its error.
+    rows = read_archives(archives).withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))))
+    return rows.select(
         F.expr("try_cast(regexp_extract(record_id, '^<urn:page:(-?[0-9]+)', 1) as bigint)").alias("page_id"),
         "payload_bytes",
         "payload_digest",

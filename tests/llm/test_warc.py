@@ -49,3 +49,18 @@ def test_chunked_framing(n):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_archives(stored(warc.write_archives(df), "e")).count() == 0
+
+
+def test_every_row_of_repeated_pages_comes_back(spark, tmp_path):
+    import duckdb
+
+    from pursebook.llm.queries import ORACLE_SQL
+
+    rows = [(7, "q", "é" * 40000)] * 3 + [(8, "q", "é" * 40000)] * 2 + [(1, "a", "short")] * 2 + [(2, None, None), (2, "", None), (3, "b", "x" * 500)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    cur = con.execute(ORACLE_SQL["op5_warc"])
+    names = [d[0] for d in cur.description]
+    got = sorted(repr([r[c] for c in names]) for r in warc.op5_warc(spark, str(tmp_path)).collect())
+    assert got == sorted(repr(list(r)) for r in cur.fetchall()) and len(got) == len(rows)
