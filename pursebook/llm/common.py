@@ -7,7 +7,6 @@ to outlive a stage goes to the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,11 +26,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one is made only where none is configured (tests)."""
+    """The folder that the cluster shares.  Without one, tables would land on the disk of
+    whichever machine writes them, so its absence is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        configured = tempfile.mkdtemp(prefix="pursebook-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
     return configured.rstrip("/")
 
 
@@ -41,7 +40,37 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later result reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are dealt into SALTS parts: the largest, of at least HOT_ROWS rows.
+HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 200
+
+
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key`` and counts the rows
+    of a key in ``count``.
+
+    At most HOT_KEYS keys can have more than one row in HOT_KEYS; those are dealt by a hash
+    of ``spread`` over SALTS partitions, with a copy of the table's row in each, so that no
+    key weighs down a task.  Only the names of those keys are broadcast."""
+    hot = table.where(F.col(count) >= HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"))
+    mark = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = mark(rows).withColumn("_salt", salt).drop("_hot")
+    right = mark(table).withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def held_out(id_col: str | Column) -> Column:

@@ -1,35 +1,43 @@
 """Near-duplicate groups by an inverted join of MinHash coordinates (operator 7).
 
-A document is the set of its 5-word shingles (64-bit hashes); two documents are linked
-where the sets' Jaccard similarity reaches ``threshold``; a group is what links connect.
+A document is the set of its 5-word shingles (128-bit hashes, made of cryptographic hashes
+of the words); two documents are linked where the sets' Jaccard similarity reaches
+``threshold``; a group is what links connect.
 
 1. Equal sets are one class from here on; its representative is the smallest doc_id.
 2. Every class has ``COORDINATES`` MinHash values.  Each (coordinate, value) pair is a
-   posting key.  A linked pair agrees in at least ``MATCHES`` coordinates (but for a
+   posting key.  A linked pair collides in at least ``MATCHES`` coordinates (but for a
    chance of a few in a million, see ``MATCHES``).
 3. Skip: keys with one posting are counted, not joined; a class with fewer than
    ``MATCHES`` shared keys cannot match anything and leaves.  Prefix: a class is posted
    only under its rarest keys, so many that two classes with ``MATCHES`` common keys
    share a posted one.  What very many documents share (a license, a passage) is thus
    posted only by documents that consist of it.
-4. Within a posted list, classes are joined by signature matches into candidate edges,
-   at most one for each class (a spanning forest), never all pairs.
+4. The classes posted under one key meet.  Their coordinates are posting lists again:
+   for one class, its shortest lists are merged, counting the collisions of each class
+   that turns up, and the longer lists are only asked about those (``Collisions``).  Pairs
+   that reach the threshold become candidate edges, at most one for each class (a
+   spanning forest), never all pairs.
 5. Candidate components are found; each one's texts meet, and links are confirmed on
    full sets by a search that visits each class once and again emits a forest only.
 6. Components over the confirmed links give component_id; every row looks up its class.
 
-Large lists and components are dealt into blocks of at most ``BLOCK_ROWS`` classes, and
-every two blocks meet in a task of their own: memory of a task is bounded by two blocks,
-no link is lost, and the union of the blocks' forests connects what the links connect.
+Large lists and components are dealt twice into blocks of at most ``BLOCK_ROWS`` classes,
+by two independent hashes.  What hangs together inside the blocks of both dealings is one
+part, and a group of near copies is one part after this linear work.  Only classes outside
+a group's largest part go on to meet all its blocks (``group_links``), so no link is lost;
+the memory of a task is bounded by two blocks.
 
 Defined results: null or empty texts and texts without words have empty sets and are
 linked with nothing; fewer than five words are one shingle; repeated rows are in one
 group; a row without an id joins the group of its equal texts but starts and names none.
-Only the named columns are read.
+Only the named columns are read, so extra or clashing columns do no harm.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, read_table, record, stored, text_key
+from pursebook.llm.common import byte_rows, column_function, discard, read_table, record, salted_join, stored, text_key
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, kept as integers so that the comparison is exact.
@@ -46,11 +54,11 @@ LINK_NUMERATOR, LINK_DENOMINATOR = 85, 100
 COORDINATES = 32
 #: At a similarity of 0.85 a pair agrees in fewer than 17 of 32 with probability 3.5e-6.
 MATCHES = 17
-BLOCK_ROWS = 2000
+BLOCK_ROWS = 500
 #: Shingles of one block of a component, where its texts are long.
-BLOCK_SHINGLES = 2_000_000
-#: Classes with more than one row in so many are joined by broadcast.
-HOT_CLASSES = 1000
+BLOCK_SHINGLES = 1_000_000
+#: Words whose hashes a Python worker remembers between texts.
+KNOWN_WORDS = 200_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,62 +73,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _FACTORS = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * _SEED) | np.uint64(1)
 _SHIFTS = _mix(np.arange(1001, COORDINATES + 1001, dtype=np.uint64) * _SEED)
-_PLACES = _mix(np.arange(1, SHINGLE_WORDS + 1, dtype=np.uint64) * _SEED) | np.uint64(1)
-_ODD = np.uint64(0x100000001B3)
-_ODD_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
+#: One odd factor for each place in a shingle and each half of its hash.
+_PLACES = (_mix(np.arange(1, 2 * SHINGLE_WORDS + 1, dtype=np.uint64) * _SEED) | np.uint64(1)).reshape(2, SHINGLE_WORDS)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 16)
-        with np.errstate(over="ignore"):
-            _POWERS["up"] = np.cumprod(np.full(size, _ODD, np.uint64))
-            _POWERS["down"] = np.cumprod(np.full(size, _ODD_INVERSE, np.uint64))
-    return _POWERS["up"], _POWERS["down"]
+class WordHashes(dict):
+    """word -> its number in ``raw``, which holds a 128-bit hash of the bytes of each word."""
+
+    def __init__(self):
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        self.raw += hashlib.blake2b(word, digest_size=16).digest()
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """(2, number of words): both halves of each word's hash."""
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+            self.raw = bytearray()
+        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.ascontiguousarray(np.frombuffer(bytes(self.raw) if len(words) > len(self) else self.raw, np.uint64).reshape(-1, 2)[places].T)
+
+
+_KNOWN = WordHashes()
 
 
 def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hashes of the words, which are runs of bytes other than white space."""
-    data = np.frombuffer(text.lower(), np.uint8)
-    black = (data != 32) & ((data < 9) | (data > 13))
-    edges = np.flatnonzero(np.diff(black.view(np.int8), prepend=0, append=0))
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return np.empty(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _SEED)
+    """Hashes of the words, which are runs of bytes other than ASCII white space."""
+    return _KNOWN.of(text.lower().split())
+
+
+def distinct_pairs(h: np.ndarray) -> np.ndarray:
+    """The distinct columns of (2, n), in the order of their halves."""
+    order = np.argsort(h[0])
+    h = h[:, order]
+    same = h[0, 1:] == h[0, :-1]
+    if (same & (h[1, 1:] != h[1, :-1])).any():
+        h = h[:, np.lexsort((h[1], h[0]))]
+        same = (h[0, 1:] == h[0, :-1]) & (h[1, 1:] == h[1, :-1])
+    return h[:, np.concatenate([[True], ~same])] if h.shape[1] else h
 
 
 def shingle_set(text: bytes, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct shingle hashes."""
+    """(2, n): the distinct shingles' 128-bit hashes, sorted."""
     w = word_hashes(text)
-    if not len(w):
+    count = w.shape[1]
+    if not count:
         return w
-    n = min(words, len(w))
+    n = min(words, count)
     with np.errstate(over="ignore"):
-        h = np.full(len(w) - n + 1, np.uint64(n), np.uint64)
+        h = np.full((2, count - n + 1), np.uint64(n), np.uint64)
         for j in range(n):
-            h = h + w[j : len(w) - n + 1 + j] * _PLACES[j]
-        return np.unique(_mix(h))
+            h += w[:, j : count - n + 1 + j] * _PLACES[:, j : j + 1]
+        return distinct_pairs(_mix(h))
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """One minimum for each coordinate, as 32 bits."""
     best = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    first = shingles[0]
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 4096):
-            best = np.minimum(best, (shingles[at : at + 4096, None] * _FACTORS + _SHIFTS).min(0))
+        for at in range(0, len(first), 4096):
+            best = np.minimum(best, (first[at : at + 4096, None] * _FACTORS + _SHIFTS).min(0))
     return (_mix(best) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def set_key(shingles: np.ndarray) -> bytes | None:
     """128 bits that name a shingle set."""
-    with np.errstate(over="ignore"):
-        return np.array([shingles.sum(dtype=np.uint64), _mix(shingles ^ _SEED).sum(dtype=np.uint64)], np.uint64).tobytes() if len(shingles) else None
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if shingles.shape[1] else None
 
 
 SKETCH = record(n_shingles=pa.int64(), set_key=pa.binary(), sig=pa.binary())
@@ -132,7 +154,8 @@ def sketch(text: pa.Array) -> pa.Array:
     rows = []
     for t in byte_rows(text):
         s = shingle_set(t)
-        rows.append({"n_shingles": len(s), "set_key": set_key(s), "sig": signature(s).tobytes() if len(s) else None})
+        n = s.shape[1]
+        rows.append({"n_shingles": n, "set_key": set_key(s), "sig": signature(s).tobytes() if n else None})
     return pa.array(rows, SKETCH)
 
 
@@ -144,14 +167,6 @@ def posting_keys(sig: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * COORDINATES), pa.array(keys.ravel()))
 
 
-def in_blocks(rows: DataFrame, member: str, blocks: Column) -> DataFrame:
-    """Adds ``cell``: every two of a group's blocks share one; a group of one block has one."""
-    n = blocks.cast("int")
-    own = F.pmod(F.xxhash64(F.col(member), F.lit(77)), n)
-    cells = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.least(own, other) * n + F.greatest(own, other))
-    return rows.withColumn("cell", F.explode(F.when(n <= 1, F.array(F.lit(0).cast("bigint"))).otherwise(cells)))
-
-
 def edges_by_cell(rows: DataFrame, group: str, find: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
     """(a, b) that ``find`` yields for the rows of each (group, cell).
 
@@ -214,42 +229,112 @@ def forest(n: int, order: np.ndarray, neighbours) -> Iterator[tuple[int, int]]:
         left = left[~hit]
 
 
-def candidate_edges(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) over classes (node, sig): a forest of the signature matches in every list."""
+class Collisions:
+    """Counts in how many coordinates rows of signatures collide, from their posting lists."""
+
+    def __init__(self, sig: np.ndarray):
+        coordinate = np.broadcast_to(np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32), sig.shape)
+        _, lists, sizes = np.unique(sig.view(np.uint32).astype(np.uint64) | coordinate, return_inverse=True, return_counts=True)
+        self.lists, self.sizes = lists.reshape(sig.shape), sizes
+        #: The rows of list k are posted[starts[k] : starts[k] + sizes[k]].
+        self.posted = np.argsort(self.lists, axis=None, kind="stable") // sig.shape[1]
+        self.starts = np.cumsum(sizes) - sizes
+
+    def reach(self, i: int, left: np.ndarray, least: int) -> np.ndarray:
+        """Which of the rows ``left`` collide with row i in at least ``least`` coordinates.
+
+        A row that does must turn up in one of the shortest lists; if merging those would
+        cost more than asking about every row of ``left``, those are asked at once."""
+        own = self.lists[i]
+        own = own[np.argsort(self.sizes[own], kind="stable")]
+        short, rest = own[: len(own) - least + 1], own[len(own) - least + 1 :]
+        if self.sizes[short].sum() >= len(left):
+            return np.isin(self.lists[left], own).sum(1) >= least
+        merged = np.bincount(np.concatenate([self.posted[self.starts[k] : self.starts[k] + self.sizes[k]] for k in short]), minlength=len(self.lists))[left]
+        at = np.flatnonzero(merged)
+        hit = np.zeros(len(left), bool)
+        hit[at] = merged[at] + np.isin(self.lists[left[at]], rest).sum(1) >= least
+        return hit
+
+
+def group_links(rows: DataFrame, group: str, ship: Callable[[DataFrame], DataFrame], find: Callable[[pa.Table], list[tuple[int, int]]], block_rows: int, block_weight: int | None = None) -> list[DataFrame]:
+    """Stored (a, b) over rows (group, node, weight): edges that connect what links inside groups
+    connect.  ``ship`` adds to dealt rows what ``find`` looks at.
+
+    A group of one block is one cell.  A larger one is dealt twice into blocks.  What the
+    edges connect so far are parts of the group; whatever is outside its largest part is
+    then dealt into blocks that meet every block of the group."""
+    blocks = lambda n, w: F.least(F.col(n), F.greatest(F.ceil(F.col(n) / block_rows), F.ceil(F.col(w) / block_weight) if block_weight else F.lit(1))).cast("long")
+    in_block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1").withColumn("blocks", blocks("n", "w"))
+    sized = stored(salted_join(rows, sizes, group, "node", "n").drop("n", "w"), "sized")
+    cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(in_block(1, "blocks"), F.col("blocks") + in_block(2, "blocks")))
+    edges = stored(edges_by_cell(ship(sized.withColumn("cell", F.explode(cells))), group, find), "edges")
+    large = sized.where("blocks > 1")
+    if large.isEmpty():
+        discard(sized)
+        return [edges]
+    parts = stored(components([edges]), "parts")
+    placed = large.join(parts.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    tally = placed.groupBy(group, "part").agg(F.count("*").alias("k"), F.sum("weight").alias("kw"))
+    main = tally.groupBy(group).agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("outer"), (F.sum("kw") - F.max_by("kw", F.struct("k", "part"))).alias("outer_w"))
+    main = main.where("outer > 0").withColumn("outer_blocks", blocks("outer", "outer_w"))
+    split = stored(salted_join(placed, main, group, "node", "n"), "split")
+    cell = lambda o, b: o * F.col("blocks") + b
+    until = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_member = F.transform(until("outer_blocks"), lambda o: cell(o, in_block(1, "blocks")))
+    as_outer = F.when(F.col("part") != F.col("main"), F.transform(until("blocks"), lambda b: cell(in_block(3, "outer_blocks"), b))).otherwise(F.array().cast("array<bigint>"))
+    met = split.withColumn("cell", F.explode(F.array_distinct(F.concat(as_member, as_outer))))
+    more = stored(edges_by_cell(ship(met), group, find), "edges")
+    discard(sized, split, parts)
+    return [edges, more]
+
+
+def candidate_edges(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> list[DataFrame]:
+    """Stored (a, b) over classes (node, sig, n_shingles): a forest of the signature matches in every list."""
     postings = classes.select("node", F.explode(posting_keys("sig")).alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = postings.join(shared, "key")
+    found = salted_join(postings, shared, "key", "node", "df")
     w = W.partitionBy("node")
     ranked = found.withColumns({"m": F.count("*").over(w), "r": F.row_number().over(w.orderBy("df", "key"))})
-    posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key")
+    posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key", F.lit(1).alias("weight"))
     posted = stored(posted, "postings")
-    lists = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = posted.join(lists, "key").join(classes.select("node", "sig"), "node")
-    rows = in_blocks(rows, "node", F.ceil(F.col("n") / block_rows)).select("key", "cell", "node", "sig")
-    return edges_by_cell(rows, "key", signature_forest)
+    signed = classes.select("node", "sig", "n_shingles")
+    edges = group_links(posted, "key", lambda cells: cells.select("key", "cell", "node").join(signed, "node"), signature_forest, block_rows)
+    discard(posted)
+    return edges
+
+
+def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return LINK_DENOMINATOR * np.minimum(n, m) >= LINK_NUMERATOR * np.maximum(n, m)
 
 
 def signature_forest(rows: pa.Table) -> list[tuple[int, int]]:
-    """A forest of the pairs that agree in enough coordinates."""
-    nodes = rows["node"].to_numpy()
+    """A forest of the pairs that collide in enough coordinates."""
+    nodes, size = rows["node"].to_numpy(), rows["n_shingles"].to_numpy()
     sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.int32).reshape(-1, COORDINATES)
     if len(nodes) == 2:
-        return [(int(nodes[0]), int(nodes[1]))] if nodes[0] != nodes[1] and (sig[0] == sig[1]).sum() >= MATCHES else []
-    found = forest(len(nodes), np.argsort(nodes, kind="stable"), lambda i, left: (sig[left] == sig[i]).sum(1) >= MATCHES)
+        return [(int(nodes[0]), int(nodes[1]))] if fits(size[:1], size[1:])[0] and (sig[0] == sig[1]).sum() >= MATCHES else []
+    lists = Collisions(sig)
+    found = forest(len(nodes), np.argsort(nodes, kind="stable"), lambda i, left: lists.reach(i, left, MATCHES) & fits(size[left], size[i]))
     return [(int(nodes[i]), int(nodes[j])) for i, j in found]
 
 
-def set_forest(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def set_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """A forest of the confirmed links between whole shingle sets."""
-    sizes = np.array([len(s) for s in sets])
-    universe, code = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([s.shape[1] for s in sets])
+    every = np.concatenate(sets, axis=1)
+    order = np.lexsort((every[1], every[0]))
+    every = every[:, order]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(np.concatenate([[0], (every[:, 1:] != every[:, :-1]).any(0)]))
     starts = np.cumsum(sizes) - sizes
-    mark = np.zeros(len(universe), np.int64)
+    mark = np.zeros(len(order), np.int64)
 
     def neighbours(i: int, left: np.ndarray) -> np.ndarray:
-        fits = (LINK_DENOMINATOR * np.minimum(sizes[left], sizes[i]) >= LINK_NUMERATOR * np.maximum(sizes[left], sizes[i]))
-        hit = np.zeros(len(left), bool)
-        some = left[fits]
+        hit = fits(sizes[left], sizes[i])
+        some = left[hit]
         if len(some):
             own = code[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
@@ -258,20 +343,17 @@ def set_forest(reps: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]
             at = np.repeat(starts[some] - (ends - n), n) + np.arange(ends[-1])
             both = np.add.reduceat(mark[code[at]], ends - n)
             mark[own] = 0
-            hit[fits] = LINK_DENOMINATOR * both >= LINK_NUMERATOR * (n + sizes[i] - both)
+            hit[hit] = LINK_DENOMINATOR * both >= LINK_NUMERATOR * (n + sizes[i] - both)
         return hit
 
-    return [(int(reps[i]), int(reps[j])) for i, j in forest(len(reps), np.argsort(reps), neighbours)]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in forest(len(nodes), np.argsort(nodes), neighbours)]
 
 
-def confirmed_links(members: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b) for members (node, comp, rep, set_key, n_shingles): links inside candidate
+def confirmed_links(members: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> list[DataFrame]:
+    """Stored (a, b) for members (node, comp, rep, set_key, weight): links inside candidate
     components, on full sets.  texts: (rep, text)."""
-    sizes = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
-    blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("s") / block_shingles))
-    rows = in_blocks(members.join(sizes, "comp").withColumn("blocks", F.least(blocks, F.col("n"))), "node", F.col("blocks"))
-    rows = rows.select("comp", "cell", "node", "rep", "set_key").join(texts, "rep").select("comp", "cell", "node", "set_key", "text")
-    return edges_by_cell(rows, "comp", text_forest)
+    ship = lambda cells: cells.select("comp", "cell", "node", "rep", "set_key").join(texts, "rep").select("comp", "cell", "node", "set_key", "text")
+    return group_links(members, "comp", ship, text_forest, block_rows, block_shingles)
 
 
 def text_forest(rows: pa.Table) -> list[tuple[int, int]]:
@@ -286,21 +368,23 @@ def text_forest(rows: pa.Table) -> list[tuple[int, int]]:
     return set_forest(np.array(list(sets), np.int64), list(sets.values())) if len(sets) > 1 else []
 
 
-def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(tables: list[DataFrame], max_rounds: int = 100) -> DataFrame:
     """(node, comp) for every node of (a, b): comp is the smallest node that it can reach.
 
     Alternates large-star and small-star steps; each round's edges are a table in the
-    shared folder, so lineage stays short.  Map-side combine keeps hubs harmless."""
+    shared folder, so lineage stays short; a hub's edges are dealt over many tasks."""
+    edges = functools.reduce(DataFrame.unionByName, tables)
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     was = mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        joined = large.join(large.groupBy("u").agg(F.min("v").alias("low")), "u")
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("u", "low"))
+        large = salted_join(both, least, "u", "v", "n").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        joined = salted_join(large, large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "u", "v", "n")
         small = joined.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        now = stored(small, "edges")
+        before, now = now, stored(small, "edges")
+        discard(before)
         if (new := mark(now)) == was:
             break
         was = new
@@ -311,29 +395,28 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 
 def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_col: str, block_rows: int) -> DataFrame:
-    """(id, n_shingles, component_id, grp, and ``extra`` of the text) for every row; grp is null
-    where the text has no words."""
+    """(id, n_shingles, component_id, grp, and ``extra`` of the text) for every row; grp, the
+    smallest set key of the group, is null where the text has no words."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketched = stored(rows.select("id", sketch("text").alias("s"), *[c.alias(n) for n, c in extra.items()]).select("id", "s.*", *extra), "sketch")
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    classes = stored(classes.where("rep is not null").withColumn("node", F.xxhash64("set_key")), "classes")
-    near = stored(components(candidate_edges(classes.select("node", "sig"), block_rows)), "candidates")
-    members = classes.select("node", "rep", "set_key", "n_shingles").join(near, "node")
+    # The number is unique and, once stored, fixed: the table is only read from here on.
+    classes = stored(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    candidates = candidate_edges(classes, block_rows)
+    near = stored(components(candidates), "candidates")
+    members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near, "node")
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
-    groups = stored(components(confirmed_links(members, texts, block_rows)), "groups")
-    owned = classes.select("node", "set_key", "rep").join(groups, "node")
-    named = owned.join(owned.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("set_key", "component_id", "comp")
-    alone = classes.select("set_key", "rep", "node")
-    names = alone.join(named, "set_key", "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("comp", "node").alias("grp"))
-    # Rows of the few classes with very many copies look their names up by broadcast: a
-    # class is one of those if it has over 1 / HOT_CLASSES of all rows, so there are at
-    # most HOT_CLASSES.  No other key can weigh down a task of the join.
+    links = confirmed_links(members, texts, block_rows)
+    groups = stored(components(links), "groups")
+    owned = classes.select("node", "set_key", "rep", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = owned.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("set_key").alias("grp"), F.count("*").alias("n"))
+    names = stored(salted_join(owned, least, "comp", "node", "n").select("set_key", "component_id", "grp", "copies"), "names")
     own = sketched.select("id", "n_shingles", "set_key", *extra)
-    hot = classes.where(F.col("copies") > sketched.count() / HOT_CLASSES).select("set_key")
-    few = own.join(F.broadcast(hot.join(names, "set_key")), "set_key")
-    rest = own.join(F.broadcast(hot), "set_key", "left_anti").join(names, "set_key", "left")
-    grp = F.when(F.col("set_key").isNotNull(), F.coalesce("grp", F.xxhash64("set_key")))
-    return few.unionByName(rest).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), grp.alias("grp"), *extra)
+    found = salted_join(own.where("set_key is not null"), names, "set_key", "id", "copies", "left")
+    empty = own.where("set_key is null").withColumns({"component_id": F.lit(None).cast("long"), "grp": F.lit(None).cast("binary")})
+    every = found.drop("copies").unionByName(empty)
+    discard(near, groups, classes, *candidates, *links)
+    return every.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("grp", "set_key").alias("grp"), *extra)
 
 
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -73,16 +73,16 @@ def test_one_id_with_two_texts_loses_no_link(spark):
 
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
-    got = {r.node: r.comp for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.comp for r in nd.components([spark.createDataFrame(edges, "a long, b long")]).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[x] == 100 for x in range(100, 160)) and {got[200], got[201], got[202]} == {200}
 
 
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
-    base = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))
+    base = rng.integers(0, 1 << 62, (2, 4000)).astype(np.uint64)
     other = base.copy()
-    other[: len(base) // 10] = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))[: len(base) // 10]
-    share = np.mean([(nd.signature(np.unique(base ^ s)) == nd.signature(np.unique(other ^ s))).mean() for s in rng.integers(0, 1 << 62, 30).astype(np.uint64)])
+    other[:, :400] = rng.integers(0, 1 << 62, (2, 400)).astype(np.uint64)
+    share = np.mean([(nd.signature(base ^ s) == nd.signature(other ^ s)).mean() for s in rng.integers(0, 1 << 62, 30).astype(np.uint64)])
     assert abs(share - 0.9 / 1.1) < 0.05
 
 
@@ -93,5 +93,47 @@ def test_forest_connects_each_row_once():
 
 
 def test_word_hash_does_not_depend_on_place():
-    assert nd.word_hashes(b"aa bb aa")[0] == nd.word_hashes(b"   zz\x0baa")[1]
-    assert len(nd.word_hashes(b" \t\n")) == 0 and len(nd.shingle_set(b"x" * 200_000)) == 1
+    assert (nd.word_hashes(b"aa bb aa")[:, 0] == nd.word_hashes(b"   zz\x0baa")[:, 1]).all()
+    assert nd.word_hashes(b" \t\n").shape == (2, 0) and nd.shingle_set(b"x" * 200_000).shape == (2, 1)
+
+
+def thue_morse(n, a, b):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse_stay_apart(spark):
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    rows = [(1, one), (2, two), (3, " ".join([one, two] * 5)), (4, one.upper())]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (1, 1)}
+
+
+def test_pairs_that_share_one_half_are_distinct():
+    h = np.array([[5, 5, 1, 5, 1], [7, 6, 2, 7, 2]], np.uint64)
+    assert nd.distinct_pairs(h).T.tolist() == [[1, 2], [5, 6], [5, 7]]
+    assert nd.set_forest(np.array([1, 2]), [h[:, :1], h[:, 1:2]]) == []
+
+
+@pytest.mark.parametrize("left", [3, 60])
+def test_collisions_are_counted_from_lists(left):
+    rng = np.random.default_rng(left)
+    sig = rng.integers(0, 3, (60, nd.COORDINATES)).astype(np.int32)
+    lists = nd.Collisions(sig)
+    for least in (1, 8, 17, 32):
+        for i in range(0, 60, 7):
+            rest = rng.permutation(60)[:left]
+            assert (lists.reach(i, rest, least) == ((sig[rest] == sig[i]).sum(1) >= least)).all()
+
+
+def chain(n, spark):
+    """Texts of which only neighbours are linked: every block but a few pairs falls apart."""
+    words = [f"w{i}" for i in range(n * 4 + 100)]
+    return [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(n)]
+
+
+def test_chains_longer_than_blocks_lose_no_link(spark):
+    rows = chain(40, spark)
+    want = brute(rows)
+    df = spark.createDataFrame([(i * 7 % 41, t) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicate_groups(df, block_rows=4).collect()}
+    assert len(set(c for _, c in want.values())) == 1 and set(got.values()) == {0}
