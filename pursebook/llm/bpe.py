@@ -13,8 +13,8 @@ The chunks of a text of up to ``spread_chars`` are worked on in one task; those
 one are dealt over many tasks, stitched by a window over their boundaries, and the pieces
 are dealt again.
 
-Merging is the usual greedy one: the adjacent pair of the lowest rank, leftmost first, from
-a heap, so a pre-token of n bytes costs n log n.  Decoding concatenates the tokens' bytes.
+Merging is the usual greedy one: the adjacent pair of the lowest rank, leftmost first.  The
+pairs of a long pre-token wait in a heap, so one of n bytes costs n log n.  Decoding concatenates the tokens' bytes.
 
 Defined results: a null or empty text has no tokens; repeated rows get equal results;
 characters that the pattern does not match have no tokens; the rank file is a parameter, is
@@ -47,9 +47,6 @@ SPREAD_CHARS = 1 << 18
 SPREAD_CHUNK_CHARS, SPREAD_OVERLAP_CHARS = 1 << 15, 1 << 10
 #: Pre-tokens whose ids a Python worker remembers, and their greatest length.
 KNOWN_TOKENS, KNOWN_CHARS = 300_000, 48
-#: The pairs of longer pre-tokens are kept in a heap.
-SCANNED_BYTES = 100
-_NONE = 1 << 60
 
 IDS = pa.list_(pa.int32())
 _BORDER = re.compile(r"\S\s")
@@ -61,27 +58,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token."""
+    """The ids of one pre-token of any length."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
-    if len(piece) > SCANNED_BYTES:
-        return merge_by_heap(piece, ranks)
-    # Part i is piece[ends[i]:ends[i + 1]]; pairs[i] is the rank of parts i and i + 1.
-    ends, get = list(range(len(piece) + 1)), ranks.get
-    pairs = [get(piece[i : i + 2], _NONE) for i in range(len(piece) - 1)]
-    while pairs and (least := min(pairs)) < _NONE:
-        i = pairs.index(least)
-        del ends[i + 1], pairs[i]
-        if i:
-            pairs[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], _NONE)
-        if i < len(pairs):
-            pairs[i] = get(piece[ends[i] : ends[i + 2]], _NONE)
-    return [ranks[piece[a:b]] for a, b in itertools.pairwise(ends)]
-
-
-def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """As ``merge``; the pairs of a long pre-token wait in a heap."""
     n = len(piece)
     # Part i is piece[i:after[i]]; before[i] is where the part on its left starts.
     after, before = list(range(1, n + 1)), list(range(-1, n))
@@ -108,17 +88,21 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Known(dict):
-    """pre-token -> ids, remembered for short pre-tokens."""
+    """pre-token -> ids.  Short pre-tokens are merged by the library, one at a time, and
+    remembered; long ones, whose time and stack it does not bound, by ``merge``."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        import tiktoken
+
         self.ranks = ranks
+        self.short = tiktoken.Encoding("pre-tokens", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def __missing__(self, token: str) -> list[int]:
-        ids = merge(token.encode(), self.ranks)
-        if len(token) <= KNOWN_CHARS:
-            if len(self) >= KNOWN_TOKENS:
-                self.clear()
-            self[token] = ids
+        if len(token) > KNOWN_CHARS:
+            return merge(token.encode(), self.ranks)
+        if len(self) >= KNOWN_TOKENS:
+            self.clear()
+        ids = self[token] = self.short(token)
         return ids
 
 
