@@ -53,18 +53,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Keys that are dealt into SALTS parts: the largest, of at least HOT_ROWS rows.
+#: Keys of at least HOT_ROWS rows, and of over one row in HOT_KEYS, are dealt into SALTS parts.
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 200
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner") -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each ``key`` and counts the rows
-    of a key in ``count``.
-
-    At most HOT_KEYS keys can have more than one row in HOT_KEYS; those are dealt by a hash
-    of ``spread`` over SALTS partitions, with a copy of the table's row in each, so that no
-    key weighs down a task.  Only the names of those keys are broadcast."""
-    hot = table.where(F.col(count) >= HOT_ROWS).orderBy(F.desc(count), key).limit(HOT_KEYS).select(F.col(key).alias("_hot"))
+    of a key in ``count``; ``total`` is a number of rows, if the caller has it.
+
+    Few keys can have more than one row in HOT_KEYS; those are dealt by a hash of ``spread``
+    over SALTS partitions, with a copy of the table's row in each, so that no key weighs
+    down a task.  Only the names of those keys are broadcast: by the bound that ``total``
+    sets, or the HOT_KEYS largest."""
+    hot = table.where(F.col(count) >= max(HOT_ROWS, (total or 0) // HOT_KEYS))
+    hot = (hot if total is not None else hot.orderBy(F.desc(count), key).limit(HOT_KEYS)).select(F.col(key).alias("_hot"))
     mark = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))

@@ -25,7 +25,7 @@ of the words); two documents are linked where the sets' Jaccard similarity reach
 Large lists and components are dealt twice into blocks of at most ``BLOCK_ROWS`` classes,
 by two independent hashes.  What hangs together inside the blocks of both dealings is one
 part, and a group of near copies is one part after this linear work.  Only classes outside
-a group's largest part go on to meet all its blocks (``group_links``), so no link is lost;
+a group's largest part go on to meet all its blocks (``connected``), so no link is lost;
 the memory of a task is bounded by two blocks.
 
 Defined results: null or empty texts and texts without words have empty sets and are
@@ -36,7 +36,6 @@ Only the named columns are read, so extra or clashing columns do no harm.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -257,52 +256,61 @@ class Collisions:
         return hit
 
 
-def group_links(rows: DataFrame, group: str, ship: Callable[[DataFrame], DataFrame], find: Callable[[pa.Table], list[tuple[int, int]]], block_rows: int, block_weight: int | None = None) -> list[DataFrame]:
-    """Stored (a, b) over rows (group, node, weight): edges that connect what links inside groups
+def stars(edges: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(root, row) for the edges of a forest, so that every tree is a star."""
+    root: dict[int, int] = {}
+    for i, j in edges:
+        root[j] = root.get(i, i)
+        yield root[j], j
+
+
+def connected(rows: DataFrame, group: str, ship: Callable[[DataFrame], DataFrame], find: Callable[[pa.Table], list[tuple[int, int]]], total: int, block_rows: int, block_weight: int | None = None) -> DataFrame:
+    """Stored (node, comp) over rows (group, node, weight): what the links inside groups
     connect.  ``ship`` adds to dealt rows what ``find`` looks at.
 
-    A group of one block is one cell.  A larger one is dealt twice into blocks.  What the
+    A group of one block is one cell.  A larger one is dealt twice into blocks.  What all
     edges connect so far are parts of the group; whatever is outside its largest part is
     then dealt into blocks that meet every block of the group."""
     blocks = lambda n, w: F.least(F.col(n), F.greatest(F.ceil(F.col(n) / block_rows), F.ceil(F.col(w) / block_weight) if block_weight else F.lit(1))).cast("long")
     in_block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1").withColumn("blocks", blocks("n", "w"))
-    sized = stored(salted_join(rows, sizes, group, "node", "n").drop("n", "w"), "sized")
+    sized = stored(salted_join(rows, sizes, group, "node", "n", total=total).drop("n", "w"), "sized")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(in_block(1, "blocks"), F.col("blocks") + in_block(2, "blocks")))
-    edges = stored(edges_by_cell(ship(sized.withColumn("cell", F.explode(cells))), group, find), "edges")
+    edges = edges_by_cell(ship(sized.withColumn("cell", F.explode(cells))), group, find)
+    parts = stored(components(edges), "parts")
     large = sized.where("blocks > 1")
-    if large.isEmpty():
-        discard(sized)
-        return [edges]
-    parts = stored(components([edges]), "parts")
     placed = large.join(parts.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     tally = placed.groupBy(group, "part").agg(F.count("*").alias("k"), F.sum("weight").alias("kw"))
     main = tally.groupBy(group).agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("outer"), (F.sum("kw") - F.max_by("kw", F.struct("k", "part"))).alias("outer_w"))
-    main = main.where("outer > 0").withColumn("outer_blocks", blocks("outer", "outer_w"))
-    split = stored(salted_join(placed, main, group, "node", "n"), "split")
+    main = stored(main.where("outer > 0").withColumn("outer_blocks", blocks("outer", "outer_w")), "main")
+    if main.isEmpty():
+        discard(sized, main)
+        return parts
+    split = salted_join(placed, main, group, "node", "n", total=total)
     cell = lambda o, b: o * F.col("blocks") + b
     until = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     as_member = F.transform(until("outer_blocks"), lambda o: cell(o, in_block(1, "blocks")))
     as_outer = F.when(F.col("part") != F.col("main"), F.transform(until("blocks"), lambda b: cell(in_block(3, "outer_blocks"), b))).otherwise(F.array().cast("array<bigint>"))
     met = split.withColumn("cell", F.explode(F.array_distinct(F.concat(as_member, as_outer))))
-    more = stored(edges_by_cell(ship(met), group, find), "edges")
-    discard(sized, split, parts)
-    return [edges, more]
+    more = edges_by_cell(ship(met), group, find)
+    whole = stored(components(parts.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more)), "parts")
+    discard(sized, main, parts)
+    return whole
 
 
-def candidate_edges(classes: DataFrame, block_rows: int = BLOCK_ROWS) -> list[DataFrame]:
-    """Stored (a, b) over classes (node, sig, n_shingles): a forest of the signature matches in every list."""
+def candidates(classes: DataFrame, total: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Stored (node, comp) over classes (node, sig, n_shingles): what signature matches connect."""
     postings = classes.select("node", F.explode(posting_keys("sig")).alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = salted_join(postings, shared, "key", "node", "df")
+    found = salted_join(postings, shared, "key", "node", "df", total=total)
     w = W.partitionBy("node")
     ranked = found.withColumns({"m": F.count("*").over(w), "r": F.row_number().over(w.orderBy("df", "key"))})
     posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key", F.lit(1).alias("weight"))
     posted = stored(posted, "postings")
     signed = classes.select("node", "sig", "n_shingles")
-    edges = group_links(posted, "key", lambda cells: cells.select("key", "cell", "node").join(signed, "node"), signature_forest, block_rows)
+    found = connected(posted, "key", lambda cells: cells.select("key", "cell", "node").join(signed, "node"), signature_forest, total, block_rows)
     discard(posted)
-    return edges
+    return found
 
 
 def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -318,7 +326,7 @@ def signature_forest(rows: pa.Table) -> list[tuple[int, int]]:
         return [(int(nodes[0]), int(nodes[1]))] if fits(size[:1], size[1:])[0] and (sig[0] == sig[1]).sum() >= MATCHES else []
     lists = Collisions(sig)
     found = forest(len(nodes), np.argsort(nodes, kind="stable"), lambda i, left: lists.reach(i, left, MATCHES) & fits(size[left], size[i]))
-    return [(int(nodes[i]), int(nodes[j])) for i, j in found]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in stars(found)]
 
 
 def set_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -346,14 +354,14 @@ def set_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
             hit[hit] = LINK_DENOMINATOR * both >= LINK_NUMERATOR * (n + sizes[i] - both)
         return hit
 
-    return [(int(nodes[i]), int(nodes[j])) for i, j in forest(len(nodes), np.argsort(nodes), neighbours)]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in stars(forest(len(nodes), np.argsort(nodes), neighbours))]
 
 
-def confirmed_links(members: DataFrame, texts: DataFrame, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> list[DataFrame]:
-    """Stored (a, b) for members (node, comp, rep, set_key, weight): links inside candidate
-    components, on full sets.  texts: (rep, text)."""
+def confirmed(members: DataFrame, texts: DataFrame, total: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """Stored (node, comp) for members (node, comp, rep, set_key, weight): what links inside
+    candidate components, on full sets, connect.  texts: (rep, text)."""
     ship = lambda cells: cells.select("comp", "cell", "node", "rep", "set_key").join(texts, "rep").select("comp", "cell", "node", "set_key", "text")
-    return group_links(members, "comp", ship, text_forest, block_rows, block_shingles)
+    return connected(members, "comp", ship, text_forest, total, block_rows, block_shingles)
 
 
 def text_forest(rows: pa.Table) -> list[tuple[int, int]]:
@@ -368,20 +376,19 @@ def text_forest(rows: pa.Table) -> list[tuple[int, int]]:
     return set_forest(np.array(list(sets), np.int64), list(sets.values())) if len(sets) > 1 else []
 
 
-def components(tables: list[DataFrame], max_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(node, comp) for every node of (a, b): comp is the smallest node that it can reach.
 
     Alternates large-star and small-star steps; each round's edges are a table in the
     shared folder, so lineage stays short; a hub's edges are dealt over many tasks."""
-    edges = functools.reduce(DataFrame.unionByName, tables)
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     was = mark(now)
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).withColumn("low", F.least("u", "low"))
-        large = salted_join(both, least, "u", "v", "n").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
-        joined = salted_join(large, large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "u", "v", "n")
+        large = salted_join(both, least, "u", "v", "n", total=was[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
+        joined = salted_join(large, large.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")), "u", "v", "n", total=was[0])
         small = joined.select(F.when(F.col("v") == F.col("low"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("low").alias("v")).where("u <> v").distinct()
         before, now = now, stored(small, "edges")
         discard(before)
@@ -402,20 +409,19 @@ def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_co
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     # The number is unique and, once stored, fixed: the table is only read from here on.
     classes = stored(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
-    candidates = candidate_edges(classes, block_rows)
-    near = stored(components(candidates), "candidates")
+    total = sketched.count()
+    near = candidates(classes, total, block_rows)
     members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near, "node")
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
-    links = confirmed_links(members, texts, block_rows)
-    groups = stored(components(links), "groups")
+    groups = confirmed(members, texts, total, block_rows)
     owned = classes.select("node", "set_key", "rep", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = owned.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("set_key").alias("grp"), F.count("*").alias("n"))
-    names = stored(salted_join(owned, least, "comp", "node", "n").select("set_key", "component_id", "grp", "copies"), "names")
+    names = stored(salted_join(owned, least, "comp", "node", "n", total=total).select("set_key", "component_id", "grp", "copies"), "names")
     own = sketched.select("id", "n_shingles", "set_key", *extra)
-    found = salted_join(own.where("set_key is not null"), names, "set_key", "id", "copies", "left")
+    found = salted_join(own.where("set_key is not null"), names, "set_key", "id", "copies", "left", total=total)
     empty = own.where("set_key is null").withColumns({"component_id": F.lit(None).cast("long"), "grp": F.lit(None).cast("binary")})
     every = found.drop("copies").unionByName(empty)
-    discard(near, groups, classes, *candidates, *links)
+    discard(near, groups, classes)
     return every.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("grp", "set_key").alias("grp"), *extra)
 
 

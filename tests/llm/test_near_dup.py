@@ -73,7 +73,7 @@ def test_one_id_with_two_texts_loses_no_link(spark):
 
 def test_components_of_paths_stars_and_cycles(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, x) for x in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
-    got = {r.node: r.comp for r in nd.components([spark.createDataFrame(edges, "a long, b long")]).collect()}
+    got = {r.node: r.comp for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[x] == 100 for x in range(100, 160)) and {got[200], got[201], got[202]} == {200}
 
 
@@ -92,6 +92,10 @@ def test_forest_connects_each_row_once():
     assert sorted(tuple(sorted(e)) for e in edges) == [(0, 1), (1, 2), (3, 4)]
 
 
+def test_trees_become_stars():
+    assert list(nd.stars([(0, 1), (1, 2), (3, 4), (2, 5)])) == [(0, 1), (0, 2), (3, 4), (0, 5)]
+
+
 def test_word_hash_does_not_depend_on_place():
     assert (nd.word_hashes(b"aa bb aa")[:, 0] == nd.word_hashes(b"   zz\x0baa")[:, 1]).all()
     assert nd.word_hashes(b" \t\n").shape == (2, 0) and nd.shingle_set(b"x" * 200_000).shape == (2, 1)
