@@ -1,22 +1,27 @@
 """WARC archives with segmented records (operator 5).
 
 Writing: every page becomes a response record, or a revisit of the record that holds the
-same payload.  A record block longer than ``segment_bytes`` is cut into a first segment
-and continuation records; each record is a gzip member of its own.  Archives are rows of
-a binary table in the shared folder, so that they outlive any executor.
+same payload, whose record id it refers to.  A record block longer than ``segment_bytes``
+is cut into a first segment and continuation records; each record is a gzip member of its
+own.  Archives are rows of a binary table in the shared folder, so that they outlive any
+executor.
 
-Reading: archives are parsed where they lie.  A record that is whole is decoded at once
-and only its results travel; segments travel with their bytes, are grouped by the id of
-the record they continue, ordered by segment number, checked against the total length
-and joined.  Then chunked transfer framing is decoded and the payload is digested.
+Reading: archives are parsed where they lie, each in one pass.  A record that is whole is
+decoded at once and only its results travel; segments travel with their bytes, are grouped
+by the id of the record they continue, ordered by segment number, checked against the total
+length and joined.  Then chunked transfer framing is decoded and the payload is digested.
 
-Skew: the representative of equal payloads comes from a min() with map-side combine, and
-is joined back on the digest, which AQE can split.  A group of segments is one page.
+Skew: the representative of equal payloads comes from a min() with map-side combine; a
+digest with very many pages is dealt over many tasks where it is joined back.  A group of
+segments is one page; repeats of it are combined before they travel.
 
 Defined results: null html is an empty payload; a null url is an empty one; a row that
-repeats id, url and payload is a logical record with ``copies``, and op5 returns each row; rows with a null id are responses unless a
-row with an id has the same payload; gaps, wrong totals or bad framing give a text in
-``error`` and no payload.  Only the named columns are read.
+repeats id, url and payload is a logical record with ``copies``, and op5 returns each row;
+rows with a null id are responses unless a row with an id has the same payload; gaps, wrong
+totals or bad framing give a text in ``error`` and no payload.  Bytes that are no gzip
+member, and records without an id or with unusable headers, are rows with an ``error``;
+reading goes on at the next gzip member.  An empty table gives no archives and no rows.
+Only the named columns are read, so extra or clashing columns do no harm.
 """
 
 from __future__ import annotations
@@ -30,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, read_table, record, stored
+from pursebook.llm.common import byte_rows, column_function, read_table, record, salted_join, stored
 
 SEGMENT_BYTES = 1 << 14
 ARCHIVE_BYTES = 4 << 20
 CHUNK_BYTES = 4096
+READ_BYTES = 1 << 16
+GZIP_MAGIC = b"\x1f\x8b\x08"
 #: Shorter payloads are never revisits.
 MIN_REVISIT_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
@@ -56,6 +63,8 @@ def unframe_chunks(body: bytes) -> bytes:
         end = body.index(b"\r\n", at)
         size = int(body[at:end].split(b";")[0], 16)
         at = end + 2
+        if size < 0:
+            raise ValueError("a chunk of negative size")
         if not size:
             return b"".join(parts)
         if body[at + size : at + size + 2] != b"\r\n":
@@ -88,13 +97,13 @@ def record_id(page_id: object, url: str, digest: str) -> str:
     return f"<urn:page:{'' if page_id is None else page_id}:{digest[:24]}:{tail}>"
 
 
-def records_of(page_id: object, url: str, html: bytes, digest: str, first: object, segment_bytes: int) -> Iterator[bytes]:
-    """The gzip members that archive one page; ``first`` is the page that it revisits."""
+def records_of(page_id: object, url: str, html: bytes, digest: str, first: dict | None, segment_bytes: int) -> Iterator[bytes]:
+    """The gzip members that archive one page; ``first`` is the page (page_id, url) that it revisits."""
     rid = record_id(page_id, url, digest)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     own = [("WARC-Record-ID", rid), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     if first is not None:
-        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{first}>")]
+        more = [("WARC-Type", "revisit"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(first["page_id"], first["url"], digest)), ("WARC-Refers-To-Target-URI", _clean(first["url"]))]
         yield _record(more + own, head + b"Content-Length: %d\r\n\r\n" % len(html))
         return
     block = head + b"Transfer-Encoding: chunked\r\n\r\n" + frame_chunks(html)
@@ -111,17 +120,17 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("html"), F.sha2(payload, 256).alias("digest"))
     firsts = (
         rows.where(F.octet_length("html") >= MIN_REVISIT_BYTES).groupBy("digest")
-        .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+        .agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     )
-    rows = rows.join(firsts.select("digest", "first"), "digest", "left")
-    rows = rows.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
+    rows = salted_join(rows.withColumn("place", F.xxhash64("page_id", "url")), firsts, "digest", "place", "n", "left")
+    rows = rows.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
 
     def write(batches):
         held, size = [], 0
         for batch in batches:
-            cols = batch.to_pydict()
-            for page, url, html, digest, first in zip(cols["page_id"], cols["url"], cols["html"], cols["digest"], cols["first"]):
-                for member in records_of(page, url, html, digest, first, segment_bytes):
+            small = batch.select(["page_id", "url", "digest", "first"]).to_pylist()
+            for row, html in zip(small, byte_rows(batch.column("html"))):
+                for member in records_of(row["page_id"], row["url"], html, row["digest"], row["first"], segment_bytes):
                     held.append(member)
                     size += len(member)
                     if size >= archive_bytes:
@@ -133,15 +142,27 @@ def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     return rows.select("page_id", "url", "html", "digest", "first").mapInArrow(write, "data binary")
 
 
-def members(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one gzip member after the other."""
-    while data:
-        z = zlib.decompressobj(31)
-        raw = z.decompress(data) + z.flush()
-        if not z.eof:
-            raise ValueError("an archive is cut off")
-        yield raw
-        data = z.unused_data
+def members(data: bytes) -> Iterator[tuple[bytes | None, str | None]]:
+    """(record, None) for each gzip member of an archive, (None, error) for what is none.
+
+    The archive is fed in blocks, so what is left of it is never copied."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        start, z, parts = at, zlib.decompressobj(31), []
+        try:
+            while at < len(data) and not z.eof:
+                block = view[at : at + READ_BYTES]
+                parts.append(z.decompress(block))
+                at += len(block) - len(z.unused_data)
+            error = None if z.eof else "a gzip member is cut off"
+        except zlib.error as e:
+            error = f"not a gzip member: {e}"
+        if error is None:
+            yield b"".join(parts), None
+        else:
+            yield None, error
+            at = data.find(GZIP_MAGIC, start + 1)
+            at = len(data) if at < 0 else at
 
 
 def _finish(row: dict, block: bytes) -> dict:
@@ -159,19 +180,28 @@ def _finish(row: dict, block: bytes) -> dict:
 
 
 def parse_record(raw: bytes) -> dict:
+    """A record's fields; what cannot be read is named in ``error``."""
+    blank = dict.fromkeys(f.name for f in RECORDS)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     h = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    block = rest[: int(h["content-length"])]
-    number = h.get("warc-segment-number")
-    row = dict.fromkeys(f.name for f in RECORDS) | {
-        "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "segment": int(number) if number else None,
-        "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, "kind": h["warc-type"],
-        "uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to"), "declared": h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+    origin = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+    row = blank | {
+        "origin": origin, "kind": h.get("warc-type"), "uri": h.get("warc-target-uri"), "refers_to": h.get("warc-refers-to"),
+        "declared": h.get("warc-payload-digest", "").removeprefix("sha256:") or None,
     }
-    if row["segment"] is not None:
-        return row | {"block": block}
-    return _finish(row, block)
+    if not lines[0].startswith("WARC/") or not origin or not row["kind"]:
+        return row | {"origin": None, "error": "no WARC record, or one without type or id"}
+    try:
+        size = int(h["content-length"])
+        number, total = (int(h[k]) if k in h else None for k in ("warc-segment-number", "warc-segment-total-length"))
+    except (KeyError, ValueError) as e:
+        return row | {"error": f"unusable header: {e}"}
+    if not 0 <= size <= len(rest):
+        return row | {"error": f"{len(rest)} bytes of a block of {size}"}
+    if number is not None:
+        return row | {"segment": number, "total": total, "block": rest[:size]}
+    return _finish(row, rest[:size])
 
 
 JOINED = record(payload_bytes=pa.int64(), payload_digest=pa.string(), error=pa.string())
@@ -198,7 +228,8 @@ def reassemble(segments: pa.Array) -> pa.Array:
 
 
 def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
-    """(record_id, kind, uri, refers_to, payload_bytes, payload_digest, error, copies): one row per logical record.
+    """(record_id, kind, uri, refers_to, payload_bytes, payload_digest, error, copies): one row
+    per logical record, and one without id for each place that holds none.
 
     copies: how many records in the archives start it."""
 
@@ -206,9 +237,9 @@ def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
         for batch in batches:
             for data in byte_rows(batch.column(0)):
                 rows, size = [], 0
-                for raw in members(data):
-                    rows.append(parse_record(raw))
-                    size += len(rows[-1]["block"] or b"") + 200
+                for raw, error in members(data):
+                    rows.append(parse_record(raw) if error is None else {"error": error})
+                    size += len(rows[-1].get("block") or b"") + 200
                     if size > ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, pa.schema(RECORDS))
                         rows, size = [], 0
@@ -217,11 +248,13 @@ def read_archives(archives: DataFrame, data_col: str = "data") -> DataFrame:
     ddl = "origin string, segment int, total long, kind string, uri string, refers_to string, declared string, payload_bytes long, payload_digest string, block binary, error string"
     rows = archives.select(data_col).mapInArrow(parse, ddl)
     piece = F.when(F.col("segment").isNotNull(), F.struct("segment", "total", "declared", "block"))
-    is_head = F.col("kind") != "continuation"
+    is_head = ~F.col("kind").eqNullSafe(F.lit("continuation"))
     head = [F.max(F.when(is_head, F.col(c))).alias(c) for c in ("kind", "uri", "refers_to", "payload_bytes", "payload_digest", "error")]
-    joined = rows.groupBy("origin").agg(*head, F.count_if(is_head).alias("copies"), F.array_sort(F.array_distinct(F.collect_list(piece))).alias("parts")).withColumn("j", reassemble("parts"))
+    # What has no id is a row of its own.
+    group = F.coalesce("origin", F.concat(F.lit("?"), F.monotonically_increasing_id().cast("string")))
+    joined = rows.groupBy(group.alias("group")).agg(F.max("origin").alias("record_id"), *head, F.count_if(is_head).alias("copies"), F.array_sort(F.collect_set(piece)).alias("parts"))
     either = [F.coalesce(f"j.{c}", c).alias(c) for c in ("payload_bytes", "payload_digest", "error")]
-    return joined.select(F.col("origin").alias("record_id"), "kind", "uri", "refers_to", *either, "copies")
+    return joined.withColumn("j", reassemble("parts")).select("record_id", "kind", "uri", "refers_to", *either, "copies")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
