@@ -72,7 +72,8 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count:
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     left = mark(rows).withColumn("_salt", salt).drop("_hot")
     right = mark(table).withColumn("_salt", F.explode(salts)).drop("_hot")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    # Both sides grow with the corpus: no broadcast, whatever their size is today.
+    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def held_out(id_col: str | Column) -> Column:

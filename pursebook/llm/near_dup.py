@@ -22,11 +22,11 @@ of the words); two documents are linked where the sets' Jaccard similarity reach
    full sets by a search that visits each class once and again emits a forest only.
 6. Components over the confirmed links give component_id; every row looks up its class.
 
-Large lists and components are dealt twice into blocks of at most ``BLOCK_ROWS`` classes,
-by two independent hashes.  What hangs together inside the blocks of both dealings is one
+Large lists and components are dealt twice into blocks of about ``BLOCK_ROWS`` classes, by
+two independent hashes.  What hangs together inside the blocks of both dealings is one
 part, and a group of near copies is one part after this linear work.  Only classes outside
 a group's largest part go on to meet all its blocks (``connected``), so no link is lost;
-the memory of a task is bounded by two blocks.
+the memory of a task is bounded by a cell.
 
 Defined results: null or empty texts and texts without words have empty sets and are
 linked with nothing; fewer than five words are one shingle; repeated rows are in one
@@ -53,7 +53,9 @@ LINK_NUMERATOR, LINK_DENOMINATOR = 85, 100
 COORDINATES = 32
 #: At a similarity of 0.85 a pair agrees in fewer than 17 of 32 with probability 3.5e-6.
 MATCHES = 17
-BLOCK_ROWS = 500
+#: A larger group is dealt into blocks of so many classes; one of up to CELL_BLOCKS such
+#: blocks, and so many outer classes, meet in one cell.
+BLOCK_ROWS, CELL_BLOCKS = 64, 8
 #: Shingles of one block of a component, where its texts are long.
 BLOCK_SHINGLES = 1_000_000
 #: Words whose hashes a Python worker remembers between texts.
@@ -271,9 +273,11 @@ def connected(rows: DataFrame, group: str, ship: Callable[[DataFrame], DataFrame
     A group of one block is one cell.  A larger one is dealt twice into blocks.  What all
     edges connect so far are parts of the group; whatever is outside its largest part is
     then dealt into blocks that meet every block of the group."""
-    blocks = lambda n, w: F.least(F.col(n), F.greatest(F.ceil(F.col(n) / block_rows), F.ceil(F.col(w) / block_weight) if block_weight else F.lit(1))).cast("long")
+    cell_rows = CELL_BLOCKS * block_rows
+    by_weight = lambda w: F.ceil(F.col(w) / block_weight) if block_weight else F.lit(1)
+    blocks = lambda n, w, rows: F.least(F.col(n), F.greatest(F.when(F.col(n) <= cell_rows, 1).otherwise(F.ceil(F.col(n) / rows)), by_weight(w))).cast("long")
     in_block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1").withColumn("blocks", blocks("n", "w"))
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).where("n > 1").withColumn("blocks", blocks("n", "w", block_rows))
     sized = stored(salted_join(rows, sizes, group, "node", "n", total=total).drop("n", "w"), "sized")
     cells = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array(in_block(1, "blocks"), F.col("blocks") + in_block(2, "blocks")))
     edges = edges_by_cell(ship(sized.withColumn("cell", F.explode(cells))), group, find)
@@ -282,7 +286,7 @@ def connected(rows: DataFrame, group: str, ship: Callable[[DataFrame], DataFrame
     placed = large.join(parts.withColumnRenamed("comp", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     tally = placed.groupBy(group, "part").agg(F.count("*").alias("k"), F.sum("weight").alias("kw"))
     main = tally.groupBy(group).agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("n"), (F.sum("k") - F.max("k")).alias("outer"), (F.sum("kw") - F.max_by("kw", F.struct("k", "part"))).alias("outer_w"))
-    main = stored(main.where("outer > 0").withColumn("outer_blocks", blocks("outer", "outer_w")), "main")
+    main = stored(main.where("outer > 0").withColumn("outer_blocks", blocks("outer", "outer_w", cell_rows)), "main")
     if main.isEmpty():
         discard(sized, main)
         return parts
@@ -308,7 +312,7 @@ def candidates(classes: DataFrame, total: int, block_rows: int = BLOCK_ROWS) ->
     posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key", F.lit(1).alias("weight"))
     posted = stored(posted, "postings")
     signed = classes.select("node", "sig", "n_shingles")
-    found = connected(posted, "key", lambda cells: cells.select("key", "cell", "node").join(signed, "node"), signature_forest, total, block_rows)
+    found = connected(posted, "key", lambda cells: cells.select("key", "cell", "node").join(signed.hint("merge"), "node"), signature_forest, total, block_rows)
     discard(posted)
     return found
 
@@ -360,7 +364,7 @@ def set_forest(nodes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
 def confirmed(members: DataFrame, texts: DataFrame, total: int, block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Stored (node, comp) for members (node, comp, rep, set_key, weight): what links inside
     candidate components, on full sets, connect.  texts: (rep, text)."""
-    ship = lambda cells: cells.select("comp", "cell", "node", "rep", "set_key").join(texts, "rep").select("comp", "cell", "node", "set_key", "text")
+    ship = lambda cells: cells.select("comp", "cell", "node", "rep", "set_key").join(texts.hint("merge"), "rep").select("comp", "cell", "node", "set_key", "text")
     return connected(members, "comp", ship, text_forest, total, block_rows, block_shingles)
 
 
@@ -411,10 +415,10 @@ def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_co
     classes = stored(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     total = sketched.count()
     near = candidates(classes, total, block_rows)
-    members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near, "node")
+    members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near.hint("merge"), "node")
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
     groups = confirmed(members, texts, total, block_rows)
-    owned = classes.select("node", "set_key", "rep", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    owned = classes.select("node", "set_key", "rep", "copies").join(groups.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = owned.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("set_key").alias("grp"), F.count("*").alias("n"))
     names = stored(salted_join(owned, least, "comp", "node", "n", total=total).select("set_key", "component_id", "grp", "copies"), "names")
     own = sketched.select("id", "n_shingles", "set_key", *extra)

@@ -46,7 +46,7 @@ def corpus(seed, families=12, copies=9):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("seed,block", [(0, 2000), (1, 3)])
+@pytest.mark.parametrize("seed,block", [(0, nd.BLOCK_ROWS), (1, 1)])
 def test_groups_equal_brute_force(spark, seed, block):
     rows = corpus(seed) + [(9001, None), (9002, ""), (9003, " \n "), (9004, "one two"), (9005, "One  TWO"), (9006, "two one"), (9007, "a b c d e"), (9008, "A b c d e\t")]
     want = brute(rows)
@@ -139,5 +139,5 @@ def test_chains_longer_than_blocks_lose_no_link(spark):
     rows = chain(40, spark)
     want = brute(rows)
     df = spark.createDataFrame([(i * 7 % 41, t) for i, t in rows], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in nd.near_duplicate_groups(df, block_rows=4).collect()}
+    got = {r.doc_id: r.component_id for r in nd.near_duplicate_groups(df, block_rows=1).collect()}
     assert len(set(c for _, c in want.values())) == 1 and set(got.values()) == {0}
