@@ -3,17 +3,21 @@
 A text is a vector of counts of its 2- and 3-byte grams (lower case, letters only),
 hashed to ``DIMENSIONS`` places, damped by a square root, weighted by inverse document
 frequency and normalised.  Each language has several centroids, found by spherical
-k-means.  The nearest centroid by cosine names the language; a text farther from it than
-nearly all training texts are from theirs is marked as rejected.
+k-means, each language in a Spark task of its own.  The nearest centroid by cosine names
+the language; a text farther from it than nearly all training texts are from theirs is
+marked as rejected.
 
 Bounds: document frequencies are counted over all learnable documents, in Spark.  The
-centroids are fitted on about ``PER_LANGUAGE`` blocks of text of each language (at most
-``MAX_LANGUAGES`` languages, the most frequent ones).  The model is broadcast; its size
-is languages x centroids x dimensions.  Scoring reads every whole text, in slices.
+centroids of a language are fitted on about ``PER_LANGUAGE`` of its documents, with their
+whole texts; every language that occurs has some, however many there are.  The model is
+broadcast; its size is languages x centroids x dimensions.  Scoring reads every whole text,
+in slices that overlap, so that no gram is lost or added at a cut.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without
 any learnable document everything is ``und``; repeated rows get equal results; ties go to
-the language that sorts first.  Language, source and id are never inputs of a score.
+the language that sorts first; very long texts are whole.  Language, source and id are
+never inputs of a score.  Only the named columns are read, so extra or clashing columns do
+no harm.
 """
 
 from __future__ import annotations
@@ -21,18 +25,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import column_function, held_out, read_table, record
-from pursebook.llm.learning import block_of_text, hash_share
+from pursebook.llm.common import column_function, discard, held_out, read_table, record, stored
+from pursebook.llm.learning import hash_share
 
 BITS = 12
 DIMENSIONS = 1 << BITS
 CENTROIDS = 3
 PER_LANGUAGE = 800
-MAX_LANGUAGES = 200
 #: Share of training texts that the rejection distance lets through.
 ACCEPTED = 0.995
 SHARPNESS = 25.0
@@ -63,21 +67,24 @@ def count_vectors(texts: list[str]) -> np.ndarray:
         nonlocal held, size
         if not held:
             return
-        joined = np.frombuffer(b"".join(_BEFORE + b + _AFTER for _, b in held), np.uint8)
-        lengths = np.array([len(b) + len(_BEFORE + _AFTER) for _, b in held])
+        joined = np.frombuffer(b"".join(b for _, b in held), np.uint8)
+        lengths = np.array([len(b) for _, b in held])
         local = np.repeat(np.arange(len(held), dtype=np.int64), lengths)[:-2] << BITS
-        blank = (joined[:-2] == 32) & (joined[1:-1] == 32)
+        counted = (joined[:-2] != 32) | (joined[1:-1] != 32)
+        # The last two bytes of a slice start no gram: the next slice repeats them.
+        ends = np.cumsum(lengths)[:-1]
+        counted[ends - 1] = counted[ends - 2] = False
         total = np.zeros(len(held) << BITS, np.int64)
         for places in grams(joined):
-            total += np.bincount((local + places)[~blank], minlength=len(total))
+            total += np.bincount((local + places)[counted], minlength=len(total))
         for (i, _), row in zip(held, total.reshape(len(held), DIMENSIONS)):
             out[i] += row
         held, size = [], 0
 
     for i, text in enumerate(texts):
-        data = text.lower().encode().translate(_TO_SPACE)
-        for at in range(0, max(1, len(data)), SLICE_BYTES):
-            part = data[at : at + SLICE_BYTES]
+        data = _BEFORE + text.lower().encode().translate(_TO_SPACE) + _AFTER
+        for at in range(0, len(data) - 2, SLICE_BYTES):
+            part = data[at : at + SLICE_BYTES + 2]
             held.append((i, part))
             size += len(part)
             if size >= SLICE_BYTES or len(held) >= 256:
@@ -126,25 +133,34 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return np.array([found.get(i, 0) for i in range(DIMENSIONS)], float), found.get(-1, 0)
 
 
+CENTROID = "lang string, centroids array<array<float>>, near array<double>"
+
+
 def train(docs: DataFrame, lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> dict:
     rows = docs.select("doc_id", "text", F.col(lang_col).alias("lang")).where("text is not null and lang is not null and doc_id is not null").where(~held_out("doc_id"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    # Stored tables have known sizes, by which Spark chooses how to join them.
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     df, n = document_frequencies(rows)
     idf = (np.log((n + 1) / (df + 1)) + 0.05).astype(np.float32)
-    rate = F.coalesce(*[F.when(F.col("lang") == name, F.lit(per_language / c)) for name, c in counts.items()], F.lit(0.0)) if counts else F.lit(0.0)
-    sample = rows.where(hash_share("doc_id") < rate).select("lang", block_of_text("text", "doc_id").alias("b")).limit(2 * per_language * max(1, len(counts))).collect()
-    names, centroids, owner, near = sorted(counts), [], [], []
-    for i, name in enumerate(names):
-        texts = [r.b for r in sample if r.lang == name and _LETTER.search(r.b)]
-        if not texts:
-            continue
-        v = weigh(count_vectors(texts), idf)
+    chosen = rows.select("doc_id", "lang").join(counts, "lang").where(hash_share("doc_id") < per_language / F.col("n")).select("doc_id", "lang").distinct()
+    chosen = stored(chosen, "sample")
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def fit(texts: pd.DataFrame) -> pd.DataFrame:
+        own = [t for t in texts["text"].sort_values() if _LETTER.search(t)]
+        if not own:
+            return pd.DataFrame({"lang": [], "centroids": [], "near": []})
+        v = weigh(count_vectors(own), shared.value)
         c = spherical_kmeans(v, CENTROIDS)
-        centroids.append(c)
-        owner += [i] * len(c)
-        near.append((v @ c.T).max(1))
-    limit = float(np.quantile(np.concatenate(near), 1 - ACCEPTED)) if near else 0.0
-    return {"names": names, "idf": idf, "centroids": np.vstack(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), "owner": np.array(owner, int), "limit": limit}
+        return pd.DataFrame({"lang": texts["lang"].iloc[:1], "centroids": [c.tolist()], "near": [(v @ c.T).max(1).astype(float).tolist()]})
+
+    found = sorted(rows.join(chosen, ["doc_id", "lang"]).select("lang", "text").groupBy("lang").applyInPandas(fit, CENTROID).collect(), key=lambda r: r.lang)
+    discard(counts, chosen)
+    near = [x for r in found for x in r.near]
+    return {
+        "names": [r.lang for r in found], "idf": idf, "centroids": np.array([c for r in found for c in r.centroids], np.float32).reshape(-1, DIMENSIONS),
+        "owner": np.array([i for i, r in enumerate(found) for _ in r.centroids], int), "limit": float(np.quantile(near, 1 - ACCEPTED)) if near else 0.0,
+    }
 
 
 GUESS = record(lang_pred=pa.string(), score=pa.float64(), cosine=pa.float64(), rejected=pa.bool_())

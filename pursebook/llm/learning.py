@@ -1,8 +1,9 @@
 """Bounded training samples and small linear models for the text classifiers.
 
-Every sample is bounded by a parameter: rows are chosen by a hash of their id with a
-rate that follows from exact counts, so a sample does not depend on partitioning.  Only
-ids of the sample (never texts) are broadcast, and their number is the parameter.
+Every sample is bounded in rows by a parameter, and takes their whole texts: rows are chosen
+by a hash of their id with a rate that follows from exact counts, so a sample does not
+depend on partitioning.  Only ids of the sample (never texts) are broadcast, and their
+number is the parameter.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pursebook.llm.common import held_out
 
-BLOCK_CHARS = 4096
+#: Seed of the hash by which labelled rows are split into disjoint parts.
+PARTS_SEED = 1009
 
 
 def hash_share(*cols: str | Column, seed: int = 0) -> Column:
@@ -21,10 +23,12 @@ def hash_share(*cols: str | Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 30)) / float(1 << 30)
 
 
-def labelled_sample(labels: DataFrame, label_col: str, per_class: int, seed: int = 0) -> DataFrame:
-    """(doc_id, y) of about ``per_class`` learnable rows of each class (never over twice that)."""
+def labelled_sample(labels: DataFrame, label_col: str, per_class: int, seed: int = 0, part: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(doc_id, y) of about ``per_class`` learnable rows of each class (never over twice that),
+    of those alone whose hash falls into ``part``: samples of disjoint parts share no row."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
-    rows = rows.groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
+    place = hash_share("doc_id", seed=PARTS_SEED)
+    rows = rows.where((place >= part[0]) & (place < part[1])).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = F.when(F.col("y") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
     return rows.where(hash_share("doc_id", seed=seed) < rate).limit(4 * per_class)
@@ -37,12 +41,6 @@ def class_prior(labels: DataFrame, label_col: str) -> float:
     return 0.5 if share is None else float(min(max(share, 1e-4), 1 - 1e-4))
 
 
-def block_of_text(text: str, doc_id: str, chars: int = BLOCK_CHARS) -> Column:
-    """A block of the text at a place chosen by the row's id: bounds what training ships."""
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    return F.substring(F.col(text), (F.pmod(F.xxhash64(doc_id), room) + 1).cast("int"), F.lit(chars))
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, l2: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights of a logistic regression by Newton steps; the last one is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])

@@ -2,20 +2,22 @@
 
 One zstandard dictionary is built from text labelled good, one from text labelled bad.
 A text is compressed in blocks with each of them; the difference of the compressed
-sizes, normalised by their sum, says which kind of text it resembles.  Blocks keep the
-measure alike at every length: with one frame for a long text, the dictionary would
-matter at its start only.  A logistic model calibrates that difference (as a whole and
-at its extreme over the blocks); it also sees how far the text shrinks without any
-dictionary, which tells endless repetition from a known phrase.
-
-Bounds: the dictionaries are built from at most ``2 * per_class`` blocks of
-``BLOCK_CHARS`` characters of each class, the calibration from as many whole texts of
-which only the features reach the driver.  The dictionaries (``DICT_BYTES`` each) are
+sizes, normalised by their sum and by the length, says which kind of text it resembles.
+(A good text gains from the dictionary of good ones on every byte.  Endless repetition,
+which shrinks to nothing with either, does not.)  Blocks keep the measure alike at every length: with one
+frame for a long text, the dictionary would matter at its start only.  A logistic model calibrates that difference, of the whole text
+and at its extremes over the blocks, into a score; nothing else is an input of it.
+
+Bounds: the dictionaries are built from about ``per_class`` whole texts of each class, the
+calibration from as many others, of which only the differences reach the driver: labelled
+rows are split by a hash, so no text is both.  The dictionaries (``DICT_BYTES`` each) are
 broadcast.  Scoring reads every whole text once and shuffles nothing.
 
-Defined results: a null or empty text gets the score of zero features (the prior's
-side of the calibration); without labels of both classes every score is 0.5; repeated
-rows get equal scores.  Labels, language, source and id are never inputs of a score.
+Defined results: a null or empty text gets the score of a text of average differences;
+without labels of both classes in both parts every score is 0.5; repeated rows get equal
+scores; very long texts are whole, in training too.  Labels, language, source and id are
+never inputs of a score.  Only the named columns are read, so extra or clashing columns do
+no harm.
 """
 
 from __future__ import annotations
@@ -27,19 +29,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursebook.llm.common import byte_rows, column_function, held_out, read_table
-from pursebook.llm.learning import block_of_text, class_prior, class_weights, fit_logistic, labelled_sample, sigmoid
+from pursebook.llm.learning import class_prior, class_weights, fit_logistic, labelled_sample, sigmoid
 
 PER_CLASS = 1500
-DICT_BYTES = 64 << 10
-FRAME_BYTES = 2048
+DICT_BYTES = 256 << 10
+FRAME_BYTES = 1024
 LEVEL = 3
 CUT = 0.3
+#: Labelled rows for the dictionaries, and for the calibration.
+DICTIONARY_PART, CALIBRATION_PART = (0.0, 0.5), (0.5, 1.0)
 N_FEATURES = 6
 
 
-def build_dictionary(blocks: list[bytes]) -> bytes:
+def frames(text: bytes) -> list[memoryview]:
+    view = memoryview(text)
+    return [view[i : i + FRAME_BYTES] for i in range(0, len(text), FRAME_BYTES)]
+
+
+def build_dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary; the raw text itself where there is too little to train on."""
-    blocks = [b for b in blocks if len(b) >= 8]
+    blocks = [bytes(b) for t in texts for b in frames(t) if len(b) >= 8]
     try:
         return zstd.train_dictionary(DICT_BYTES, blocks).as_bytes()
     except zstd.ZstdError:
@@ -51,7 +60,7 @@ class SizeMeter:
 
     def __init__(self, good: bytes, bad: bytes):
         self.runs = []
-        for raw in (good, bad, b""):
+        for raw in (good, bad):
             d = zstd.ZstdCompressionDict(raw) if raw else None
             if d is not None:
                 d.precompute_compress(level=LEVEL)
@@ -59,38 +68,52 @@ class SizeMeter:
             self.runs.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, **options) if d else zstd.ZstdCompressor(level=LEVEL, **options))
 
     def features(self, text: bytes) -> list[float]:
+        """The normalised differences of the whole, the greatest and the least of its full blocks."""
         if not text:
             return [0.0] * N_FEATURES
-        view = memoryview(text)
-        blocks = [view[i : i + FRAME_BYTES] for i in range(0, len(text), FRAME_BYTES)]
-        raw = np.array([len(b) for b in blocks], float)
-        g, b, plain = (np.array([len(run.compress(x)) for x in blocks], float) for run in self.runs)
-        each = (g - b) / (g + b)
-        ratio = np.minimum(plain / raw, 1)
+        blocks = frames(text)
+        raw = np.array([len(b) for b in blocks])
+        g, b = (np.array([len(run.compress(x)) for x in blocks], float) for run in self.runs)
         full = raw >= min(raw.max(), FRAME_BYTES / 4)
-        total = (g.sum() - b.sum()) / (g.sum() + b.sum())
-        packed = min(plain.sum() / raw.sum(), 1.0)
-        return [total, each[full].max(), packed, ratio[full].min(), packed * packed, 1 / np.sqrt(raw.sum())]
+        out = []
+        for norm in (g + b, raw):
+            each = ((g - b) / norm)[full]
+            out += [(g.sum() - b.sum()) / norm.sum(), each.max(), each.min()]
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> dict:
     """Dictionaries and calibration; learns from the learnable folds only."""
     texts = docs.select("doc_id", "text").where("text is not null and text <> ''")
 
-    def of_sample(seed: int, out: str, column) -> list:
-        sample = labelled_sample(labels, label_col, per_class, seed)
+    def of_sample(seed: int, part: tuple[float, float], out: str, column) -> list:
+        sample = labelled_sample(labels, label_col, per_class, seed, part)
         return texts.join(F.broadcast(sample), "doc_id").select("y", column.alias(out)).limit(4 * per_class).collect()
 
-    blocks = of_sample(1, "b", block_of_text("text", "doc_id"))
-    good, bad = ([r.b.encode() for r in blocks if r.y == y] for y in (1, 0))
+    none = {"good": b"", "bad": b"", "weights": [0.0] * (N_FEATURES + 1), "centre": [0.0] * N_FEATURES, "scale": [1.0] * N_FEATURES}
+    rows = of_sample(1, DICTIONARY_PART, "t", F.col("text"))
+    good, bad = ([r.t.encode() for r in rows if r.y == y] for y in (1, 0))
     if not good or not bad:
-        return {"good": b"", "bad": b"", "weights": [0.0] * (N_FEATURES + 1), "centre": [0.0] * N_FEATURES, "scale": [1.0] * N_FEATURES}
+        return none
     model = {"good": build_dictionary(good), "bad": build_dictionary(bad)}
-    rows = of_sample(2, "f", feature_column(docs.sparkSession, model)("text"))
-    x, y = np.array([r.f for r in rows], float).reshape(-1, N_FEATURES), np.array([r.y for r in rows], float)
+    rows = of_sample(2, CALIBRATION_PART, "f", feature_column(docs.sparkSession, model)("text"))
+    if len({r.y for r in rows}) < 2:
+        return none
+    return model | calibrate(np.array([r.f for r in rows], float), np.array([r.y for r in rows], float), class_prior(labels, label_col))
+
+
+def calibrate(x: np.ndarray, y: np.ndarray, prior: float) -> dict:
     centre, scale = x.mean(0), x.std(0) + 1e-9
-    weights = fit_logistic((x - centre) / scale, y, class_weights(y, class_prior(labels, label_col)), l2=0.1)
-    return model | {"weights": weights.tolist(), "centre": centre.tolist(), "scale": scale.tolist()}
+    weights = fit_logistic((x - centre) / scale, y, class_weights(y, prior), l2=0.1)
+    return {"weights": weights.tolist(), "centre": centre.tolist(), "scale": scale.tolist()}
+
+
+def score_of(model: dict, x: np.ndarray) -> np.ndarray:
+    """Features -> scores; no features at all (an empty text) count as average ones."""
+    z = (x - np.array(model["centre"])) / np.array(model["scale"])
+    z[~x.any(axis=1)] = 0
+    w = np.array(model["weights"])
+    return sigmoid(z @ w[:-1] + w[-1])
 
 
 def feature_column(spark: SparkSession, model: dict):
@@ -113,11 +136,7 @@ def score_column(spark: SparkSession, model: dict):
         m = shared.value
         meter = SizeMeter(m["good"], m["bad"])
         x = np.array([meter.features(t) for t in byte_rows(text)], float).reshape(-1, N_FEATURES)
-        empty = ~x.any(axis=1)
-        z = (x - np.array(m["centre"])) / np.array(m["scale"])
-        z[empty] = 0
-        w = np.array(m["weights"])
-        return pa.array(sigmoid(z @ w[:-1] + w[-1]))
+        return pa.array(score_of(m, x))
 
     return score
 

@@ -1,9 +1,12 @@
 """Toxicity by weak supervision (operator 10).
 
-1. Voters.  Words, and word beginnings of several lengths, that occur in toxic-labelled
-   sample documents significantly more often than in others make lexicons: one for each
-   length and each half of the sample.  To these voters come fixed lexicons and patterns
-   (insults, address, shouting, density).  A voter fires or stays silent.
+1. Voters.  Words that occur, and word beginnings of several lengths that occur again and
+   again, in toxic-labelled sample documents significantly more often than in others make
+   lexicons: one for each length and each half of the sample.  (Insults come in numbers and
+   inflected, so one beginning that a text repeats says more than many that it holds once;
+   that is so in every language, also in one of few labels.)  To these voters come fixed
+   lexicons and patterns (insults, address, shouting, density).  A voter fires or stays
+   silent.
 2. Generative label model.  The firing rates and co-firing counts of all voters are
    summed over all documents.  Where voters are independent given the class, the
    covariance of two is the class variance times the product of their separations, so
@@ -11,22 +14,25 @@
    gives each voter's rates on toxic and on clean text.  What the rank-one model leaves
    of a covariance is the correlation of the two voters inside the classes, and voters
    that say the same thing share their weight.
-3. A linear classifier over the single lexicon entries and pattern signals is trained on
+3. A linear classifier over the single lexicon entries and the voters is trained on
    the label model's posterior of a sample, then calibrated on that sample's labels.
 
 Bounds: the samples have about ``PER_CLASS`` documents of each label, chosen by a hash
-of the id; at most ``MAX_ENTRIES`` entries are kept of each length and half; covariances are voters x voters;
-the model is broadcast.  Scoring reads every whole text once and shuffles nothing.
+of the id, with their whole texts; entries must be significant in such a sample, which
+bounds their number; covariances are voters x voters; the model is broadcast.  Scoring
+reads every whole text once and shuffles nothing.
 
 Defined results: a null or empty text has no signal and gets the lowest scores; without
-toxic labels the fixed lexicons alone vote; repeated rows get equal scores.  Labels,
-language, source and id are never inputs of a score.
+toxic labels, or without documents, the fixed lexicons alone vote; repeated rows get equal
+scores; very long texts are whole.  Labels, language, source and id are never inputs of a
+score.  Only the named columns are read, so extra or clashing columns do no harm.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 
 import ahocorasick
 import numpy as np
@@ -38,12 +44,13 @@ from pursebook.llm.common import column_function, held_out, read_table
 from pursebook.llm.learning import class_prior, class_weights, fit_logistic, hash_share, labelled_sample, sigmoid
 
 PER_CLASS = 3000
-MAX_ENTRIES = 200
 MIN_SUPPORT = 4
 #: Least log-odds of an entry between toxic and other sample documents, and the least
 #: likelihood-ratio statistic: chance among millions of words stays below it.
 MIN_LOG_ODDS, MIN_STATISTIC = 1.5, 25.0
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (3, 4, 5, 6, 7)
+#: A beginning counts in a text that has it so often, and once in so many characters.
+REPEATS, RATE_CHARS = 2, 1500
 HALVES = 2
 LEXICON_VOTERS = HALVES * (1 + len(BEGINNINGS))
 CUT = 0.5
@@ -61,6 +68,15 @@ _WORD = re.compile(r"[^\W\d_]+")
 SIGNALS = ("insults", "address", "shouting", "density")
 
 
+def _is_letter(c: str) -> bool:
+    """As in ``_WORD``."""
+    return c.isalnum() and not c.isdecimal()
+
+
+def repeats(count: int, chars: int) -> bool:
+    return count >= REPEATS and count * RATE_CHARS >= chars
+
+
 class Signals:
     """Which entries and patterns a text holds."""
 
@@ -73,41 +89,34 @@ class Signals:
         for text, uses in by_text.items():
             self.machine.add_word(text, (len(text), uses))
         self.machine.make_automaton()
-        self.width = len(entries) + len(SIGNALS)
+        #: Places of the voters: the lexicon voters, then the fixed signals.
+        self.voters = len(entries)
+        self.signals = self.voters + LEXICON_VOTERS
+        self.width = self.signals + len(SIGNALS)
 
-    def of(self, text: str) -> tuple[list[int], int]:
-        """(places of the signals that are present, number of hits)."""
+    def of(self, text: str) -> list[int]:
+        """Places of the entries that are present and of the voters that fire."""
         low = text.lower()
         n, k = len(low), len(self.entries)
-        found, hits, insult = set(), 0, False
+        counts: Counter[int] = Counter()
         for end, (size, uses) in self.machine.iter(low):
             start = end - size + 1
-            if start and low[start - 1].isalpha():
+            if start and _is_letter(low[start - 1]):
                 continue
-            closed = end + 1 == n or not low[end + 1].isalpha()
+            closed = end + 1 == n or not _is_letter(low[end + 1])
             for i, whole in uses:
                 if closed or not whole:
-                    hits += 1
-                    if i < k:
-                        found.add(i)
-                    else:
-                        insult = True
-        if insult:
-            found.add(k)
-            if _ADDRESS.search(low):
-                found.add(k + 1)
-        if "!" in text and _SHOUT.search(text):
-            found.add(k + 2)
-        if hits >= 3 and hits * 400 >= n:
-            found.add(k + 3)
-        return sorted(found), hits
+                    counts[min(i, k)] += 1
+        found = {i for i, c in counts.items() if i < k and (self.entries[i][1] or repeats(c, n))}
+        found |= {self.voters + v for i in found for v in self.entries[i][2]}
+        insults = counts[k]
+        fixed = (insults > 0, insults > 0 and _ADDRESS.search(low), "!" in text and _SHOUT.search(text), insults >= 3 and insults * 400 >= n)
+        return sorted([*found, *(self.signals + i for i, fires in enumerate(fixed) if fires)])
 
     def votes(self, places: list[int]) -> np.ndarray:
-        """Which voters fire: the lexicon voters, then one for each fixed signal."""
-        k = len(self.entries)
-        v = np.zeros(LEXICON_VOTERS + len(SIGNALS))
-        for p in places:
-            v[list(self.entries[p][2]) if p < k else LEXICON_VOTERS + p - k] = 1
+        """Which voters fire."""
+        v = np.zeros(self.width - self.voters)
+        v[[p - self.voters for p in places if p >= self.voters]] = 1
         return v
 
 
@@ -118,9 +127,10 @@ def mine_entries(docs: DataFrame, sample: DataFrame) -> list[tuple[str, bool, tu
     def spread(text: pa.Array) -> pa.Array:
         rows = []
         for t in text:
-            words = {w for w in _WORD.findall((t.as_py() or "").lower()) if 3 <= len(w) <= 40}
-            starts = {w[:n] + "*" for w in words for n in BEGINNINGS if len(w) >= n}
-            rows.append([*words, *starts])
+            low = (t.as_py() or "").lower()
+            words = _WORD.findall(low)
+            starts = Counter(w[:n] for n in BEGINNINGS for w in words if len(w) >= n)
+            rows.append([*set(words), *(w + "*" for w, c in starts.items() if repeats(c, len(low)))])
         return pa.array(rows, pa.list_(pa.string()))
 
     halved = sample.withColumn("half", F.floor(hash_share("doc_id", seed=11) * HALVES).cast("int"))
@@ -131,14 +141,11 @@ def mine_entries(docs: DataFrame, sample: DataFrame) -> list[tuple[str, bool, tu
     a, b, share = F.col("a"), F.col("b"), size(1) / (size(0) + size(1))
     part = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
     counts = counts.where(a >= MIN_SUPPORT).withColumns({"odds": F.log((a + 0.5) / (size(1) + 1)) - F.log((b + 0.5) / (size(0) + 1)), "g2": 2 * (part(a, share) + part(b, 1 - share))})
-    length = F.when(F.col("w").endswith("*"), F.length("w") - 1).otherwise(0)
-    best = counts.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("g2") >= MIN_STATISTIC)).withColumn("length", length)
+    voter_of = {key: i for i, key in enumerate(itertools.product((0, *BEGINNINGS), range(HALVES)))}
     entries: dict[tuple[str, bool], list[int]] = {}
-    for voter, (n, half) in enumerate(itertools.product((0, *BEGINNINGS), range(HALVES))):
-        own = best.where((F.col("length") == n) & (F.col("half") == half)).orderBy(F.desc(a * F.col("odds")), "w").limit(MAX_ENTRIES)
-        found = own.withColumn("voter", F.lit(voter)) if voter == 0 else found.unionByName(own.withColumn("voter", F.lit(voter)))
-    for r in found.select("w", "voter").collect():
-        entries.setdefault((r.w.rstrip("*"), not r.w.endswith("*")), []).append(r.voter)
+    for r in counts.where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("g2") >= MIN_STATISTIC)).select("w", "half").collect():
+        text, whole = r.w.removesuffix("*"), not r.w.endswith("*")
+        entries.setdefault((text, whole), []).append(voter_of[0 if whole else len(text), r.half])
     return [(text, whole, tuple(sorted(v))) for (text, whole), v in sorted(entries.items())]
 
 
@@ -153,7 +160,7 @@ def vote_moments(docs: DataFrame, signals: Signals) -> tuple[int, np.ndarray, np
         for batch in batches:
             n += batch.num_rows
             for t in batch.column(0):
-                v = s.votes(s.of(t.as_py() or "")[0])
+                v = s.votes(s.of(t.as_py() or ""))
                 if v.any():
                     pairs += np.outer(v, v)
         cells = [(i, j, float(pairs[i, j])) for i in range(m) for j in range(m)] + [(-1, -1, float(n))]
@@ -191,12 +198,13 @@ def label_model(total: int, fires: np.ndarray, pairs: np.ndarray, prior: float)
     correlation = np.clip(inside / np.outer(scale, scale), -1, 1)
     np.fill_diagonal(correlation, 0)
     share = 1 / (1 + np.maximum(correlation, 0).sum(1))
-    return {"on": on, "off": off, "correlation": correlation, "yes": share * np.log(on / off), "no": share * np.log((1 - on) / (1 - off)), "prior": prior}
+    return {"on": on, "off": off, "correlation": correlation, "yes": share * np.log(on / off), "prior": prior}
 
 
 def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
-    z = np.log(model["prior"] / (1 - model["prior"])) + votes @ model["yes"] + (1 - votes) @ model["no"]
-    return sigmoid(z)
+    """Of being toxic, given who fires.  A lexicon knows one language or one kind of insult, so
+    a silent voter abstains: its silence says nothing about what the others have seen."""
+    return sigmoid(np.log(model["prior"] / (1 - model["prior"])) + votes @ model["yes"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> dict:
@@ -228,7 +236,7 @@ def signal_column(spark: SparkSession, entries: list):
     @column_function(pa.list_(pa.int32()))
     def places(text: pa.Array) -> pa.Array:
         s = Signals(shared.value)
-        return pa.array([s.of(t.as_py() or "")[0] for t in text], pa.list_(pa.int32()))
+        return pa.array([s.of(t.as_py() or "") for t in text], pa.list_(pa.int32()))
 
     return places
 
@@ -241,7 +249,7 @@ def score_column(spark: SparkSession, model: dict):
     def score(text: pa.Array) -> pa.Array:
         m = shared.value
         s, w = Signals(m["entries"]), m["weights"]
-        margin = np.array([w[s.of(t.as_py() or "")[0]].sum() + w[-1] for t in text], float)
+        margin = np.array([w[s.of(t.as_py() or "")].sum() + w[-1] for t in text], float)
         return pa.array(sigmoid(m["slope"][0] * margin + m["slope"][1]))
 
     return score

@@ -79,7 +79,7 @@ def test_quality_is_alike_at_every_length():
     meter = quality.SizeMeter(b"", b"")
     text = " ".join(f"w{i * 7919 % 1000}" for i in range(20_000)).encode()
     short, long = meter.features(text[:8192]), meter.features(text)
-    assert abs(short[2] - long[2]) < 0.05 and meter.features(b"") == [0.0] * quality.N_FEATURES
+    assert np.abs(np.array(short) - long).max() < 0.05 and meter.features(b"") == [0.0] * quality.N_FEATURES
 
 
 def test_language(spark, tables):
@@ -132,8 +132,11 @@ def test_label_model_recovers_rates_and_finds_correlation():
 
 def test_signals_match_whole_words_and_beginnings():
     s = toxicity.Signals([("gru", False, (2,)), ("tox", True, (0,))])
-    assert s.of("Grumok")[0] == [0] and s.of("agru tox")[0] == [1] and s.of("toxic")[0] == [] and s.of("")[0] == []
-    assert s.votes([0, 1]).tolist()[:3] == [1, 0, 1]
+    # entries, then the voters that they stand for: a beginning counts where it repeats
+    assert s.of("Grumok grupek") == [0, 4] and s.of("Grumok") == s.of("toxic") == s.of("") == [] and s.of("agru tox") == [1, 2]
+    assert s.of("gru1 gru2" + " x" * 2000) == [] and s.votes(s.of("tox, gru gru")).tolist()[:3] == [1, 0, 1]
+    fixed = s.signals
+    assert s.of("you are an idiot") == [fixed, fixed + 1] and s.of("WHAT NOW!") == [fixed + 2] and s.of("idiot moron clown") == [fixed, fixed + 3]
 
 
 @pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="no test tables")
@@ -141,3 +144,101 @@ def test_language_query_on_held_out_rows(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
     rows = language.op9_language_id(spark, SF).where(F.col("held_out")).collect()
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in rows]) > 0.95
+
+
+def test_gram_counts_of_long_texts_do_not_depend_on_slices(monkeypatch):
+    text = "the quick brown fox déjà vu 12 jumps " * 300
+    whole = language.count_vectors([text, "abc"])
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(language, "SLICE_BYTES", size)
+        assert np.array_equal(language.count_vectors([text, "abc"]), whole)
+
+
+def test_more_languages_than_two_hundred(spark):
+    rng = random.Random(7)
+    names = [f"l{i:03d}" for i in range(201)]
+    letters = {n: [rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(6)] for n in names}
+    rows = [(i, " ".join("".join(rng.choice(letters[n]) for _ in range(3)) for _ in range(60)), n) for i, n in enumerate(names * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert model["names"] == sorted({n for i, _, n in rows if not held(i)}) and len(model["names"]) == 201
+    got = docs.select("lang", language.guess_column(spark, model)("text").alias("g")).collect()
+    assert np.mean([r.lang == r.g.lang_pred for r in got]) > 0.9
+
+
+def brute_language(text, model):
+    """Cosines by the definition, gram by gram."""
+    data = b" " + text.lower().encode().translate(language._TO_SPACE) + b"  "
+    v = np.zeros(language.DIMENSIONS)
+    for i in range(len(data) - 2):
+        if data[i] != 32 or data[i + 1] != 32:
+            for gram, factor in ((data[i : i + 2], 2654435761), (data[i : i + 3], 2246822519)):
+                v[(int.from_bytes(gram) * factor % 2**32) >> (32 - language.BITS)] += 1
+    v = np.sqrt(v) * model["idf"]
+    v /= max(np.linalg.norm(v), 1e-12)
+    best = {}
+    for c, o in zip(model["centroids"], model["owner"]):
+        best[model["names"][o]] = max(best.get(model["names"][o], -1), float(v @ c))
+    return max(sorted(best), key=lambda n: round(best[n], 5)), best
+
+
+def test_language_scores_equal_brute_force(spark, tables):
+    docs, _, _, _ = tables
+    model = language.train(docs)
+    for r in docs.where("doc_id < 40").select("text", language.guess_column(spark, model)("text").alias("g")).collect():
+        name, best = brute_language(r.text, model)
+        assert name == r.g.lang_pred and abs(best[name] - r.g.cosine) < 1e-4
+        assert abs(1 / sum(np.exp(language.SHARPNESS * (b - best[name])) for b in best.values()) - r.g.score) < 1e-3
+
+
+def test_quality_scores_equal_brute_force(spark, tables):
+    import zstandard as zstd
+
+    docs, labels, _, _ = tables
+    model = quality.train(docs, labels)
+    size = lambda raw, x: len(zstd.ZstdCompressor(level=quality.LEVEL, dict_data=zstd.ZstdCompressionDict(raw), write_checksum=False, write_content_size=False, write_dict_id=False).compress(x))
+    for r in docs.where("doc_id < 12").select("text", quality.score_column(spark, model)("text").alias("x")).collect():
+        parts = [r.text.encode()[i : i + quality.FRAME_BYTES] for i in range(0, len(r.text.encode()), quality.FRAME_BYTES)]
+        g, b, n = ([f(p) for p in parts] for f in (lambda p: size(model["good"], p), lambda p: size(model["bad"], p), len))
+        x = []
+        for norm in ([i + j for i, j in zip(g, b)], n):
+            each = [(i - j) / k for i, j, k, raw in zip(g, b, norm, n) if raw >= min(max(n), quality.FRAME_BYTES / 4)]
+            x += [(sum(g) - sum(b)) / sum(norm), max(each), min(each)]
+        z = sum(w * (v - c) / s for w, v, c, s in zip(model["weights"], x, model["centre"], model["scale"])) + model["weights"][-1]
+        assert abs(1 / (1 + np.exp(-z)) - r.x) < 0.02  # a prepared dictionary may save a byte
+
+
+def test_toxicity_scores_equal_brute_force(spark, tables):
+    docs, labels, _, _ = tables
+    model = toxicity.train(docs, labels)
+    for r in docs.where("doc_id < 60").select("text", toxicity.score_column(spark, model)("text").alias("x")).collect():
+        low = r.text.lower()
+        words = toxicity._WORD.findall(low)
+        w, z, voters = model["weights"], model["weights"][-1], set()
+        for i, (entry, whole, own) in enumerate(model["entries"]):
+            count = sum(x == entry if whole else x.startswith(entry) for x in words)
+            if count and (whole or toxicity.repeats(count, len(low))):
+                z += w[i]
+                voters |= set(own)
+        k = len(model["entries"])
+        insults = sum(x in toxicity.INSULTS for x in words)
+        fixed = [insults > 0, bool(insults and toxicity._ADDRESS.search(low)), bool(toxicity._SHOUT.search(r.text)), insults >= 3 and insults * 400 >= len(low)]
+        z += sum(w[k + v] for v in voters) + sum(w[k + toxicity.LEXICON_VOTERS + i] for i, f in enumerate(fixed) if f)
+        assert abs(1 / (1 + np.exp(-(model["slope"][0] * z + model["slope"][1]))) - r.x) < 1e-9
+
+
+def test_long_texts_and_an_empty_table(spark, tables):
+    docs, labels, _, _ = tables
+    long = "the and tion ing " * 300_000
+    df = spark.createDataFrame([(1, long), (2, long)], "doc_id long, text string")
+    for score in (quality.score_column(spark, quality.train(docs, labels)), toxicity.score_column(spark, toxicity.train(docs, labels))):
+        rows = df.select(score("text").alias("x")).collect()
+        assert rows[0].x == rows[1].x and 0 <= rows[0].x <= 1
+    none = docs.where("false")
+    assert toxicity.train(none, labels)["entries"] == [] and quality.train(none, labels)["good"] == b""
+
+
+def test_parts_of_the_labels_are_disjoint(spark):
+    labels = spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS y")
+    one, two = ({r.doc_id for r in learning.labelled_sample(labels, "y", 10_000, 1, p).collect()} for p in (quality.DICTIONARY_PART, quality.CALIBRATION_PART))
+    assert not one & two and len(one) + len(two) == sum(not held(i) for i in range(3000))
