@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pursebook.functions.clock import local_day
+from pursebook.functions.keys import archive_path
 from pursebook.functions.money import editable
 
 RETENTION_DAYS = 365
@@ -34,10 +35,27 @@ def retention_candidates(messages: DataFrame, txns: DataFrame, cutoff: Column) -
     return old.join(open_, "message_id", "left_anti")
 
 
+def expired_files(messages: DataFrame, txns: DataFrame, now: Column, days: int = RETENTION_DAYS) -> DataFrame:
+    """(message_id, path): archived files that a retention run may delete."""
+    gone = retention_candidates(messages, txns, now - F.make_interval(days=F.lit(days)))
+    return gone.select("message_id", archive_path(F.col("message_id").cast("string"), F.col("received_at")).alias("path"))
+
+
 def status_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def attention_counts(messages: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One row: failed messages and open gaps."""
+    failed = messages.select((F.col("status") == "FAILED").alias("failed"), F.lit(False).alias("open"))
+    both = failed.unionByName(gaps.select(F.lit(False).alias("failed"), (~F.col("resolved")).alias("open")))
+    return both.agg(F.count_if("failed").alias("failed_messages"), F.count_if("open").alias("open_gaps"))
+
+
+def earliest(txns: DataFrame) -> DataFrame:
+    return txns.agg(F.min("occurred_at").alias("earliest_at"))
+
+
 def issues(messages: DataFrame) -> DataFrame:
     """Failed and ignored messages with the beginning of their text."""
     text = F.col("body")

@@ -2,43 +2,53 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from pursebook.functions.keys import escape_regex
 from pursebook.functions.remarks import merchant_label
 
 CONFIDENCE = 0.85
-#: Rules that one plan evaluates row by row; more are evaluated in several columns.
-MAX_RULES = 2000
+#: Rules of one conditional expression; more make several, of which the first hit counts.
+RULES_AT_ONCE = 100
 LEARNED_CHARS = 40
 
 
 def rule_list(rules: DataFrame) -> list[tuple]:
-    """The rules in force, by priority and id.  A person's rules are few; that is checked."""
-    rows = rules.orderBy("priority", "id").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules")
+    """The rules in force, by priority and id.  They are settings that people write, not data;
+    a pattern that the engine which runs it cannot read is an error here, not in a task."""
+    compiler = rules.sparkSession._jvm.java.util.regex.Pattern
+    rows = rules.orderBy("priority", "id").collect()
     for r in rows:
-        re.compile(r.pattern)
+        try:
+            compiler.compile(rule_pattern(r.pattern))
+        except Py4JJavaError as e:
+            raise ValueError(f"rule {r.id}: not a pattern: {r.pattern!r}") from e
     return [(r.id, r.pattern, r.category_id) for r in rows]
 
 
+def rule_pattern(pattern: str) -> str:
+    return f"(?i)(?:{pattern})"
+
+
 def rule_column(rules: DataFrame, text: str = "description_raw") -> Column:
     """struct<rule_id, category_id> of the first rule that matches, or null.
 
-    One conditional expression inside the scan's stage: no join, and matching stops at
-    the first hit."""
-    found = None
-    for rule_id, pattern, category in rule_list(rules):
-        value = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category_id"))
-        hit = F.col(text).rlike(f"(?i)(?:{pattern})")
-        found = F.when(hit, value) if found is None else found.when(hit, value)
+    Conditional expressions inside the scan's stage: no join, and matching stops at the
+    first hit.  Each holds few enough rules to be compiled."""
+    listed = rule_list(rules)
     kind = rules.schema["category_id"].dataType.simpleString()
-    return found if found is not None else F.lit(None).cast(f"struct<rule_id:int,category_id:{kind}>")
+    parts = []
+    for at in range(0, len(listed), RULES_AT_ONCE):
+        found = F
+        for rule_id, pattern, category in listed[at : at + RULES_AT_ONCE]:
+            value = F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category_id"))
+            found = found.when(F.col(text).rlike(rule_pattern(pattern)), value)
+        parts.append(found)
+    return F.coalesce(*parts) if parts else F.lit(None).cast(f"struct<rule_id:int,category_id:{kind}>")
 
 
 def leaves(categories: DataFrame) -> DataFrame:
@@ -114,21 +124,21 @@ def learned_rules(edits: DataFrame) -> DataFrame:
 
 #: The seed taxonomy.  Investments and income are not spend.
 SEED_GROUPS = {
-    "Food & Drink": "Groceries|Restaurants|Cafe & Bakery|Khaja & Snacks|Bars & Drinks|Food Delivery",
-    "Health": "Medicine & Pharmacy|Hospital & Doctor|Lab Tests|Dental & Eye|Supplements & Nutrition|Health Insurance|Gym & Fitness",
-    "Home & Bills": "Rent|Electricity|Water|Internet|Mobile Recharge|Cooking Gas|Home Repairs|Household Supplies",
-    "Transport": "Ride-hailing|Fuel|Bus & Public Transport|Vehicle Service",
-    "Shopping": "Clothing & Shoes|Electronics & Gadgets|Online Shopping|Personal Care & Cosmetics",
-    "Subscriptions": "AI Tools|Cloud & Hosting|Streaming & Apps",
-    "Travel": "Travel Tickets|Hotels & Stays|Trip Activities",
-    "Education": "Tuition & Fees|Courses & Books",
-    "Fun & Social": "Movies & Events|Gifts & Donations|Festivals & Puja",
-    "Family & People": "Family Support|Sent to Friends",
-    "Fees & Cash": "Bank Fees|Cash Withdrawal",
-    "Investments": "IPO & Shares|Mutual Funds & SIP|Savings & Deposits",
-    "Income & Transfers": "Salary|Dividends & Interest|Refunds & Cashback|Transfer",
-    "Other": "",
-}
+    "Food & Drink": ("Groceries", "Restaurants", "Cafe & Bakery", "Khaja & Snacks", "Bars & Drinks", "Food Delivery"),
+    "Health": ("Medicine & Pharmacy", "Hospital & Doctor", "Lab Tests", "Dental & Eye", "Supplements & Nutrition", "Health Insurance", "Gym & Fitness"),
+    "Home & Bills": ("Rent", "Electricity", "Water", "Internet", "Mobile Recharge", "Cooking Gas", "Home Repairs", "Household Supplies"),
+    "Transport": ("Ride-hailing", "Fuel", "Bus & Public Transport", "Vehicle Service"),
+    "Shopping": ("Clothing & Shoes", "Electronics & Gadgets", "Online Shopping", "Personal Care & Cosmetics"),
+    "Subscriptions": ("AI Tools", "Cloud & Hosting", "Streaming & Apps"),
+    "Travel": ("Travel Tickets", "Hotels & Stays", "Trip Activities"),
+    "Education": ("Tuition & Fees", "Courses & Books"),
+    "Fun & Social": ("Movies & Events", "Gifts & Donations", "Festivals & Puja"),
+    "Family & People": ("Family Support", "Sent to Friends"),
+    "Fees & Cash": ("Bank Fees", "Cash Withdrawal"),
+    "Investments": ("IPO & Shares", "Mutual Funds & SIP", "Savings & Deposits"),
+    "Income & Transfers": ("Salary", "Dividends & Interest", "Refunds & Cashback", "Transfer"),
+    "Other": (),
+}
 NOT_SPEND = ("Investments", "Income & Transfers")
 #: Starter rules, all of priority 100.
 SEED_RULES = (
@@ -145,7 +155,7 @@ def seed_rows(user_id: str) -> list[tuple[str, str, str, str | None, bool]]:
     for group, names in SEED_GROUPS.items():
         spend = group not in NOT_SPEND
         out.append((name_id(group), user_id, group, None, spend))
-        out += [(name_id(n), user_id, n, name_id(group), spend) for n in names.split("|") if n]
+        out += [(name_id(n), user_id, n, name_id(group), spend) for n in names]
     return out
 
 

@@ -46,13 +46,26 @@ def apply_decisions(txns: DataFrame, decisions: DataFrame) -> DataFrame:
     }).drop("c", "s", "f", "t", "hit")
 
 
+def draft_fault() -> Column:
+    """Why a draft cannot become a transaction, or null."""
+    return (
+        F.when(~F.coalesce(F.col("amount_paisa") > 0, F.lit(False)), "amount is not positive")
+        .when(~F.coalesce(F.col("direction").isin("DEBIT", "CREDIT"), F.lit(False)), "direction is neither DEBIT nor CREDIT")
+        .when(F.length(F.trim("note")) > NOTE_LIMIT, f"note is longer than {NOTE_LIMIT} characters")
+    )
+
+
+def rejected_drafts(drafts: DataFrame) -> DataFrame:
+    """The drafts that ``manual_entries`` leaves out, each with its reason."""
+    return drafts.withColumn("reason", draft_fault()).where("reason is not null")
+
+
 def manual_entries(drafts: DataFrame) -> DataFrame:
     """Drafts (user_id, account_id, occurred_at, direction, amount_paisa, description, currency,
-    balance_after_paisa, category_id, note) as transactions; unusable ones are left out."""
+    balance_after_paisa, category_id, note) as transactions; see ``rejected_drafts`` for the rest."""
     note = F.nullif(F.trim("note"), F.lit(""))
     key = manual_key(F.col("account_id"), F.date_format("occurred_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("direction"), F.col("amount_paisa"), F.col("currency"), F.trim("description"), note)
-    ok = (F.col("amount_paisa") > 0) & F.col("direction").isin("DEBIT", "CREDIT") & (F.coalesce(F.length(note), F.lit(0)) <= NOTE_LIMIT)
-    return drafts.where(ok).select(
+    return drafts.where(draft_fault().isNull()).select(
         row_id(F.lit("txn"), F.col("user_id"), key).alias("id"), "user_id", "account_id", "occurred_at", F.lit("MINUTE").alias("occurred_precision"), "direction", "amount_paisa", "balance_after_paisa", "currency",
         F.col("description").alias("description_raw"), "category_id", F.when(F.col("category_id").isNotNull(), "user").alias("category_source"), F.lit(False).alias("excluded_from_spend"),
         F.when(F.col("category_id").isNotNull(), "CATEGORIZED").otherwise("NEEDS_REVIEW").alias("status"), key.alias("dedupe_key"), F.lit(0).alias("parser_version"), note.alias("user_note"), F.lit("MANUAL").alias("entry_source"),
@@ -69,7 +82,7 @@ def record_manual(txns: DataFrame, drafts: DataFrame) -> tuple[DataFrame, DataFr
 
 def close_gaps(gaps: DataFrame, closed: DataFrame, at: Column) -> DataFrame:
     """Gaps that a person closes (GAP_KEY, note); those that are closed already stay as they are."""
-    c = closed.select(*GAP_KEY, F.substring("note", 1, NOTE_LIMIT).alias("n"), F.lit(True).alias("hit"))
+    c = closed.select(*GAP_KEY, F.col("note").alias("n"), F.lit(True).alias("hit"))
     rows = gaps.join(c, list(GAP_KEY), "left")
     now = F.coalesce(F.col("hit"), F.lit(False)) & ~F.col("resolved")
     return rows.withColumns({"resolved_by": F.when(now, "USER").otherwise(F.col("resolved_by")), "resolved_at": F.when(now, at).otherwise(F.col("resolved_at")), "resolution_note": F.when(now, F.col("n")).otherwise(F.col("resolution_note"))}).withColumn("resolved", F.col("resolved") | now).drop("n", "hit")
@@ -82,5 +95,10 @@ def edit_rules(rules: DataFrame, updates: DataFrame, deleted: DataFrame) -> Data
     return out.withColumns({c: F.coalesce(f"_{c}", c) for c in ("pattern", "category_id", "priority")}).drop("_pattern", "_category_id", "_priority")
 
 
+def by_name(rows: DataFrame, column: str = "name") -> DataFrame:
+    """Accounts by display name, categories by name; ids settle ties."""
+    return rows.orderBy(column, "id")
+
+
 def rules_by_use(rules: DataFrame) -> DataFrame:
     return rules.orderBy(F.desc_nulls_last("hit_count"), "id")

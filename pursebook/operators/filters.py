@@ -117,6 +117,30 @@ def by_status(txns: DataFrame, status: str, limit: int = 200) -> DataFrame:
     return newest_first(txns.where(F.col("status") == status)).limit(limit)
 
 
+def oldest_by_status(txns: DataFrame, status: str, limit: int = 500) -> DataFrame:
+    """The queue of a review run: what has waited longest comes first."""
+    return txns.where(F.col("status") == status).orderBy("occurred_at", "id").limit(limit)
+
+
+def in_account_range(txns: DataFrame, account_id: object, start: datetime, end: datetime) -> DataFrame:
+    """An account's rows from start to end, both of them included."""
+    at = F.col("occurred_at")
+    return txns.where((F.col("account_id") == account_id) & at.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+
+
+#: Senders of uploaded statements and what people see for them.
+STATEMENT_NAMES = (("ESEWA_STATEMENT", "eSewa statement"), ("NABIL_STATEMENT", "Nabil statement"), ("LAXMI_STATEMENT", "Laxmi statement"), ("BANK_STATEMENT", "Bank statement"))
+
+
+def uploaded_statements(messages: DataFrame, limit: int = 50) -> DataFrame:
+    """Statement files among the messages, newest first, with display names."""
+    name = F
+    for sender, text in STATEMENT_NAMES:
+        name = name.when(F.col("sender") == sender, text)
+    rows = messages.where(F.col("sender").isin(*[s for s, _ in STATEMENT_NAMES])).withColumn("display_name", name)
+    return rows.orderBy(F.desc("received_at"), F.desc("content_hash")).limit(limit)
+
+
 def exactly_one(rows: DataFrame, key: str, value: object) -> DataFrame:
     """Point lookup that fails unless there is exactly one row."""
     found = rows.where(F.col(key) == value).limit(2)

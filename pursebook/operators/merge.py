@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pursebook.functions.keys import canonical_mask, row_id
+from pursebook.functions.clock import local
+from pursebook.functions.keys import account_key, canonical_mask, row_id
+from pursebook.functions.remarks import strip_advert
 
 KEY = ("user_id", "dedupe_key")
 FILLED = ("balance_after_paisa", "reference", "counterparty", "channel")
@@ -22,6 +24,10 @@ def extended_description(arrivals: Column) -> Column:
     return F.aggregate(texts, F.lit(None).cast("string"), lambda acc, t: F.when(acc.isNull() | t.startswith(acc), t).otherwise(acc))
 
 
+def extension_of(kept: Column, other: Column) -> Column:
+    return F.when((F.length(other) > F.length(kept)) & other.startswith(kept), other).otherwise(kept)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("arrival", "id")) -> DataFrame:
     """One row per key: the first arrival, blanks filled and its description extended by
     later ones; all else is kept.  One shuffle by key; combining starts before it.
@@ -75,19 +81,22 @@ def survivor_category(rows: DataFrame, key: str = "new_key") -> DataFrame:
 
 
 def merge_fold(rows: DataFrame, key: str = "new_key") -> DataFrame:
-    """What the rows of a key amount to together."""
+    """What the rows of a key amount to together; the longest description counts only where
+    it goes on from that of the row that stays."""
     at = F.struct("created_at", "id")
+    keep = F.struct(F.col("balance_after_paisa").isNull(), F.col("created_at"), F.col("id"))
     return rows.groupBy("user_id", key).agg(
         F.count("*").alias("n"),
-        F.min_by("id", F.struct(F.col("balance_after_paisa").isNull(), F.col("created_at"), F.col("id"))).alias("keep_id"),
+        F.min_by("id", keep).alias("keep_id"),
         F.max("balance_after_paisa").alias("balance_after_paisa"),
         first_non_null("counterparty", at).alias("counterparty"),
         first_non_null("user_note", at).alias("user_note"),
         first_non_null("transfer_group_id", at).alias("transfer_group_id"),
         F.bool_or("excluded_from_spend").alias("excluded_from_spend"),
         F.bool_or(F.col("status") == "CONFIRMED").alias("confirmed"),
-        F.max_by("description_raw", F.struct(F.length("description_raw"), F.col("description_raw"))).alias("description_raw"),
-    )
+        F.min_by("description_raw", keep).alias("kept_text"),
+        F.max_by("description_raw", F.struct(F.length("description_raw"), F.col("description_raw"))).alias("longest_text"),
+    ).withColumn("description_raw", extension_of(F.col("kept_text"), F.col("longest_text"))).drop("kept_text", "longest_text")
 
 
 def account_survivors(accounts: DataFrame) -> DataFrame:
@@ -104,3 +113,46 @@ def repoint_gaps(gaps: DataFrame, moved: DataFrame) -> DataFrame:
         m = moved.select(F.col("old_id").alias(end), F.col("keep_id").alias("k"))
         out = out.join(m, end, "left").withColumn(end, F.coalesce("k", end)).drop("k")
     return out.where("after_txn_id <> before_txn_id").dropDuplicates(["account_id", "after_txn_id", "before_txn_id"])
+
+
+def rekeyed(rows: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows under surviving accounts with ``new_key``, surviving accounts): adverts leave the
+    descriptions, masks that mean the same become one account, keys are made anew."""
+    moved = account_survivors(accounts)
+    mask = accounts.select("id", canonical_mask(F.col("mask")).alias("canon_mask"))
+    kept = accounts.join(moved.where("id = keep_id").select("id"), "id").withColumn("mask", canonical_mask(F.col("mask")))
+    old = moved.select(F.col("id").alias("account_id"), "keep_id").join(mask.withColumnRenamed("id", "account_id"), "account_id")
+    clean = rows.withColumn("description_raw", strip_advert(F.col("description_raw"))).join(old, "account_id").withColumn("account_id", F.col("keep_id"))
+    key = account_key(F.col("canon_mask"), local(F.col("occurred_at")), F.col("direction"), F.col("amount_paisa"), F.col("description_raw"))
+    return clean.withColumn("new_key", key).drop("keep_id", "canon_mask"), kept
+
+
+def merge_transactions(rows: DataFrame, accounts: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole merge (MRG4): (transactions, accounts, gaps) after rows that mean the same
+    transaction have become one.
+
+    The row that stays (``survivor_rank``) keeps what it has, takes what it lacks from the
+    others and the oldest category if it has none; the others go; gaps follow."""
+    keyed, kept_accounts = rekeyed(rows, accounts)
+    ranked = survivor_rank(keyed)
+    keeper = ranked.where("rank = 1").drop("rank")
+    lost = ranked.where("rank > 1").drop("rank")
+    at = F.struct("created_at", "id")
+    by = ["user_id", "new_key"]
+    filled = [c for c in (*FILLED, "user_note", "transfer_group_id") if c in rows.columns and c != "balance_after_paisa"]
+    folded = lost.groupBy(*by).agg(
+        F.max("balance_after_paisa").alias("f_balance_after_paisa"), *[first_non_null(c, at).alias(f"f_{c}") for c in filled], F.bool_or("excluded_from_spend").alias("f_excluded"),
+        F.bool_or(F.col("status") == "CONFIRMED").alias("f_confirmed"), F.max_by("description_raw", F.struct(F.length("description_raw"), F.col("description_raw"))).alias("f_text"),
+        F.min_by(F.struct("category_id", "category_source"), F.when(F.col("category_id").isNotNull(), at)).alias("f_category"),
+    )
+    both = keeper.join(folded, by, "left")
+    out = both.withColumns(
+        {c: F.coalesce(c, f"f_{c}") for c in ("balance_after_paisa", *filled)}
+        | {
+            "excluded_from_spend": F.col("excluded_from_spend") | F.coalesce("f_excluded", F.lit(False)), "status": F.when(F.col("f_confirmed"), "CONFIRMED").otherwise(F.col("status")),
+            "description_raw": F.coalesce(extension_of(F.col("description_raw"), F.col("f_text")), F.col("description_raw")),
+            "category_id": F.coalesce("category_id", "f_category.category_id"), "category_source": F.coalesce("category_source", "f_category.category_source"), "dedupe_key": F.col("new_key"),
+        }
+    ).select(*rows.columns)
+    moved = lost.select(F.col("id").alias("old_id"), *by).join(keeper.select(F.col("id").alias("keep_id"), *by), by).select("old_id", "keep_id")
+    return out, kept_accounts, repoint_gaps(gaps, moved)

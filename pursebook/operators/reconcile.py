@@ -47,6 +47,12 @@ def open_gaps(gaps: DataFrame, accounts: DataFrame, txns: DataFrame) -> DataFram
     return gaps.where(~F.col("resolved")).join(a, "account_id").join(side("after"), "after_txn_id").join(side("before"), "before_txn_id")
 
 
+def gap_state(gaps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """For each wanted gap (GAP_KEY): 'open', or 'gone' if it has been closed or never was."""
+    still = gaps.where(~F.col("resolved")).select(*GAP_KEY, F.lit("open").alias("state"))
+    return wanted.select(*GAP_KEY).join(still, list(GAP_KEY), "left").withColumn("state", F.coalesce("state", F.lit("gone")))
+
+
 def fill_suggestions(gaps: DataFrame) -> DataFrame:
     """What entry would close an open gap: direction, amount, midpoint in time, balance."""
     seconds = F.timestamp_diff("SECOND", F.col("after_occurred_at"), F.col("before_occurred_at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +13,14 @@ WINDOW_S, TIGHT_S = 1800, 300
 AUTO_LINK = 0.8
 
 
+#: How far back a run looks for the other side of a transfer.
+LOOK_BACK_DAYS = 60
+
+
+def within_look_back(txns: DataFrame, now: Column, days: int = LOOK_BACK_DAYS) -> DataFrame:
+    return txns.where(F.col("occurred_at") >= now - F.make_interval(days=F.lit(days)))
+
+
 def candidate_pairs(legs: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
     """Debit and credit of one user, equal amount, different accounts, close in time.
 

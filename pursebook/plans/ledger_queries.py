@@ -80,9 +80,7 @@ def gap_fill_suggestions(spark, d):
 def _heat_inputs(spark, d):
     txns = _txns(spark, d)
     days = views.daily_spend(txns).where("currency = 'NPR'").drop("currency")
-    gaps = reconcile.open_gaps(reconcile.find_gaps(_chain(spark, d).where("id % 40 = 1")).withColumn("resolved", F.lit(False)), src.accounts(spark, d), _chain(spark, d))
-    spans = gaps.select(F.lit("u1").alias("user_id"), clock.local_day(F.col("after_occurred_at")).alias("after_day"), clock.local_day(F.col("before_occurred_at")).alias("before_day"))
-    return days, spans
+    return days, _gap_spans(_chain(spark, d), src.accounts(spark, d), txns)
 
 
 def _gap_spans(chain, accounts, txns):
@@ -165,7 +163,7 @@ def on_day(spark, d):
 
 
 def day_sections(spark, d):
-    return views.day_sections(_txns(spark, d).where("user_id = 'u1'"))
+    return views.day_sections(_txns(spark, d), "user_id")
 
 
 def all_day_sections(spark, d):
@@ -293,14 +291,6 @@ def statement_audit_missing(spark, d):
 
 
 def _messages(spark, d):
-    """One message for each number that transactions refer to, and some without any."""
-    events = src.table(spark, d, "events").where("event_id < 5000")
-    return events.selectExpr("event_id AS message_id", "ts AS received_at", "CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status",
-                             "CASE WHEN event_id < 4000 AND event_id % 17 <> 0 AND event_id % 19 <> 0 THEN 1 ELSE 0 END AS txn_count", "CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel",
-                             "concat(props, '-----------------------------------------------------------------------') AS body")
-
-
-def _all_messages(spark, d):
     """One message for every event; all but the failed and the ignored ones have a transaction."""
     events = src.table(spark, d, "events")
     return events.selectExpr("event_id AS message_id", "ts AS received_at", "CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status",
@@ -310,23 +300,23 @@ def _all_messages(spark, d):
 
 def all_retention_candidates(spark, d):
     txns = _txns(spark, d).withColumn("message_no", F.col("id")).withColumn("status", F.when(F.col("message_no") % 2 == 0, "CONFIRMED").otherwise(F.col("status")))
-    return audit.retention_candidates(_all_messages(spark, d), txns, F.lit("2024-01-09").cast("timestamp_ntz")).select("message_id")
+    return audit.retention_candidates(_messages(spark, d), txns, F.lit("2024-01-09").cast("timestamp_ntz")).select("message_id")
 
 
 def all_status_counts(spark, d):
-    return audit.status_counts(_all_messages(spark, d))
+    return audit.status_counts(_messages(spark, d))
 
 
 def all_message_issues(spark, d):
-    return audit.issues(_all_messages(spark, d)).select("message_id", "status", "preview")
+    return audit.issues(_messages(spark, d)).select("message_id", "status", "preview")
 
 
 def all_run_summary(spark, d):
-    return audit.run_summary(_all_messages(spark, d))
+    return audit.run_summary(_messages(spark, d))
 
 
 def retention_candidates(spark, d):
-    return audit.retention_candidates(_messages(spark, d), _txns(spark, d).withColumn("status", F.when(F.col("message_no") % 2 == 0, "CONFIRMED").otherwise(F.col("status"))), F.lit("2024-01-09").cast("timestamp_ntz")).select("message_id")
+    return all_retention_candidates(spark, d)
 
 
 def status_counts(spark, d):

@@ -33,8 +33,8 @@ _LEAVES = """c2 AS (SELECT c.id, c.name AS leaf, coalesce(p.name, c.name) AS grp
 _OPEN = f"""{_gaps()},
  og AS (SELECT g.*, acc.display_name AS account_display_name, a.occurred_at AS after_occurred_at, a.balance_after_paisa AS after_balance_paisa, b.occurred_at AS before_occurred_at, b.balance_after_paisa AS before_balance_paisa
   FROM g JOIN acc ON acc.id = g.account_id JOIN chain a ON a.id = g.after_txn_id JOIN chain b ON b.id = g.before_txn_id WHERE g.before_txn_id % 5 <> 0)"""
-_HEAT = f"""sub AS (SELECT * FROM chain WHERE id % 40 = 1), {_gaps('sub', 'hg')},
- sp AS (SELECT CAST(a.occurred_at + INTERVAL '5 hours 45 minutes' AS DATE) AS x, CAST(b.occurred_at + INTERVAL '5 hours 45 minutes' AS DATE) AS y FROM hg JOIN chain a ON a.id = after_txn_id JOIN chain b ON b.id = before_txn_id),
+_HEAT = f"""{_gaps('chain', 'hg')}, au AS (SELECT DISTINCT account_id, user_id FROM t),
+ sp AS (SELECT au.user_id, CAST(a.occurred_at + INTERVAL '5 hours 45 minutes' AS DATE) AS x, CAST(b.occurred_at + INTERVAL '5 hours 45 minutes' AS DATE) AS y FROM hg JOIN au ON au.account_id = hg.account_id JOIN chain a ON a.id = after_txn_id JOIN chain b ON b.id = before_txn_id),
  dn AS (SELECT user_id, day, spent_paisa FROM dd WHERE currency = 'NPR'),
  e AS (SELECT user_id, min(day) AS earliest FROM dn GROUP BY 1),
  q0 AS (SELECT user_id, list(spent_paisa ORDER BY spent_paisa) AS v FROM dn WHERE spent_paisa > 0 GROUP BY 1),
@@ -42,14 +42,9 @@ _HEAT = f"""sub AS (SELECT * FROM chain WHERE id % 40 = 1), {_gaps('sub', 'hg')}
  days AS (SELECT e.user_id, earliest, CAST(DATE '2024-01-20' - CAST(i AS INTEGER) AS DATE) AS day FROM e, range(0, 371) x(i)),
  qw0 AS (SELECT user_id, list(spent_paisa ORDER BY spent_paisa) AS v FROM dn WHERE spent_paisa > 0 AND day BETWEEN DATE '2024-01-20' - 370 AND DATE '2024-01-20' GROUP BY 1),
  qw AS (SELECT user_id, v[least(len(v) * 1 // 4, len(v) - 1) + 1] AS q1, v[least(len(v) * 2 // 4, len(v) - 1) + 1] AS q2, v[least(len(v) * 3 // 4, len(v) - 1) + 1] AS q3 FROM qw0),
- hm AS (SELECT days.user_id, days.day, CASE WHEN days.day < earliest THEN 'beforeData' WHEN days.user_id = 'u1' AND EXISTS (SELECT 1 FROM sp WHERE days.day > x AND days.day < y) THEN 'uncertainGap' ELSE 'spend' END AS kind,
+ hm AS (SELECT days.user_id, days.day, CASE WHEN days.day < earliest THEN 'beforeData' WHEN EXISTS (SELECT 1 FROM sp WHERE sp.user_id = days.user_id AND days.day > x AND days.day < y) THEN 'uncertainGap' ELSE 'spend' END AS kind,
   coalesce(spent_paisa, 0) AS s, q1, q2, q3 FROM days LEFT JOIN dn ON dn.user_id = days.user_id AND dn.day = days.day LEFT JOIN qw ON qw.user_id = days.user_id)"""
-#: Gaps of the whole chain, for every user with rows in the account.
-_ALL_HEAT = (
-    _HEAT.replace("SELECT * FROM chain WHERE id % 40 = 1", "SELECT * FROM chain")
-    .replace("sp AS (SELECT", "au AS (SELECT DISTINCT account_id, user_id FROM t), sp AS (SELECT au.user_id,").replace("FROM hg JOIN chain a", "FROM hg JOIN au ON au.account_id = hg.account_id JOIN chain a")
-    .replace("days.user_id = 'u1' AND EXISTS (SELECT 1 FROM sp WHERE", "EXISTS (SELECT 1 FROM sp WHERE sp.user_id = days.user_id AND")
-)
+_ALL_HEAT = _HEAT
 _PAIRS = """pr AS (SELECT d.id AS d_id, c.id AS c_id, d.amount_paisa, abs(epoch_us(d.occurred_at) - epoch_us(c.occurred_at)) AS apart_us,
   coalesce(contains(lower(d.description_raw), lower(c.institution)), FALSE) OR coalesce(contains(lower(d.counterparty), lower(c.institution)), FALSE)
   OR coalesce(contains(lower(c.description_raw), lower(d.institution)), FALSE) OR coalesce(contains(lower(c.counterparty), lower(d.institution)), FALSE) AS mentioned
@@ -64,10 +59,9 @@ _CANON = "CASE WHEN length(regexp_replace(mask, '[^0-9]', '', 'g')) >= 8 THEN le
 _ARR = """ar AS (SELECT user_id, 'k' || CAST(id % 3000 AS VARCHAR) AS dedupe_key, id, occurred_at AS arrival, amount_paisa, direction, substr(description_raw, 1, 5 + CAST(id % 20 AS INTEGER)) AS description_raw,
   CASE WHEN id % 2 = 0 THEN id * 10 END AS balance_after_paisa, CASE WHEN id % 3 = 0 THEN 'ref' || CAST(id AS VARCHAR) END AS reference, nullif(counterparty, '') AS counterparty, CAST(NULL AS VARCHAR) AS channel FROM t)"""
 _KEYED = "rk AS (SELECT *, 'k' || CAST(id % 2500 AS VARCHAR) AS new_key, occurred_at AS created_at FROM chain)"
-_MSG = """msg AS (SELECT event_id AS message_id, ts AS received_at, CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status,
- CASE WHEN event_id < 4000 AND event_id % 17 <> 0 AND event_id % 19 <> 0 THEN 1 ELSE 0 END AS txn_count, CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel, props || repeat('-', 71) AS body FROM events WHERE event_id < 5000)"""
 _ALL_MSG = """msg AS (SELECT event_id AS message_id, ts AS received_at, CASE WHEN event_id % 17 = 0 THEN 'FAILED' WHEN event_id % 19 = 0 THEN 'IGNORED' ELSE 'PARSED' END AS status,
  CAST(event_id % 17 <> 0 AND event_id % 19 <> 0 AS INTEGER) AS txn_count, CASE WHEN event_id % 2 = 0 THEN 'SMS' ELSE 'EMAIL' END AS channel, props || repeat('-', 71) AS body FROM events)"""
+_MSG = _ALL_MSG
 _COLS = "id, account_id, occurred_at, direction, amount_paisa, status, category_id"
 _CHANNEL = """CASE WHEN starts_with(lower(description_raw), 'salary for') THEN 'SALARY' WHEN starts_with(description_raw, 'ATM WDL') THEN 'ATM' WHEN starts_with(description_raw, 'MPAY FPQR') THEN 'FONEPAY'
  WHEN starts_with(description_raw, 'MPAY ') THEN 'MOBILE_BANKING' WHEN starts_with(description_raw, 'C-ASBA Fee') THEN 'CHARGE' WHEN starts_with(description_raw, 'CASBA allot') THEN 'IPO_ALLOTMENT'
@@ -113,7 +107,7 @@ ORACLE_SQL = {
     "page_2": f"WITH {_T} SELECT id, occurred_at FROM t {_TEN} LIMIT 50 OFFSET 100",
     "recent_by_status": f"WITH {_T} SELECT id, occurred_at FROM t WHERE status = 'NEEDS_REVIEW' {_TEN} LIMIT 200",
     "on_day": f"WITH {_T} SELECT id, occurred_at FROM t WHERE CAST({_LOCAL} AS DATE) = DATE '2024-01-10'",
-    "day_sections": f"WITH {_T} SELECT CAST({_LOCAL} AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN transfer_group_id IS NOT NULL OR excluded_from_spend THEN 0 ELSE {_SIGN} END) AS BIGINT) AS net_paisa FROM t WHERE user_id = 'u1' GROUP BY 1",
+    "day_sections": f"WITH {_T} SELECT user_id, CAST({_LOCAL} AS DATE) AS day, count(*) AS n, CAST(sum(CASE WHEN transfer_group_id IS NOT NULL OR excluded_from_spend THEN 0 ELSE {_SIGN} END) AS BIGINT) AS net_paisa FROM t GROUP BY 1, 2",
     "page_totals": f"""WITH {_T}, p AS (SELECT * FROM t {_TEN} LIMIT 50), f AS (SELECT * FROM p WHERE transfer_group_id IS NULL AND NOT excluded_from_spend)
  SELECT CAST(coalesce(sum(amount_paisa) FILTER (direction = 'DEBIT'), 0) AS BIGINT) AS out_paisa, CAST(coalesce(sum(amount_paisa) FILTER (direction = 'CREDIT'), 0) AS BIGINT) AS in_paisa FROM f""",
     "txn_with_names": f"WITH {_T}, {_ACC}, {_CAT} SELECT t.id, acc.display_name AS account_name, cat.name AS category_name, coalesce(nullif(counterparty, ''), description_raw) AS title, transfer_group_id IS NOT NULL OR excluded_from_spend AS is_transfer FROM t LEFT JOIN acc ON acc.id = account_id LEFT JOIN cat ON cat.id = category_id",
@@ -150,10 +144,11 @@ ORACLE_SQL = {
     "survivor_category": f"""WITH {_T}, {_CHAIN}, {_KEYED}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id, new_key ORDER BY created_at, id) AS n FROM rk WHERE category_id IS NOT NULL)
  SELECT user_id, new_key, category_id, category_source FROM x WHERE n = 1""",
     "merge_fold": f"""WITH {_T}, {_CHAIN}, {_KEYED}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id, new_key ORDER BY created_at, id) AS n, row_number() OVER (PARTITION BY user_id, new_key ORDER BY balance_after_paisa IS NULL, created_at, id) AS k,
-  row_number() OVER (PARTITION BY user_id, new_key ORDER BY length(description_raw) DESC, description_raw DESC) AS dl FROM rk)
+  row_number() OVER (PARTITION BY user_id, new_key ORDER BY length(description_raw) DESC, description_raw DESC) AS dl FROM rk),
+ f AS (SELECT *, max(CASE WHEN k = 1 THEN description_raw END) OVER w AS kept, max(CASE WHEN dl = 1 THEN description_raw END) OVER w AS longest FROM o WINDOW w AS (PARTITION BY user_id, new_key))
  SELECT user_id, new_key, count(*) AS n, max(CASE WHEN k = 1 THEN id END) AS keep_id, max(balance_after_paisa) AS balance_after_paisa, arg_min(counterparty, n) FILTER (counterparty IS NOT NULL) AS counterparty,
   arg_min(user_note, n) FILTER (user_note IS NOT NULL) AS user_note, arg_min(transfer_group_id, n) FILTER (transfer_group_id IS NOT NULL) AS transfer_group_id, bool_or(excluded_from_spend) AS excluded_from_spend,
-  bool_or(status = 'CONFIRMED') AS confirmed, max(CASE WHEN dl = 1 THEN description_raw END) AS description_raw FROM o GROUP BY 1, 2""",
+  bool_or(status = 'CONFIRMED') AS confirmed, max(CASE WHEN length(longest) > length(kept) AND starts_with(longest, kept) THEN longest ELSE kept END) AS description_raw FROM f GROUP BY 1, 2""",
     "account_survivor": f"""WITH {_T}, {_MASKED}, a AS (SELECT DISTINCT institution, mask, institution || '/' || mask AS id, {_CANON} AS canon FROM k)
  SELECT id, canon, first_value(id) OVER (PARTITION BY institution, canon ORDER BY mask <> canon, id) AS keep_id FROM a""",
     "new_accounts": f"""WITH {_T}, {_MASKED}, q AS (SELECT DISTINCT user_id, institution, coalesce(CASE WHEN id % 3 > 0 THEN mask END, '') AS mask FROM k)
@@ -163,7 +158,7 @@ ORACLE_SQL = {
  s AS (SELECT *, row_number() OVER (PARTITION BY day, amount_paisa, direction ORDER BY l_orderkey, l_linenumber) AS n FROM l)
  SELECT day, amount_paisa, direction, l_orderkey, l_linenumber FROM s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.day = s.day AND e.amount_paisa = s.amount_paisa AND e.direction = s.direction AND e.n = s.n)""",
     "retention_candidates": f"""WITH {_T}, {_MSG} SELECT message_id FROM msg WHERE status = 'PARSED' AND txn_count > 0 AND received_at < TIMESTAMP '2024-01-09'
- AND message_id NOT IN (SELECT message_no FROM t WHERE CASE WHEN message_no % 2 = 0 THEN 'CONFIRMED' ELSE status END <> 'CONFIRMED')""",
+ AND message_id NOT IN (SELECT id FROM t WHERE CASE WHEN id % 2 = 0 THEN 'CONFIRMED' ELSE status END <> 'CONFIRMED')""",
     "status_counts": f"WITH {_MSG} SELECT status, count(*) AS n FROM msg GROUP BY 1",
     "message_issues": f"WITH {_MSG} SELECT message_id, status, CASE WHEN length(body) > 80 THEN substr(body, 1, 80) || '…' ELSE body END AS preview FROM msg WHERE status IN ('FAILED', 'IGNORED')",
     "run_summary": f"WITH {_MSG} SELECT channel, count(*) AS fetched, count(*) FILTER (status = 'PARSED') AS parsed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'IGNORED') AS ignored, CAST(sum(txn_count) AS BIGINT) AS txns FROM msg GROUP BY 1",

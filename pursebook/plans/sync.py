@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pursebook.functions.clock import local_day
@@ -34,6 +34,8 @@ class Ledger:
     accounts: DataFrame
     gaps: DataFrame
     rules: DataFrame
+    #: Parsed rows that the run could not use, each with its reason.
+    rejected: DataFrame | None = None
 
 
 def to_transactions(parsed: DataFrame, user_id: str, accounts: DataFrame, created_at: str) -> DataFrame:
@@ -48,9 +50,15 @@ def to_transactions(parsed: DataFrame, user_id: str, accounts: DataFrame, create
     return made.select(*TXN)
 
 
-def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str) -> Ledger:
+def row_fault() -> Column:
+    """Why a parsed row cannot become a transaction, or null."""
+    return F.when(F.col("occurred_at").isNull(), "no time could be read").when(~F.coalesce(F.col("amount_paisa") > 0, F.lit(False)), "no positive amount could be read")
+
+
+def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str, look_back_days: int = transfers.LOOK_BACK_DAYS) -> Ledger:
     """parsed: normalised rows of this run's messages, of all templates."""
-    usable = parsed.where("occurred_at is not null and amount_paisa > 0")
+    judged = parsed.withColumn("reason", row_fault())
+    usable = judged.where("reason is null").drop("reason")
     accounts = merge.get_or_create_accounts(ledger.accounts, usable.select(F.lit(user_id).alias("user_id"), "institution", F.col("account_mask").alias("mask")))
     rows = to_transactions(usable, user_id, accounts, now)
     by_statement = F.split("dedupe_key", ":")[0].endswith("_stmt")
@@ -59,15 +67,44 @@ def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str) -> Ledger:
     known = folded.withColumn("day", local_day(F.col("occurred_at")))
     missing = audit.missing_from(lines, known, ("account_id", "day", "amount_paisa", "direction"), ("dedupe_key",)).select(*TXN)
     txns = folded.unionByName(merge.insert_ignore(folded, missing, ("user_id", "dedupe_key"), ("id",)))
-    free = txns.where("transfer_group_id is null")
+    free = transfers.within_look_back(txns.where("transfer_group_id is null"), F.lit(now).cast("timestamp_ntz"), look_back_days)
     txns = transfers.link(txns, transfers.scored(transfers.candidate_pairs(free)))
     gaps = reconcile.record_gaps(ledger.gaps, reconcile.find_gaps(txns))
     txns = edits.apply_decisions(txns, categorize.decide(txns, ledger.rules)).select(*TXN)
-    return Ledger(txns, accounts, gaps, ledger.rules)
+    return Ledger(txns, accounts, gaps, ledger.rules, judged.where("reason is not null"))
+
+
+SMS_TEMPLATES = ("nabil.sms_alert", "laxmi.sms_alert")
+
 
+def parse_messages(messages: DataFrame, sheets: DataFrame | None = None, statements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(normalised rows, outcomes) of staged messages: SMS from their bodies, wallet sheets and
+    bank statements from their extracted cells, whose file_id is the message's content hash.
 
-def parse_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(normalised rows, outcomes) of staged SMS messages."""
+    sheets: (file_id, row_no, cells); statements: (file_id, institution, account_mask, page,
+    row_no, cells).  A message whose cells are not given has no outcome: it stays pending."""
     routed = parsing.route_sms(messages)
     rows = parsing.parse_nabil_sms(routed).unionByName(parsing.parse_laxmi_sms(routed))
-    return rows, parsing.outcomes(routed, rows)
+    ran = [*SMS_TEMPLATES]
+    if sheets is not None:
+        rows, ran = rows.unionByName(parsing.parse_wallet_rows(parsing.sheet_rows(sheets))), [*ran, "esewa.statement_row"]
+    if statements is not None:
+        rows, ran = rows.unionByName(parsing.bank_statement_rows(statements)), [*ran, "bank.statement_row"]
+    done = routed.where(F.col("template_key").isNull() | F.col("template_key").isin(*ran))
+    return rows, parsing.outcomes(done, rows)
+
+
+def parse_mails(mails: DataFrame, account_mask: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(normalised rows, outcomes) of mails (message_id, from_addr, subject, text, html)."""
+    routed = parsing.route_email(mails)
+    cards = parsing.parse_card_mail(routed.where("template_key = 'nabil.card_txn'"))
+    rows = cards.unionByName(parsing.parse_mail_tables(parsing.mail_tables(routed), account_mask))
+    return rows, parsing.outcomes(routed, rows, "message_id")
+
+
+def reparse(messages: DataFrame, template: str | None = None, **cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Today's parsers over archived messages, of one template or of all (STR5, FLT18)."""
+    routed = parsing.route_sms(messages)
+    wanted = routed if template is None else routed.where(F.col("template_key") == template)
+    rows, outcomes = parse_messages(wanted.select(*messages.columns), **cells)
+    return (rows if template is None else rows.where(F.col("template_key") == template)), outcomes

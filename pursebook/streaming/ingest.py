@@ -2,41 +2,79 @@
 
 Raw messages are read as files arrive; each micro-batch is parsed and folded into the
 ledger by key.  There is no event-time watermark: a message that is half a year late is
-as welcome as any.  Replaying a batch changes nothing, because keys decide."""
+as welcome as any.  Replaying a batch changes nothing, because keys decide.
+
+The ledger is a folder of versions (v=N), each with the buckets of keys that its batch
+touched; the newest version of a bucket is the bucket.  A batch reads and writes only the
+buckets of its keys, and buckets that a version before the last one has replaced are
+deleted."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pursebook.operators import merge
 
-
-def versioned_path(folder: str, version: int) -> str:
-    return f"{folder}/v={version:012d}"
+#: Parts of a ledger that are rewritten one by one; fixed for the life of a ledger.
+BUCKETS = 64
 
 
-def current_version(spark: SparkSession, folder: str) -> int | None:
-    """The newest complete version of a table kept as numbered folders."""
+def _children(spark: SparkSession, folder: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max((int(n.removeprefix("v=")) for n in names if n.startswith("v=")), default=None)
+    return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The complete versions of a ledger, oldest first."""
+    names = [n for n in _children(spark, folder) if n.startswith("v=")]
+    return [int(n[2:]) for n in names if "_SUCCESS" in _children(spark, f"{folder}/{n}")]
+
+
+def bucket_paths(spark: SparkSession, folder: str) -> dict[str, list[str]]:
+    """For each bucket the folders that hold it, the newest last."""
+    found: dict[str, list[str]] = {}
+    for v in versions(spark, folder):
+        for name in _children(spark, f"{folder}/v={v:012d}"):
+            if name.startswith("bucket="):
+                found.setdefault(name, []).append(f"{folder}/v={v:012d}/{name}")
+    return found
+
+
+def read_ledger(spark: SparkSession, folder: str, schema: str, buckets: list[str] | None = None) -> DataFrame:
+    """The ledger's rows, or those of some buckets."""
+    found = bucket_paths(spark, folder)
+    paths = [found[b][-1] for b in sorted(found) if buckets is None or b in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def fold_batch(folder: str, parse: Callable[[DataFrame], DataFrame], order: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: ledger version n+1 = version n with the batch folded in."""
+    """foreachBatch function: the buckets of the batch's keys, with the batch folded in."""
+    bucket = F.pmod(F.xxhash64(*merge.KEY), F.lit(BUCKETS)).cast("int")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = parse(batch)
-        version = current_version(spark, folder)
-        base = spark.createDataFrame([], rows.schema) if version is None else spark.read.schema(rows.schema).parquet(versioned_path(folder, version))
-        merge.upsert(base, rows, order).write.mode("overwrite").parquet(versioned_path(folder, (version or 0) + 1))
+        touched = [f"bucket={r.b}" for r in rows.select(bucket.alias("b")).distinct().collect()]
+        if not touched:
+            return
+        base = read_ledger(spark, folder, rows.schema, touched)
+        version = max(versions(spark, folder), default=0) + 1
+        folded = merge.upsert(base, rows, order).withColumn("bucket", bucket)
+        folded.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/v={version:012d}")
+        # Readers of the last version may still be at work; what it replaced may go.
+        for paths in bucket_paths(spark, folder).values():
+            for old in paths[:-2]:
+                _delete(spark, old)
 
     return run
 

@@ -61,8 +61,20 @@ def test_windows():
     for bad in ("0d", "x", "3q", ""):
         with pytest.raises(ValueError):
             clock.parse_window(bad, account_start=start, now=now)
-    assert clock.describe_window(now - timedelta(days=92), now=now) == "2026-06-15 (about 3 months back)"
-    assert clock.describe_window(now - timedelta(days=1), now=now) == "2026-09-14 (about 1 day back)"
+
+
+def test_span_labels(spark):
+    days = {0: "today", 1: "about 1 day back", 13: "about 13 days back", 14: "about 2 weeks back", 69: "about 10 weeks back", 75: "about 2 months back", 92: "about 3 months back", 399: "about 13 months back", 400: "about 1.1 years back"}
+    now = F.lit("2026-09-15").cast("timestamp_ntz")
+    rows = spark.createDataFrame([(n, datetime(2026, 9, 15) - timedelta(days=n)) for n in days], "n int, at timestamp_ntz").select("n", clock.span_label(F.col("at"), now).alias("x")).collect()
+    assert {r.n: r.x[12:-1] for r in rows} == days
+    assert next(r.x for r in rows if r.n == 92) == "2026-06-15 (about 3 months back)"
+
+
+def test_every_trailing_advert_goes(spark):
+    text = "paid rent" + " Activate bit.ly/x for a/c balance - Nabil Bank\nsee https://a.b/c" * 3
+    rows = spark.createDataFrame([(text,), ("Activate plan of Nabil shop",), (None,), ("",)], "t string").select(remarks.strip_advert(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["paid rent", "Activate plan of Nabil shop", None, ""]
 
 
 def test_labels(spark):

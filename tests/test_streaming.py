@@ -2,9 +2,10 @@ import json
 
 from pyspark.sql import functions as F
 
-from pursebook.streaming.ingest import current_version, ingest_available, versioned_path
+from pursebook.streaming.ingest import bucket_paths, ingest_available, read_ledger, versions
 
 RAW = "user_id string, key string, arrival int, text string, balance long"
+LEDGER = "user_id string, dedupe_key string, arrival int, id int, description_raw string, balance_after_paisa long, reference string, counterparty string, channel string"
 
 
 def parse(batch):
@@ -21,7 +22,7 @@ def test_available_now_folds_and_replays(spark, tmp_path):
 
     def run(checkpoint):
         ingest_available(spark, str(inbox), RAW, ledger, str(tmp_path / checkpoint), parse).awaitTermination()
-        return sorted(map(str, spark.read.parquet(versioned_path(ledger, current_version(spark, ledger))).collect()))
+        return sorted(map(str, read_ledger(spark, ledger, LEDGER).collect()))
 
     put("1.json", {"user_id": "u", "key": "k", "arrival": 1, "text": "ab"}, {"user_id": "u", "key": "m", "arrival": 2, "text": "x", "balance": 3})
     first = run("c")
@@ -30,3 +31,19 @@ def test_available_now_folds_and_replays(spark, tmp_path):
     second = run("c")
     assert len(second) == 2 and any("abc" in r and "balance_after_paisa=9" in r for r in second)
     assert run("fresh") == second
+    assert all(len(paths) <= 2 for paths in bucket_paths(spark, ledger).values())
+
+
+def test_a_batch_rewrites_only_the_buckets_of_its_keys(spark, tmp_path):
+    inbox, ledger = tmp_path / "in", str(tmp_path / "ledger")
+    inbox.mkdir()
+    go = lambda: ingest_available(spark, str(inbox), RAW, ledger, str(tmp_path / "c"), parse).awaitTermination()
+    (inbox / "1.json").write_text("\n".join(json.dumps({"user_id": "u", "key": f"k{i}", "arrival": i, "text": "t"}) for i in range(200)))
+    go()
+    before = {b: paths[-1] for b, paths in bucket_paths(spark, ledger).items()}
+    (inbox / "2.json").write_text(json.dumps({"user_id": "u", "key": "k7", "arrival": 900, "text": "tea"}))
+    go()
+    after = {b: paths[-1] for b, paths in bucket_paths(spark, ledger).items()}
+    assert len(before) > 10 and sum(before[b] != after[b] for b in before) == 1 and len(versions(spark, ledger)) == 2
+    rows = read_ledger(spark, ledger, LEDGER).collect()
+    assert len(rows) == 200 and [r.description_raw for r in rows if r.dedupe_key == "k7"] == ["tea"]
