@@ -6,13 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pursebook.plans.ledger_queries import QUERIES
-from pursebook.plans.ledger_sql import ORACLE_SQL
+from pursebook.plans import intake_queries, intake_sql, ledger_queries, ledger_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return ledger_queries.QUERIES | intake_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ledger_sql.ORACLE_SQL | intake_sql.ORACLE_SQL
