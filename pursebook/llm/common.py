@@ -57,14 +57,15 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 200
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner", total: int | None = None, merge: bool = False) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each ``key`` and counts the rows
     of a key in ``count``; ``total`` is a number of rows, if the caller has it.
 
     Few keys can have more than one row in HOT_KEYS; those are dealt by a hash of ``spread``
     over SALTS partitions, with a copy of the table's row in each, so that no key weighs
     down a task.  Only the names of those keys are broadcast: by the bound that ``total``
-    sets, or the HOT_KEYS largest."""
+    sets, or the HOT_KEYS largest.  ``merge``: both sides grow with the corpus, so Spark is
+    told not to broadcast a table that happens to be small today."""
     hot = table.where(F.col(count) >= max(HOT_ROWS, (total or 0) // HOT_KEYS))
     hot = (hot if total is not None else hot.orderBy(F.desc(count), key).limit(HOT_KEYS)).select(F.col(key).alias("_hot"))
     mark = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
@@ -72,8 +73,22 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count:
     salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     left = mark(rows).withColumn("_salt", salt).drop("_hot")
     right = mark(table).withColumn("_salt", F.explode(salts)).drop("_hot")
-    # Both sides grow with the corpus: no broadcast, whatever their size is today.
-    return left.join(right.hint("merge"), [key, "_salt"], how).drop("_salt")
+    return left.join(right.hint("merge") if merge else right, [key, "_salt"], how).drop("_salt")
+
+
+#: Bits of the filter below: 2,048 rows of 4 KiB, whatever it filters by.
+FILTER_BITS = 1 << 26
+
+
+def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key`` is not among ``keys``; none of the others
+    is lost.  A bitmap of hashed keys is broadcast; its size is fixed."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bits), "_bucket")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_p) % 8 as int))")) != 0
+    return marked.where(hit).select(*rows.columns)
 
 
 def held_out(id_col: str | Column) -> Column:

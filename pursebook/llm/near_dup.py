@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, discard, read_table, record, salted_join, stored, text_key
+from pursebook.llm.common import byte_rows, column_function, discard, may_hold, read_table, record, salted_join, stored, text_key
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, kept as integers so that the comparison is exact.
@@ -306,7 +306,7 @@ def candidates(classes: DataFrame, total: int, block_rows: int = BLOCK_ROWS) ->
     """Stored (node, comp) over classes (node, sig, n_shingles): what signature matches connect."""
     postings = classes.select("node", F.explode(posting_keys("sig")).alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    found = salted_join(postings, shared, "key", "node", "df", total=total)
+    found = salted_join(postings, shared, "key", "node", "df", total=total, merge=True)
     w = W.partitionBy("node")
     ranked = found.withColumns({"m": F.count("*").over(w), "r": F.row_number().over(w.orderBy("df", "key"))})
     posted = ranked.where((F.col("m") >= MATCHES) & (F.col("r") <= F.col("m") - MATCHES + 1)).select("node", "key", F.lit(1).alias("weight"))
@@ -415,10 +415,11 @@ def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_co
     classes = stored(classes.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     total = sketched.count()
     near = candidates(classes, total, block_rows)
-    members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near.hint("merge"), "node")
+    members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near, "node")
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
+    texts = may_hold(texts, members.select("rep"), "rep")  # most texts have no candidate and stay where they are
     groups = confirmed(members, texts, total, block_rows)
-    owned = classes.select("node", "set_key", "rep", "copies").join(groups.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    owned = classes.select("node", "set_key", "rep", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = owned.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("set_key").alias("grp"), F.count("*").alias("n"))
     names = stored(salted_join(owned, least, "comp", "node", "n", total=total).select("set_key", "component_id", "grp", "copies"), "names")
     own = sketched.select("id", "n_shingles", "set_key", *extra)

@@ -141,3 +141,13 @@ def test_chains_longer_than_blocks_lose_no_link(spark):
     df = spark.createDataFrame([(i * 7 % 41, t) for i, t in rows], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in nd.near_duplicate_groups(df, block_rows=1).collect()}
     assert len(set(c for _, c in want.values())) == 1 and set(got.values()) == {0}
+
+
+def test_the_filter_loses_no_key(spark):
+    from pursebook.llm.common import may_hold
+
+    rows, keys = spark.range(-3000, 3000).selectExpr("id AS rep", "id % 7 AS x"), spark.range(-1000, 1000, 3).selectExpr("id AS rep")
+    kept = {r.rep for r in may_hold(rows, keys, "rep").collect()}
+    wanted = set(range(-1000, 1000, 3))
+    assert wanted <= kept and len(kept) < len(wanted) + 50
+    assert may_hold(rows, keys.where("false"), "rep").count() == 0 and may_hold(rows, keys, "rep").columns == rows.columns
