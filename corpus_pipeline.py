@@ -2,7 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
 kept; what it returns is written as Parquet in the shared folder and read again.  All
-but the last return the columns of ``documents``.
+but the last return the columns of ``documents``, extra ones included.
+
+Defined results: null and empty texts score as average ones, so they pass the quality stage
+if the corpus is mostly good; line dedup leaves them as they are; near-dedup keeps rows
+without words, of which only repeats of the same id and text leave; they hold no benchmark
+window and have no tokens.  Of rows that repeat an id and text one stays; of ties the
+smallest id, then the smallest text key.  Very long texts are worked on whole.  Without
+labels every score is 0.5 and all documents pass; an empty table stays empty.
 """
 
 from __future__ import annotations
