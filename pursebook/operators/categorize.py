@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from pursebook.functions.keys import escape_regex
@@ -25,7 +25,7 @@ def rule_list(rules: DataFrame) -> list[tuple]:
     for r in rows:
         try:
             compiler.compile(rule_pattern(r.pattern))
-        except Py4JJavaError as e:
+        except IllegalArgumentException as e:
             raise ValueError(f"rule {r.id}: not a pattern: {r.pattern!r}") from e
     return [(r.id, r.pattern, r.category_id) for r in rows]
 
