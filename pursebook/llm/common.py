@@ -7,6 +7,8 @@ to outlive a stage goes to the folder that ``spark.checkpoint.dir`` names.
 from __future__ import annotations
 
 import functools
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,11 +28,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares.  Without one, tables would land on the disk of
-    whichever machine writes them, so its absence is an error."""
+    """The folder that the cluster shares.  On a cluster its absence is an error: tables would
+    land on the disk of whichever machine writes them.  In local mode, where one machine is
+    all there is, a temporary folder is made and set."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
-        raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
+        configured = tempfile.mkdtemp(prefix="pursebook-")
+        spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
