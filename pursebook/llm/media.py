@@ -7,8 +7,9 @@ byte ranges of the key frames; it never looks into ``mdat``.  ``read_samples`` f
 the same tables to hand the stored bytes back.
 
 Defined results: a null text is an empty one and is stored as one padded frame; a null
-or damaged file gives null features and a text in ``error``; equal texts give equal
-files (no clock and no random value is written).  Columns other than the one an
+or damaged file, one without tracks or one that keeps its samples in fragments gives null
+features and a text in ``error``; equal texts give equal files (no clock and no random value
+is written); very long texts are stored whole.  Columns other than the one an
 expression is built from are neither read nor changed, so clashing names are harmless.
 """
 
@@ -136,13 +137,32 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start += size
 
 
-def sample_table(data: bytes) -> dict:
-    """Features of the first track and (offset, size) of its samples, by its tables alone."""
-    found: dict[bytes, tuple[int, int]] = {}
+def tracks(data: bytes) -> tuple[list[dict[bytes, tuple[int, int]]], bool]:
+    """(places of each track's boxes, does the file keep samples in fragments?)"""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    fragments = False
     for path, a, b in walk(data):
-        if path[-1] == b"trak" and b"trak" in found:
-            break
-        found.setdefault(path[-1], (a, b))
+        if path[-1] == b"trak":
+            found.append({})
+        elif b"trak" in path:
+            found[-1].setdefault(path[-1], (a, b))
+        fragments = fragments or path[-1] == b"moof"
+    return found, fragments
+
+
+def is_video(data: bytes, track: dict[bytes, tuple[int, int]]) -> bool:
+    return b"hdlr" in track and data[track[b"hdlr"][0] + 8 : track[b"hdlr"][0] + 12] == b"vide"
+
+
+def sample_table(data: bytes) -> dict:
+    """Features of the first video track, or else of the first track, and (offset, size) of
+    its samples, by its tables alone; other tracks have no width and height."""
+    every, fragments = tracks(data)
+    if fragments:
+        raise ValueError("a fragmented file: its sample runs are not read")
+    if not every:
+        raise ValueError("no track")
+    found = next((t for t in every if is_video(data, t)), every[0])
     for need in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"):
         if need not in found:
             raise ValueError(f"no {need.decode()} box")
@@ -150,7 +170,7 @@ def sample_table(data: bytes) -> dict:
     timescale = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
     a, _ = found[b"stsd"]
     codec = data[a + 12 : a + 16].decode("latin-1")
-    width, height = struct.unpack_from(">HH", data, a + 40)
+    width, height = struct.unpack_from(">HH", data, a + 40) if is_video(data, found) else (None, None)
 
     def ints(kind: bytes, skip: int, count: int, per: int = 1, form: str = ">u4") -> np.ndarray:
         return np.frombuffer(data, form, count * per, found[kind][0] + skip).astype(np.int64).reshape(-1, per) if count else np.empty((0, per), np.int64)

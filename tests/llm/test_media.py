@@ -29,6 +29,36 @@ def test_damaged_files_have_an_error():
     assert media.features(None)["error"] == "no file"
 
 
+def boxes(data):
+    """Top-level boxes by kind."""
+    out, at = {}, 0
+    while at < len(data):
+        size, kind = struct.unpack_from(">I4s", data, at)
+        out[kind] = data[at : at + size]
+        at += size
+    return out
+
+
+def test_fragments_are_an_error_and_audio_has_no_picture_size():
+    f = media.mux_bytes(b"x" * 3000)
+    assert "fragment" in media.features(f + struct.pack(">I4s", 8, b"moof"))["error"]
+    sound = f.replace(b"vide", b"soun", 1)
+    x = media.features(sound)
+    assert (x["width"], x["height"], x["error"], x["n_samples"]) == (None, None, None, media.features(f)["n_samples"])
+
+
+def test_the_video_track_is_found_behind_an_audio_track():
+    f = media.mux_bytes(b"x" * 3000)
+    parts = boxes(f)
+    moov = parts[b"moov"]
+    at = moov.index(b"trak") - 4
+    trak = moov[at : at + struct.unpack_from(">I", moov, at)[0]]
+    sound = trak.replace(b"vide", b"soun", 1).replace(b"stts", b"free", 1)  # its tables are of no use
+    both = struct.pack(">I", len(moov) + len(sound)) + moov[4:at] + sound + moov[at:]
+    x = media.features(parts[b"ftyp"] + both + parts[b"mdat"] + bytes(len(sound)))
+    assert x["width"] == 24 and x["n_samples"] == media.features(f)["n_samples"]
+
+
 def test_walk_reads_long_and_open_boxes():
     inner = struct.pack(">I4s", 0, b"free") + b"12"
     big = struct.pack(">I4sQ", 1, b"moov", 16 + len(inner)) + inner
