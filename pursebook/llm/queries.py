@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
+from pursebook.llm.exact_search import op12_exact_topk
 from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.language import op9_language_id
 from pursebook.llm.line_dedup import op8_line_dedup
 from pursebook.llm.media import op3_media_columns
 from pursebook.llm.near_dup import op7_minhash_near_dedup
+from pursebook.llm.periodic import op13_periodic_runs
 from pursebook.llm.quality import op6_quality_classifier
 from pursebook.llm.toxicity import op10_toxicity
 from pursebook.llm.warc import op5_warc
@@ -24,11 +26,21 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op12_exact_topk": op12_exact_topk,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 #: Words of the decontamination contract.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Words of the run and of the filter contract.
+_PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: crc32 of an id as text, byte by byte over a table of 256 remainders.
+_CRC = """
+     t AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS tab FROM range(256) AS x(n)),
+     h AS (SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                  lambda c, b: xor(c // 256, tab[xor(c % 256, b) + 1])), 4294967295) AS h FROM documents, t)"""
+
 ORACLE_SQL = {
     "op1_benchmark_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -63,5 +75,30 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text
            FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.k = a.k GROUP BY 1)
 SELECT d.doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(l) END AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS text_sha256
 FROM d JOIN t USING (doc_id)
+""",
+    "op12_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.w) + 1), lambda i: q.w[i] * c.w[i])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op13_periodic_runs": f"""
+WITH {_CRC[6:]},
+     o AS (SELECT doc_id, h, h // 10 AS g, {_PLAIN_WORDS} AS w, len({_PLAIN_WORDS}) AS n FROM h),
+     p AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM o WHERE h % 10 = 0 AND n > 0),
+     d AS (SELECT doc_id, list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) AS w FROM p
+           UNION ALL SELECT doc_id, w FROM o WHERE NOT (h % 10 = 0 AND n > 0)),
+     x AS (SELECT doc_id, w[i + 1] AS x, i FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)),
+     e AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i),
+     i AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k),
+     r AS (SELECT doc_id, s, m, min(q) AS q FROM i WHERE m >= 12 AND m >= 2 * q GROUP BY 1, 2, 3),
+     c AS (SELECT doc_id, count(*) AS n_runs, arg_min([s, m, q], [-m, s, q]) AS top, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY 1),
+     z AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + m)) AS i FROM r),
+     k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM x ANTI JOIN z USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top[1] AS BIGINT) AS start, CAST(top[2] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period,
+       CAST(1000 * top[2] // top[3] AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
 """,
 }

@@ -10,7 +10,7 @@ from pursebook.llm.queries import ORACLE_SQL, QUERIES
 
 
 def test_names():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
