@@ -5,6 +5,7 @@ from __future__ import annotations
 from pursebook.llm.bpe import op4_byte_bpe
 from pursebook.llm.decontaminate import op1_benchmark_decontamination
 from pursebook.llm.exact_search import op12_exact_topk
+from pursebook.llm.filter_audit import op11_filter_audit
 from pursebook.llm.html_text import op2_html_extraction
 from pursebook.llm.language import op9_language_id
 from pursebook.llm.line_dedup import op8_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_filter_audit": op11_filter_audit,
     "op12_exact_topk": op12_exact_topk,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -75,6 +77,24 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text
            FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.k = a.k GROUP BY 1)
 SELECT d.doc_id, CAST(CASE WHEN text = '' THEN 0 ELSE len(l) END AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS text_sha256
 FROM d JOIN t USING (doc_id)
+""",
+    "op11_filter_audit": f"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_PLAIN_WORDS} AS w FROM documents),
+     l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+     m AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+                + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+                + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+     n AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+     f(l, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+     o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM f a, f b, f c, f d, f e WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+     s AS (SELECT filter_order, step, bits[step] AS b, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS p FROM o, range(1, 6) AS r(step)),
+     r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, b,
+                  coalesce(sum(n) FILTER (WHERE mask & (p | b) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE mask & p = 0 AND mask & b > 0), 0) AS removed,
+                  coalesce(sum(n) FILTER (WHERE mask & p > 0 AND mask & b > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE mask = b), 0) AS unique_fails,
+                  coalesce(sum(good) FILTER (WHERE mask & p = 0 AND mask & b > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & p = 0 AND mask & b > 0), 0) AS toxic_lost
+           FROM n, s GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, b) AS BIGINT) AS shapley FROM r
 """,
     "op12_exact_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
