@@ -1,9 +1,10 @@
 """Main text of HTML pages by tree scoring (operator 2).
 
 1. A page is tokenised leniently and built into a tree with implied end tags.
-2. Scripts, menus, forms, headers, footers, side bars and hidden elements are left out by
-   element, role or attribute; of an article's own header its headings stay.  The rest is
-   cut into blocks, each with its text and the part of it that is links.
+2. Scripts, menus, form controls, headers, footers, side bars and hidden elements are left out
+   by element, role or attribute; of an article's own header its headings stay.  The rest is
+   cut into blocks, each with its text and the part of it that is links.  A form goes too,
+   unless it is wrapped around the page's prose: most of its points, or an article.
 3. A class or id only raises a suspicion.  One made of boilerplate words alone ("ad-slot",
    "cookie-notice") drops its element, unless prose of most of the page's points is inside; one
    with another word in it ("share-price") does so only where links make up the text.
@@ -45,10 +46,10 @@ ARTICLES = frozenset(["article", "main"])
 #: Blocks that pass their points on; any other block counts as a container itself.
 PARAGRAPHS = frozenset("p pre li td th dd dt blockquote figcaption summary".split())
 DROPPED = frozenset(
-    "head nav footer aside form script style noscript template iframe button select input textarea svg canvas object embed audio video map "
-    "dialog menu title xmp noembed noframes search math".split()
+    "head nav footer aside script style noscript template iframe button select input textarea label legend datalist svg canvas object embed audio video map "
+    "dialog menu title xmp noembed noframes search annotation annotation-xml".split()
 )
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 #: Words of class and id that mark what is not the article.
 BOILERPLATE = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner sponsor sponsored sponsors promo promos promotion sidebar sidebars aside rail menu "
@@ -93,7 +94,7 @@ WIDEN_SHARE, SIBLING_SHARE, SIBLING_POINTS, PROSE_DENSITY, PROSE_CHARS = 0.66, 0
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "outer", "children", "open", "suspect", "dropped", "in_article", "headings_only", "has_article", "chars", "link_chars", "links", "own", "points")
+    __slots__ = ("tag", "attrs", "parent", "outer", "children", "open", "suspect", "dropped", "in_article", "headings_only", "has_article", "chars", "link_chars", "prose", "own", "points")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
         self.tag, self.attrs, self.parent = tag, attrs, parent
@@ -104,7 +105,7 @@ class Node:
         self.open: dict[str, Node] = {}
         self.suspect = 0
         self.dropped = self.in_article = self.headings_only = self.has_article = False
-        self.chars = self.link_chars = self.links = 0
+        self.chars = self.link_chars = self.prose = 0
         self.own = self.points = 0.0
 
     @property
@@ -266,8 +267,6 @@ def blocks_of(root: Node) -> list[tuple[Node, str, int]]:
                 continue
             c.suspect = suspicion(c)
             is_link = c.tag == "a" and "href" in c.attrs
-            if is_link:
-                own.links += 1
             todo.append((node, j + 1, linked, outer))
             todo.append((c, 0, linked or is_link, own))
             break
@@ -286,27 +285,34 @@ def points_of(text: str, link_chars: int) -> float:
 def add_up(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> None:
     """Totals of every element, from the leaves to the root, in one pass."""
     for x in nodes:
-        x.chars = x.link_chars = 0
+        x.chars = x.link_chars = x.prose = 0
         x.own = 0.0
     for node, text, link in blocks:
         node.chars += len(text)
         node.link_chars += link
         node.own += points_of(text, link)
+        node.prose = max(node.prose, len(text) - link)
     for x in reversed(nodes[1:]):
         up = x.parent
         up.chars += x.chars
         up.link_chars += x.link_chars
         up.own += x.own
+        up.prose = max(up.prose, x.prose)
         up.has_article = up.has_article or x.has_article or x.tag in ARTICLES
 
 
+def is_form(node: Node) -> bool:
+    return node.tag == "form" or node.attrs.get("role", "").lower() == "form"
+
+
 def drop_suspects(nodes: list[Node], blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
-    """The blocks outside the elements whose name and text say that they are boilerplate."""
+    """The blocks outside forms and outside the elements whose name and text say that they are boilerplate."""
     add_up(nodes, blocks)
     total = nodes[0].own
     for x in nodes[1:]:
         strong = x.suspect == 2 and not x.has_article and x.own <= max(total / 2, SIBLING_POINTS)
-        x.dropped = x.dropped or x.parent.dropped or strong or (x.suspect == 1 and not x.has_article and x.density >= SUSPECT_DENSITY)
+        form = is_form(x) and not x.has_article and (x.own <= total / 2 or x.prose <= PROSE_CHARS)
+        x.dropped = x.dropped or x.parent.dropped or strong or form or (x.suspect == 1 and not x.has_article and x.density >= SUSPECT_DENSITY)
     return [b for b in blocks if not b[0].dropped]
 
 

@@ -143,3 +143,31 @@ def test_very_long_text_is_whole(spark):
 
 def test_references_split_by_markup_stay_apart():
     assert x.extract_text("<article><p>&am<b>p;</b> &lt;x, y</p></article>") == "&amp; <x, y"
+
+
+LOGIN = '<form action="/login"><fieldset><legend>Log in</legend><label for=u>User, or mail</label><input id=u><p>Forgot it, again, and again?</p><button>Go</button></fieldset></form>'
+SEARCH = "<form role=search><label>Search</label><input name=q><button>Find</button></form>"
+
+
+@pytest.mark.parametrize("open_form,close_form", [('<form method="post" id="aspnetForm">', "</form>"), ('<div role="form">', "</div>")])
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main>%s</main>", '<div class="post">%s</div>', "%s"])
+@pytest.mark.parametrize("paragraphs", [1, 8])
+def test_a_form_around_the_whole_page_keeps_the_article(open_form, close_form, shell, paragraphs):
+    article = "<h1>Title</h1>" + ARTICLE * paragraphs
+    want = x.extract_text("<body>" + shell % article + "</body>")
+    assert want.startswith("Title\nSome text") and want.count("\n") == paragraphs
+    inside = "<input type=hidden value=1><nav><a href=/>Home</a></nav>" + shell % article + "<select><option>one</option></select><label>Rate it</label><footer>Foot, note</footer>"
+    assert x.extract_text(f"<body>{open_form}{inside}{close_form}</body>") == want
+    # A second form beside or inside the article still goes.
+    for form in (LOGIN, SEARCH):
+        assert x.extract_text(f"<body>{form}{open_form}{inside}{close_form}{form}</body>") == want
+        assert x.extract_text("<body>" + shell % (article + form) + form + "</body>") == want
+
+
+def test_a_page_that_is_a_form_has_no_text():
+    assert x.extract_text(f"<body>{LOGIN}</body>") == "" and x.extract_text(f"<body>{SEARCH}{LOGIN}</body>") == ""
+
+
+def test_formulas_stay():
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding=tex>E=m\\,</annotation><annotation-xml><ci>E</ci></annotation-xml></semantics></math>"
+    assert x.extract_text(f"<article>{ARTICLE}<p>Energy {formula} equals mass</p></article>").split("\n")[-1] == "Energy E=m equals mass"
