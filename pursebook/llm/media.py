@@ -6,10 +6,15 @@ one track of an ISO base media file.  ``probe`` walks the nested boxes of such a
 byte ranges of the key frames; it never looks into ``mdat``.  ``read_samples`` follows
 the same tables to hand the stored bytes back.
 
+Files of other writers may keep samples in fragments, in compact size tables or behind edit
+lists; all of these are read.  ``duration`` is that of the samples, ``presented`` what the edit
+list makes of it, both in the track's timescale.
+
 Defined results: a null text is an empty one and is stored as one padded frame; a null
-or damaged file, one without tracks or one that keeps its samples in fragments gives null
-features and a text in ``error``; equal texts give equal files (no clock and no random value
-is written); very long texts are stored whole.  Columns other than the one an
+or damaged file or one without tracks gives null features and a text in ``error``, whatever the
+damage: tables are held against the file's length before memory is taken for them, and boxes
+nested deeper than ``MAX_DEPTH`` are damage.  Equal texts give equal files (no clock and no random
+value is written); very long texts are stored whole.  Columns other than the one an
 expression is built from are neither read nor changed, so clashing names are harmless.
 """
 
@@ -37,9 +42,13 @@ TAIL_BYTES = 32
 
 #: Boxes that hold other boxes and nothing else.
 CONTAINERS = frozenset({b"moov", b"trak", b"mdia", b"minf", b"dinf", b"stbl", b"edts", b"udta", b"mvex", b"moof", b"traf"})
+#: No writer nests boxes nearly as deep.
+MAX_DEPTH = 32
+#: What reading a damaged file can raise.
+DAMAGE = (ValueError, LookupError, ArithmeticError, MemoryError, struct.error)
 
 FEATURES = record(
-    codec=pa.string(), width=pa.int32(), height=pa.int32(), timescale=pa.int64(), duration=pa.int64(), n_samples=pa.int64(), n_keyframes=pa.int64(),
+    codec=pa.string(), width=pa.int32(), height=pa.int32(), timescale=pa.int64(), duration=pa.int64(), presented=pa.int64(), n_samples=pa.int64(), n_keyframes=pa.int64(),
     keyframes=pa.list_(record(first=pa.int64(), length=pa.int64())), error=pa.string(),
 )
 
@@ -116,10 +125,13 @@ def mux_bytes(data: bytes) -> bytes:
     return b"".join((_FTYP, moov(first), head, payload))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, first byte, end) of the body of every box, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def placed_boxes(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """(path, first byte, first byte of the body, end) of every box, parents first."""
+    open_boxes: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_boxes:
+        path, start, end = open_boxes.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
@@ -131,41 +143,154 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} runs past its parent")
-        yield (*path, kind), start + head, start + size
+        yield (*path, kind), start, start + head, start + size
+        open_boxes.append((path, start + size, end))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, (*path, kind))
-        start += size
+            if len(path) >= MAX_DEPTH:
+                raise ValueError("boxes nest too deep")
+            open_boxes.append(((*path, kind), start + head, start + size))
 
 
-def tracks(data: bytes) -> tuple[list[dict[bytes, tuple[int, int]]], bool]:
-    """(places of each track's boxes, does the file keep samples in fragments?)"""
-    found: list[dict[bytes, tuple[int, int]]] = []
-    fragments = False
-    for path, a, b in walk(data):
-        if path[-1] == b"trak":
-            found.append({})
-        elif b"trak" in path:
-            found[-1].setdefault(path[-1], (a, b))
-        fragments = fragments or path[-1] == b"moof"
-    return found, fragments
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, first byte, end) of the body of every box, parents first."""
+    for path, _, body, end in placed_boxes(data):
+        yield path, body, end
+
+
+class Layout:
+    """Where the boxes of a file are: each track's, the defaults of its fragments, the
+    fragments, and the movie's header."""
+
+    def __init__(self, data: bytes):
+        self.tracks: list[dict[bytes, tuple[int, int]]] = []
+        self.defaults: dict[int, tuple[int, int, int]] = {}
+        #: (place of the moof box, its runs: [tfhd, place of each trun])
+        self.fragments: list[tuple[int, list[list]]] = []
+        self.movie: int | None = None
+        for path, at, a, b in placed_boxes(data):
+            kind = path[-1]
+            if kind == b"trak":
+                self.tracks.append({})
+            elif b"trak" in path and self.tracks:
+                self.tracks[-1].setdefault(kind, (a, b))
+            elif path == (b"moov", b"mvhd"):
+                self.movie = a
+            elif path == (b"moov", b"mvex", b"trex"):
+                track, _, *default = struct.unpack_from(">5I", data, a + 4)
+                self.defaults[track] = tuple(default)
+            elif path == (b"moof",):
+                self.fragments.append((at, []))
+            elif path == (b"moof", b"traf"):
+                self.fragments[-1][1].append([None])
+            elif path == (b"moof", b"traf", b"tfhd"):
+                self.fragments[-1][1][-1][0] = a
+            elif path == (b"moof", b"traf", b"trun"):
+                self.fragments[-1][1][-1].append((a, b))
+
+
+def fields(data: bytes, at: int, flags: int, which: tuple[int, ...]) -> tuple[dict[int, int], int]:
+    """(values of the optional 32-bit fields that the flags announce, place after them)."""
+    found = {}
+    for flag in which:
+        if flags & flag:
+            (found[flag],) = struct.unpack_from(">I", data, at)
+            at += 4
+    return found, at
+
+
+NOT_A_KEY = 0x10000
+
+
+def run_samples(data: bytes, place: tuple[int, int], base: int, after: int, default: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(offsets and sizes, durations, is it a key?, end of the data) of the samples of one run of a
+    fragment.  Its data begin at a distance of ``base`` that it names, or else at ``after``."""
+    at, end = place
+    flags, n = struct.unpack_from(">II", data, at)
+    flags &= 0xFFFFFF
+    own, at = fields(data, at + 8, flags, (0x1, 0x4))
+    start = base + struct.unpack(">i", struct.pack(">I", own[0x1]))[0] if 0x1 in own else after
+    listed = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+    if n > len(data) or at + 4 * n * len(listed) > end:
+        raise ValueError("a run holds more samples than the file can")
+    table = np.frombuffer(data, ">u4", n * len(listed), at).astype(np.int64).reshape(n, -1) if listed and n else np.empty((n, len(listed)), np.int64)
+    column = lambda flag, value: table[:, listed.index(flag)] if flag in listed else np.full(n, value, np.int64)
+    durations, sizes, marks = (column(f, v) for f, v in zip((0x100, 0x200, 0x400), default))
+    if n and 0x4 in own and 0x400 not in listed:
+        marks[0] = own[0x4]
+    ends = start + np.cumsum(sizes)
+    return np.stack([ends - sizes, sizes], 1), durations, marks & NOT_A_KEY == 0, int(ends[-1]) if n else start
+
+
+def fragment_samples(data: bytes, layout: Layout, track: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The runs of a track in all fragments."""
+    found = []
+    for moof, runs in layout.fragments:
+        after = moof
+        for header, *places in runs:
+            if header is None:
+                raise ValueError("a fragment of no track")
+            flags, of = struct.unpack_from(">II", data, header)
+            flags &= 0xFFFFFF
+            at, base = header + 8, moof if flags & 0x20000 else after
+            if flags & 0x1:
+                (base,) = struct.unpack_from(">Q", data, at)
+                at += 8
+            own, _ = fields(data, at, flags, (0x2, 0x8, 0x10, 0x20))
+            default = tuple(own.get(f, v) for f, v in zip((0x8, 0x10, 0x20), layout.defaults.get(of, (0, 0, 0))))
+            at = base
+            for place in places:
+                samples, durations, keys, at = run_samples(data, place, base, at, default)
+                if of == track:
+                    found.append((samples, durations, keys))
+            after = at
+    return found
 
 
 def is_video(data: bytes, track: dict[bytes, tuple[int, int]]) -> bool:
     return b"hdlr" in track and data[track[b"hdlr"][0] + 8 : track[b"hdlr"][0] + 12] == b"vide"
 
 
+def sample_sizes(data: bytes, track: dict[bytes, tuple[int, int]]) -> np.ndarray:
+    """The sizes of the samples, from the plain or the compact table."""
+    if b"stsz" in track:
+        at, _ = track[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data, at + 4)
+        if fixed * n > len(data):
+            raise ValueError("the samples are larger than the file")
+        return np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at + 12).astype(np.int64) if n else np.empty(0, np.int64)
+    at, _ = track[b"stz2"]
+    bits, n = data[at + 7], struct.unpack_from(">I", data, at + 8)[0]
+    if bits not in (4, 8, 16) or n * bits > 8 * len(data):
+        raise ValueError("a compact size table of unknown form")
+    raw = np.frombuffer(data, ">u2" if bits == 16 else "u1", -(-n * bits // (16 if bits == 16 else 8)), at + 12).astype(np.int64) if n else np.empty(0, np.int64)
+    return np.stack([raw >> 4, raw & 15], 1).reshape(-1)[:n] if bits == 4 else raw
+
+
+def presented_time(data: bytes, track: dict[bytes, tuple[int, int]], layout: Layout, timescale: int, duration: int) -> int:
+    """What the edit list shows of the track, in its timescale; all of it without one."""
+    if b"elst" not in track or layout.movie is None:
+        return duration
+    movie = struct.unpack_from(">I", data, layout.movie + (20 if data[layout.movie] == 1 else 12))[0]
+    at, _ = track[b"elst"]
+    (n,) = struct.unpack_from(">I", data, at + 4)
+    form = np.dtype([("time", ">u8"), ("from", ">i8"), ("rate", ">u4")] if data[at] == 1 else [("time", ">u4"), ("from", ">i4"), ("rate", ">u4")])
+    times = np.frombuffer(data, form, n, at + 8)["time"] if n else []
+    # An edit of no length shows all that fragments will bring.
+    return sum(int(t) for t in times) * timescale // movie if len(times) and all(times) and movie else duration
+
+
 def sample_table(data: bytes) -> dict:
     """Features of the first video track, or else of the first track, and (offset, size) of
     its samples, by its tables alone; other tracks have no width and height."""
-    every, fragments = tracks(data)
-    if fragments:
-        raise ValueError("a fragmented file: its sample runs are not read")
-    if not every:
+    layout = Layout(data)
+    if not layout.tracks:
         raise ValueError("no track")
-    found = next((t for t in every if is_video(data, t)), every[0])
-    for need in (b"mdhd", b"stsd", b"stts", b"stsc", b"stsz"):
+    found = next((t for t in layout.tracks if is_video(data, t)), layout.tracks[0])
+    for need in (b"mdhd", b"stsd", b"stts", b"stsc"):
         if need not in found:
             raise ValueError(f"no {need.decode()} box")
+    if b"stsz" not in found and b"stz2" not in found:
+        raise ValueError("no stsz box")
     a, _ = found[b"mdhd"]
     timescale = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
     a, _ = found[b"stsd"]
@@ -179,26 +304,38 @@ def sample_table(data: bytes) -> dict:
         return struct.unpack_from(">I", data, found[kind][0] + skip)[0]
 
     times = ints(b"stts", 8, count(b"stts"), 2)
-    fixed, n = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-    sizes = np.full(n, fixed, np.int64) if fixed else ints(b"stsz", 12, n)[:, 0]
+    sizes = sample_sizes(data, found)
+    n = len(sizes)
     kind = b"co64" if b"co64" in found else b"stco"
-    places = ints(kind, 8, count(kind), 1, ">u8" if kind == b"co64" else ">u4")[:, 0]
+    places = ints(kind, 8, count(kind), 1, ">u8" if kind == b"co64" else ">u4")[:, 0] if kind in found else np.empty(0, np.int64)
     runs = ints(b"stsc", 8, count(b"stsc"), 3)
+    if len(runs) and runs[0, 0] != 1:
+        raise ValueError("the first chunk is not described")
     spans = np.diff(np.append(runs[:, 0], len(places) + 1))
     per_chunk = np.repeat(runs[:, 1], spans)
     if per_chunk.sum() != n:
         raise ValueError("the chunks do not hold as many samples as the size table")
-    chunk_of = np.repeat(np.arange(len(places)), per_chunk)
+    chunk_of = np.repeat(np.arange(len(places)), per_chunk) if n else np.empty(0, np.int64)
     before = np.cumsum(sizes) - sizes
-    first_of_chunk = (np.cumsum(per_chunk) - per_chunk)[chunk_of]
+    first_of_chunk = (np.cumsum(per_chunk) - per_chunk)[chunk_of] if n else chunk_of
     offsets = places[chunk_of] + before - before[first_of_chunk] if n else np.empty(0, np.int64)
-    if n and int((offsets + sizes).max()) > len(data):
-        raise ValueError("a sample lies outside the file")
     keys = ints(b"stss", 8, count(b"stss"))[:, 0] - 1 if b"stss" in found else np.arange(n)
-    return {
-        "codec": codec, "width": width, "height": height, "timescale": timescale, "duration": int((times[:, 0] * times[:, 1]).sum()),
-        "offsets": offsets, "sizes": sizes, "keys": keys,
-    }
+    if len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a key frame that is no sample")
+    duration = sum(a * b for a, b in times.tolist())
+    if layout.fragments:
+        track = struct.unpack_from(">I", data, found[b"tkhd"][0] + (20 if data[found[b"tkhd"][0]] == 1 else 12))[0]
+        runs = fragment_samples(data, layout, track)
+        samples = np.concatenate([np.stack([offsets, sizes], 1), *(s for s, _, _ in runs)])
+        keys = np.append(keys, n + np.flatnonzero(np.concatenate([k for *_, k in runs]))) if runs else keys
+        offsets, sizes = samples[:, 0], samples[:, 1]
+        duration += sum(int(d.sum()) for _, d, _ in runs)
+    if len(sizes) and (int(offsets.min()) < 0 or int((offsets + sizes).max()) > len(data)):
+        raise ValueError("a sample lies outside the file")
+    presented = presented_time(data, found, layout, timescale, duration)
+    if max(duration, presented) >= 1 << 63:
+        raise ValueError("a duration that no number holds")
+    return {"codec": codec, "width": width, "height": height, "timescale": timescale, "duration": duration, "presented": presented, "offsets": offsets, "sizes": sizes, "keys": keys}
 
 
 def features(data: bytes | None) -> dict:
@@ -206,10 +343,10 @@ def features(data: bytes | None) -> dict:
         return {"error": "no file"}
     try:
         t = sample_table(data)
-    except (ValueError, IndexError, struct.error) as e:
-        return {"error": str(e)[:200]}
+    except DAMAGE as e:
+        return {"error": (str(e) or type(e).__name__)[:200]}
     keys = [{"first": int(a), "length": int(b)} for a, b in zip(t["offsets"][t["keys"]], t["sizes"][t["keys"]])]
-    return {k: t[k] for k in ("codec", "width", "height", "timescale", "duration")} | {"n_samples": len(t["sizes"]), "n_keyframes": len(keys), "keyframes": keys, "error": None}
+    return {k: t[k] for k in ("codec", "width", "height", "timescale", "duration", "presented")} | {"n_samples": len(t["sizes"]), "n_keyframes": len(keys), "keyframes": keys, "error": None}
 
 
 def sample_bytes(data: bytes) -> bytes:
@@ -241,7 +378,7 @@ def read_samples(media: pa.Array) -> pa.Array:
     for x in media:
         try:
             out.append(None if x.as_py() is None else sample_bytes(x.as_py()))
-        except (ValueError, IndexError, struct.error):
+        except DAMAGE:
             out.append(None)
     return pa.array(out, pa.binary())
 
