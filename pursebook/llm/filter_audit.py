@@ -4,19 +4,22 @@ The documents are read as a file stream that processes everything available in m
 
 1. Each document gets a mask: a bit for each filter it fails, by its own text.  The last
    filter, "identical to the text of a smaller id", depends on all others.
-2. Its bit is kept by keyed state: for each text (a 128-bit hash) the smallest id so far, and
-   the parts and masks of the rows that hold it.  A row of a larger id is counted with the
-   bit.  When a smaller id arrives, the earlier holder's mask is retracted from the counter of
-   its part and added again with the bit; the new one is counted without.
-3. The changes of a batch are summed by (part, mask) and written under the batch's number, so
-   a batch that runs again after a failure replaces what it wrote.  State and progress are in
-   the checkpoint, in the shared folder; a later call with the same folder goes on from there.
-4. All orders of the filters follow from the summed counters alone, 32 masks for each part.
-
-Copies: rows of one text are reduced to one row for each Arrow batch before they are
-shuffled by text, so a text that a third of the documents repeat is a few rows for its
-task.  State is in RocksDB on the executors, with bounded memory, and as changes in the
-checkpoint.  Labels are reduced to one row for each id and joined by id in each batch.
+2. All rows of a batch are counted by (part, mask) as if they had a smaller copy.
+3. Keyed state corrects that for the holders of the smallest ids: for each text (a 128-bit hash)
+   the smallest id so far, with the parts and masks of the rows that hold it.  When a smaller
+   id arrives, the earlier holder's correction is retracted, and the new one's is made.
+4. State and counters of a batch are written under its number, in the shared folder, and a
+   batch reads the state of smaller numbers only.  So a batch that runs again after a failure
+   replaces what it wrote, and a later call with the same folder goes on from there.
+5. All orders of the filters follow from the summed counters alone, 32 masks for each part.
+
+Copies: the smallest id of a text is a min() with map-side combine, and its holders are
+looked up by (text, id), so a text that a third of the documents repeat weighs down no task.
+A batch reads the earlier state, some 60 bytes for each text, so few large batches are best.
+Labels are reduced to one row for each id and joined by id in each batch.
+
+State is a table, not Spark's keyed Python state: that ran a Python call for each text, and cost
+754 of 933 CPU seconds a GB.
 
 Defined results: a null text is an empty one, a null part an empty string; rows that repeat
 an id and its text are all counted, and none of them is a smaller copy of another; a row
@@ -28,18 +31,14 @@ the named columns are read, so extra or clashing columns do no harm.
 from __future__ import annotations
 
 import itertools
-import json
 import math
 import uuid
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import read_table, shared_dir, text_key
+from pursebook.llm.common import discard, read_table, shared_dir, text_key
 
 #: The filters of the contract, by letter; each one's bit in a mask is its place.
 FILTERS = "ABCDE"
@@ -51,11 +50,6 @@ MARKS = "[#$%&*|]"
 #: Micro-batches of one call over a whole table.
 BATCHES = 4
 
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-}
 COUNTERS = "part string, code int, n long"
 
 
@@ -79,101 +73,60 @@ def marked(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return joined.select("_key", "_id", "_part", (F.col("_mask") + F.coalesce("_bits", F.lit(0))).cast("int").alias("_code"))
 
 
-def counts_text(counts: Counter) -> str:
-    return json.dumps([[*k, n] for k, n in counts.items()]) if counts else ""
-
-
-def counts_of(text: str) -> Counter:
-    return Counter({(part, code): n for part, code, n in json.loads(text)} if text else {})
-
-
-def copies(counts: Counter) -> Counter:
-    """The counts as those of rows that have a smaller copy."""
-    return Counter({(part, code | COPY): n for (part, code), n in counts.items()})
-
-
-def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each text of an Arrow batch: its smallest id, what is counted for that
-    (``_held``), and what is counted whatever other batches hold (``_settled``)."""
-    for batch in batches:
-        found: dict[str, list] = {}
-        for key, i, part, code in zip(*(batch.column(c).to_pylist() for c in ("_key", "_id", "_part", "_code"))):
-            best = found.setdefault(key, [None, Counter(), Counter()])
-            if i is None:
-                best[2][part, code] += 1
-            elif best[0] is None or i < best[0]:
-                best[2].update(copies(best[1]))
-                best[0], best[1] = i, Counter({(part, code): 1})
-            elif i == best[0]:
-                best[1][part, code] += 1
-            else:
-                best[2][part, code | COPY] += 1
-        kind = batch.schema.field("_id").type
-        nothing = 0 if pa.types.is_integer(kind) else ""
-        yield pa.record_batch(
-            [pa.array(list(found), pa.string()), pa.array([nothing if b[0] is None else b[0] for b in found.values()], kind), pa.array([counts_text(b[1]) for b in found.values()], pa.string()), pa.array([counts_text(b[2]) for b in found.values()], pa.string())],
-            names=["_key", "_id", "_held", "_settled"],
-        )
-
-
-def changes(held: tuple | None, rows: Iterator[tuple]) -> tuple[tuple | None, Counter]:
-    """(the text's smallest id and its counts, changes of the counters) after more rows of
-    (id, held, settled)."""
-    out: Counter = Counter()
-    for i, mine, settled in rows:
-        out.update(counts_of(settled))
-        if not mine:
-            continue
-        counts = counts_of(mine)
-        if held is None or i < held[0]:
-            if held is not None:
-                out.subtract(held[1])
-                out.update(copies(held[1]))
-            held = (i, counts)
-            out.update(counts)
-        elif i == held[0]:
-            held = (i, held[1] + counts)
-            out.update(counts)
-        else:
-            out.update(copies(counts))
-    return held, out
-
-
-def keep_smallest(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Keyed state: smallest id of a text, retracting what it replaces."""
-    before = state.getOption
-    before = (before[0], counts_of(before[1])) if before else None
-    held, out = changes(before, (row for frame in frames for row in zip(frame["_id"].tolist(), frame["_held"], frame["_settled"])))
-    if held != before:
-        state.update((held[0], counts_text(held[1])))
-    if any(out.values()):
-        yield pd.DataFrame([(part, code, n) for (part, code), n in out.items() if n], columns=["part", "code", "n"])
-
-
-def stored_counters(folder: str) -> Callable[[DataFrame, int], None]:
-    def store(batch: DataFrame, number: int) -> None:
-        batch.groupBy("part", "code").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
-
-    return store
+def holders(rows: DataFrame, earlier: DataFrame) -> DataFrame:
+    """(_key, _id, _part, _code, _n, _fresh, _sign) of the texts in ``rows``: with sign 1 the rows,
+    earlier ones included, that hold the smallest id now; with sign -1 the earlier ones that
+    held it before.  What does not change is there with both signs."""
+    fresh = rows.where("_id is not null").select("_key", "_id", "_part", "_code", F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_fresh"))
+    both = fresh.unionByName(earlier.withColumn("_fresh", F.lit(False)))
+    least = both.groupBy("_key").agg(F.min("_id").alias("_now"), F.min(F.when(~F.col("_fresh"), F.col("_id"))).alias("_before"), F.max("_fresh").alias("_asked")).where("_asked")
+    signs = F.explode(F.array(F.struct(F.col("_now").alias("_id"), F.lit(1).alias("_sign")), F.struct(F.col("_before").alias("_id"), F.lit(-1).alias("_sign"))))
+    wanted = least.select("_key", signs.alias("_s")).select("_key", "_s.*").where("_id is not null")
+    found = both.join(wanted, ["_key", "_id"]).where("_sign = 1 OR NOT _fresh")
+    return found.groupBy("_key", "_id", "_part", "_code", "_fresh", "_sign").agg(F.sum("_n").alias("_n"))
+
+
+def counter_changes(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """(part, code, n): what a batch changes.  Its rows count as copies, unless they have no
+    id; holders are taken out from under that and counted without."""
+    copy = F.col("_code").bitwiseOR(COPY)
+    every = rows.select("_part", F.when(F.col("_id").isNull(), F.col("_code")).otherwise(copy).alias("_code"), F.lit(1).cast("long").alias("_n"))
+    n = F.col("_n") * F.col("_sign")
+    moved = held.select("_part", F.explode(F.array(F.struct(F.col("_code").alias("_to"), n.alias("_n")), F.struct(copy.alias("_to"), (-n).alias("_n")))).alias("_m")).select("_part", F.col("_m._to").alias("_code"), F.col("_m._n").alias("_n"))
+    return every.unionByName(moved).groupBy(F.col("_part").alias("part"), F.col("_code").alias("code")).agg(F.sum("_n").alias("n"))
+
+
+def audit_batch(labels: DataFrame, folder: str, id_col: str, text_col: str, part_col: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: state and counters of one batch."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            path = f"{folder}/{name}/batch={number}"
+            df.write.mode("overwrite").parquet(path)
+            table = spark.read.schema(df.schema).parquet(path)
+            table.stored_at = path
+            return table
+
+        rows = kept(marked(batch, labels, id_col, text_col, part_col), "rows")
+        columns = ["_key", "_id", "_part", "_code", "_n"]
+        shape = rows.select("*", F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_fresh"), F.lit(1).alias("_sign")).schema
+        written = [f"{folder}/state/batch={k}" for k in range(number)]
+        state = spark.read.schema(shape).parquet(*written) if written else spark.createDataFrame([], shape)
+        held = kept(holders(rows, state.where("_fresh AND _sign = 1").select(*columns)), "state")
+        kept(counter_changes(rows, held), "counters")
+        discard(rows)
+
+    return run
 
 
 def count_available(docs: DataFrame, labels: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """Process what a streaming DataFrame of documents has, then return the counters (part, code, n) of
     everything that was ever processed with this ``folder``."""
     spark = docs.sparkSession
-    rows = marked(docs, labels, id_col, text_col, part_col)
-    kind = rows.schema["_id"].dataType.simpleString()
-    reduced = rows.mapInArrow(combine, f"_key string, _id {kind}, _held string, _settled string")
-    updates = reduced.groupBy("_key").applyInPandasWithState(keep_smallest, COUNTERS, f"id {kind}, held string", "update", "NoTimeout")
-    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
-    for k, v in STATE_STORE.items():
-        spark.conf.set(k, v)
-    try:  # the stream takes its settings when it starts
-        query = updates.writeStream.foreachBatch(stored_counters(folder)).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    query.awaitTermination()
+    audit = audit_batch(labels, folder, id_col, text_col, part_col)
+    docs.select(id_col, text_col, part_col).writeStream.foreachBatch(audit).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/counters")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], COUNTERS)
