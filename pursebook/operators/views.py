@@ -50,8 +50,8 @@ def with_names(txns: DataFrame, accounts: DataFrame, categories: DataFrame) -> D
     return txns.join(a, "account_id", "left").join(c, "category_id", "left")
 
 
-def category_rollup(months: DataFrame, categories: DataFrame) -> DataFrame:
-    """(side, group_name, leaf_name, spent, txns): spend by leaf under its group.
+def category_rollup(months: DataFrame, categories: DataFrame, *by: str) -> DataFrame:
+    """(.., side, group_name, leaf_name, spent, txns): spend by leaf under its group, for each ``by``.
 
     A category without a parent is its own group; one missing from the dimension is
     uncategorised and counts as spend."""
@@ -62,7 +62,7 @@ def category_rollup(months: DataFrame, categories: DataFrame) -> DataFrame:
     rows = months.where(F.col("spent_paisa") > 0).join(c, "category_id", "left")
     side = F.when(F.coalesce("is_spend", F.lit(True)), "spend").otherwise("excluded")
     named = lambda x: F.coalesce(x, F.lit(UNCATEGORIZED))
-    return rows.groupBy(side.alias("side"), named(F.col("group_name")).alias("group_name"), named(F.col("leaf_name")).alias("leaf_name")).agg(
+    return rows.groupBy(*by, side.alias("side"), named(F.col("group_name")).alias("group_name"), named(F.col("leaf_name")).alias("leaf_name")).agg(
         F.sum("spent_paisa").alias("spent_paisa"), F.sum("txn_count").alias("txn_count")
     )
 

@@ -87,3 +87,50 @@ def orders_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) AS amount_paisa", "o_orderpriority AS description_raw",
     )
     return orders.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("category_id")), F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+
+
+#: SQL text that both engines understand: orders as a ledger of several years.
+BOOK_COLUMNS = {
+    "id": "o_orderkey",
+    "user_id": "concat('u', cast(o_custkey % 5 as string))",
+    "account_id": "o_custkey % 40",
+    "occurred_at": "CASE o_orderkey % 3 WHEN 0 THEN o_orderdate + INTERVAL '19' HOUR WHEN 1 THEN o_orderdate + INTERVAL '6' HOUR ELSE o_orderdate END",
+    "direction": "CASE WHEN o_orderstatus = 'F' THEN 'CREDIT' ELSE 'DEBIT' END",
+    "amount_paisa": "cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint)",
+    "currency": "CASE WHEN o_orderkey % 9 = 0 THEN 'USD' ELSE 'NPR' END",
+    "merchant": "CASE WHEN o_orderkey % 31 <> 0 THEN o_orderpriority END",
+    "description_raw": "concat(o_orderpriority, ' order of ', cast(o_custkey % 100 as string))",
+    "category_id": "CASE WHEN o_orderkey % 29 <> 0 THEN cast(o_custkey % 27 as int) END",
+    "excluded_from_spend": "o_orderkey % 13 = 0",
+}
+#: The day on which reports over that ledger are made.
+BOOK_TODAY = "2001-08-20"
+
+
+def book(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS {c}" for c, e in BOOK_COLUMNS.items()])
+
+
+#: Budgets that the orders stand for: some set a default from their month on, some end one, some override a month.
+BUDGET_COLUMNS = {
+    "id": "o_orderkey",
+    "user_id": BOOK_COLUMNS["user_id"],
+    "category_id": BOOK_COLUMNS["category_id"],
+    "currency": "CASE WHEN o_orderkey % 7 = 0 THEN 'USD' ELSE 'NPR' END",
+    "month": "CASE WHEN o_orderkey % 40 IN (3, 4, 5) THEN cast(o_orderdate as date) END",
+    "valid_from": "CASE WHEN o_orderkey % 200 <> 1 THEN cast(o_orderdate as date) END",
+    "limit_paisa": "CASE WHEN o_orderkey % 40 <> 2 THEN cast(floor(cast(o_totalprice as decimal(18,2)) * 20) as bigint) END",
+}
+
+
+def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_orderkey % 40 IN (1, 2, 3, 4, 5)").selectExpr(*[f"{e} AS {c}" for c, e in BUDGET_COLUMNS.items()])
+
+
+#: SQL text that both engines understand: how lines of an order share its amount.
+PART_COLUMNS = {"txn_id": "l_orderkey", "part_no": "l_linenumber", "category_id": "cast(l_suppkey % 25 as int)", "weight": "cast(l_quantity as bigint) - 1"}
+
+
+def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three orders are split over their lines; some of the lines weigh nothing."""
+    return table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").selectExpr(*[f"{e} AS {c}" for c, e in PART_COLUMNS.items()])
