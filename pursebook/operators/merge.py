@@ -100,10 +100,13 @@ def merge_fold(rows: DataFrame, key: str = "new_key") -> DataFrame:
 
 
 def account_survivors(accounts: DataFrame) -> DataFrame:
-    """(id, keep_id): accounts whose masks mean the same; the canonical spelling wins, then the id."""
+    """(id, canon, keep_id): accounts whose masks mean the same; the canonical spelling wins, then the id.
+    Accounts of different users or kinds, where these are known, stay apart."""
     canon = accounts.withColumn("canon", canonical_mask(F.col("mask")))
-    keep = canon.groupBy("institution", "canon").agg(F.min_by("id", F.struct((F.col("mask") != F.col("canon")).alias("x"), F.col("id"))).alias("keep_id"))
-    return canon.join(keep, ["institution", "canon"]).select("id", "canon", "keep_id")
+    by = [c for c in ("user_id", "kind") if c in accounts.columns] + ["institution", "canon"]
+    keep = F.min_by("id", F.struct((F.col("mask") != F.col("canon")).alias("x"), F.col("id")))
+    groups = canon.groupBy(*by).agg(keep.alias("keep_id")).select(F.struct(*by).alias("_g"), "keep_id")
+    return canon.withColumn("_g", F.struct(*by)).join(groups, "_g").select("id", "canon", "keep_id")
 
 
 def repoint_gaps(gaps: DataFrame, moved: DataFrame) -> DataFrame:
@@ -115,16 +118,24 @@ def repoint_gaps(gaps: DataFrame, moved: DataFrame) -> DataFrame:
     return out.where("after_txn_id <> before_txn_id").dropDuplicates(["account_id", "after_txn_id", "before_txn_id"])
 
 
+#: The bank whose accounts were written in two ways and whose rows two transports report.
+MERGED = "NABIL"
+
+
 def rekeyed(rows: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows under surviving accounts with ``new_key``, surviving accounts): adverts leave the
-    descriptions, masks that mean the same become one account, keys are made anew."""
-    moved = account_survivors(accounts)
-    mask = accounts.select("id", canonical_mask(F.col("mask")).alias("canon_mask"))
-    kept = accounts.join(moved.where("id = keep_id").select("id"), "id").withColumn("mask", canonical_mask(F.col("mask")))
-    old = moved.select(F.col("id").alias("account_id"), "keep_id").join(mask.withColumnRenamed("id", "account_id"), "account_id")
-    clean = rows.withColumn("description_raw", strip_advert(F.col("description_raw"))).join(old, "account_id").withColumn("account_id", F.col("keep_id"))
-    key = account_key(F.col("canon_mask"), local(F.col("occurred_at")), F.col("direction"), F.col("amount_paisa"), F.col("description_raw"))
-    return clean.withColumn("new_key", key).drop("keep_id", "canon_mask"), kept
+    descriptions unless nothing else is in them, masks that mean the same become one account, keys
+    are made anew.  Accounts and rows of other institutions stay as they are."""
+    own = F.col("institution") == MERGED
+    moved = account_survivors(accounts.where(own))
+    canon = accounts.withColumn("mask", F.when(own, canonical_mask(F.col("mask"))).otherwise(F.col("mask")))
+    kept = canon.join(moved.where("id <> keep_id").select("id"), "id", "left_anti")
+    old = rows.join(moved.select(F.col("id").alias("account_id"), F.col("canon").alias("_mask"), "keep_id", F.lit(True).alias("_own")), "account_id", "left")
+    text = strip_advert(F.col("description_raw"))
+    text = F.when(F.col("_own") & (F.length(text) > 0), text).otherwise(F.col("description_raw"))
+    clean = old.withColumns({"description_raw": text, "account_id": F.coalesce("keep_id", "account_id")})
+    key = account_key(F.col("_mask"), local(F.col("occurred_at")), F.col("direction"), F.col("amount_paisa"), F.col("description_raw"))
+    return clean.withColumn("new_key", F.when(F.col("_own"), key).otherwise(F.col("dedupe_key"))).drop("keep_id", "_mask", "_own"), kept
 
 
 def merge_transactions(rows: DataFrame, accounts: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -132,27 +143,32 @@ def merge_transactions(rows: DataFrame, accounts: DataFrame, gaps: DataFrame) ->
     transaction have become one.
 
     The row that stays (``survivor_rank``) keeps what it has, takes what it lacks from the
-    others and the oldest category if it has none; the others go; gaps follow."""
+    others and the oldest category if it has none; the others go; gaps follow, to the surviving
+    accounts too.  Rows are sent by key once: their rank and all that is folded into the
+    first of a key come out of the same partitions."""
     keyed, kept_accounts = rekeyed(rows, accounts)
-    ranked = survivor_rank(keyed)
-    keeper = ranked.where("rank = 1").drop("rank")
-    lost = ranked.where("rank > 1").drop("rank")
-    at = F.struct("created_at", "id")
     by = ["user_id", "new_key"]
+    first, at = F.col("rank") == 1, F.struct("created_at", "id")
+    lost = lambda c: F.when(~first, F.col(c))
+    ranked = survivor_rank(keyed)
     filled = [c for c in (*FILLED, "user_note", "transfer_group_id") if c in rows.columns and c != "balance_after_paisa"]
-    folded = lost.groupBy(*by).agg(
-        F.max("balance_after_paisa").alias("f_balance_after_paisa"), *[first_non_null(c, at).alias(f"f_{c}") for c in filled], F.bool_or("excluded_from_spend").alias("f_excluded"),
-        F.bool_or(F.col("status") == "CONFIRMED").alias("f_confirmed"), F.max_by("description_raw", F.struct(F.length("description_raw"), F.col("description_raw"))).alias("f_text"),
-        F.min_by(F.struct("category_id", "category_source"), F.when(F.col("category_id").isNotNull(), at)).alias("f_category"),
+    folded = ranked.groupBy(*by).agg(
+        F.max(F.when(first, F.struct(*rows.columns))).alias("_keep"),
+        F.max(lost("balance_after_paisa")).alias("f_balance_after_paisa"), *[F.min_by(c, F.when(~first & F.col(c).isNotNull(), at)).alias(f"f_{c}") for c in filled],
+        F.bool_or(lost("excluded_from_spend")).alias("f_excluded"), F.bool_or(F.coalesce(~first & (F.col("status") == "CONFIRMED"), F.lit(False))).alias("f_confirmed"),
+        F.max_by("description_raw", F.when(~first, F.struct(F.length("description_raw"), F.col("description_raw")))).alias("f_text"),
+        F.min_by(F.struct("category_id", "category_source"), F.when(~first & F.col("category_id").isNotNull(), at)).alias("f_category"),
     )
-    both = keeper.join(folded, by, "left")
-    out = both.withColumns(
-        {c: F.coalesce(c, f"f_{c}") for c in ("balance_after_paisa", *filled)}
-        | {
-            "excluded_from_spend": F.col("excluded_from_spend") | F.coalesce("f_excluded", F.lit(False)), "status": F.when(F.col("f_confirmed"), "CONFIRMED").otherwise(F.col("status")),
-            "description_raw": F.coalesce(extension_of(F.col("description_raw"), F.col("f_text")), F.col("description_raw")),
-            "category_id": F.coalesce("category_id", "f_category.category_id"), "category_source": F.coalesce("category_source", "f_category.category_source"), "dedupe_key": F.col("new_key"),
-        }
-    ).select(*rows.columns)
-    moved = lost.select(F.col("id").alias("old_id"), *by).join(keeper.select(F.col("id").alias("keep_id"), *by), by).select("old_id", "keep_id")
-    return out, kept_accounts, repoint_gaps(gaps, moved)
+    kept = lambda c: F.col(f"_keep.{c}")
+    value = {c: kept(c) for c in rows.columns}
+    value |= {c: F.coalesce(kept(c), F.col(f"f_{c}")) for c in ("balance_after_paisa", *filled)}
+    value |= {
+        "excluded_from_spend": kept("excluded_from_spend") | F.coalesce("f_excluded", F.lit(False)), "status": F.when(F.col("f_confirmed"), "CONFIRMED").otherwise(kept("status")),
+        "description_raw": F.coalesce(extension_of(kept("description_raw"), F.col("f_text")), kept("description_raw")),
+        "category_id": F.coalesce(kept("category_id"), "f_category.category_id"), "category_source": F.coalesce(kept("category_source"), "f_category.category_source"), "dedupe_key": F.col("new_key"),
+    }
+    order = W.partitionBy(*by).orderBy(F.col("balance_after_paisa").isNull(), "created_at", "id").rowsBetween(W.unboundedPreceding, 0)
+    moved = ranked.withColumn("keep_id", F.first("id").over(order)).where("rank > 1").select(F.col("id").alias("old_id"), "keep_id")
+    home = account_survivors(accounts.where(F.col("institution") == MERGED)).select(F.col("id").alias("account_id"), F.col("keep_id").alias("_home"))
+    at_home = gaps.join(home, "account_id", "left").withColumn("account_id", F.coalesce("_home", "account_id")).drop("_home")
+    return folded.select(*(value[c].alias(c) for c in rows.columns)), kept_accounts, repoint_gaps(at_home, moved)

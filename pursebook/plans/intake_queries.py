@@ -315,8 +315,42 @@ def merged_ledger(spark, d):
     return out.select("id", "account_id", "dedupe_key", "balance_after_paisa", "counterparty", "user_note", "transfer_group_id", "excluded_from_spend", "category_id", "category_source", "status")
 
 
+#: What the reports of a transaction call it, by id % 6: whole, cut, with an advert, an advert alone.
+TEXTS = ("PAYMENT TO TEA SHOP IN THE OLD TOWN", "PAYMENT TO TEA SHOP", "PAYMENT TO TEA SHOP Activate bit.ly/x", "RENT", "Activate bit.ly/y", "PAYMENT TO TEA SHELF")
+
+
+def _reports(spark, d):
+    """(rows, accounts, gaps): minutes with several reports of one amount, under accounts that
+    are written in two ways, some at another bank; gaps between rows that may become one."""
+    t = _chain(spark, d)
+    bank = F.when(F.col("account_id") == 7, "LAXMI").otherwise("NABIL")
+    mask = F.when(F.col("account_id") == 7, F.format_string("77###%05d", "account_id")).when(F.col("id") % 2 == 0, F.format_string("001#####23%05d", "account_id")).otherwise(F.format_string("001%05d", "account_id"))
+    text = F.get(F.array(*map(F.lit, TEXTS)), (F.col("id") % 6).cast("int"))
+    rows = t.select(
+        "id", "user_id", F.concat_ws("/", "user_id", mask).alias("account_id"), F.date_trunc("day", "occurred_at").cast("timestamp_ntz").alias("occurred_at"), "direction", (F.col("amount_paisa") % 3 + 1).alias("amount_paisa"),
+        "balance_after_paisa", text.alias("description_raw"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("r"), F.col("id").cast("string"))).alias("reference"), F.nullif("counterparty", F.lit("")).alias("counterparty"),
+        F.when(F.col("id") % 5 == 0, "SMS").alias("channel"), "user_note", "transfer_group_id", "excluded_from_spend", "category_id", "category_source", "status", F.concat(F.lit("old"), F.col("id").cast("string")).alias("dedupe_key"), F.col("occurred_at").alias("created_at"),
+    )
+    accounts = t.select("user_id", mask.alias("mask"), bank.alias("institution")).distinct().select(F.concat_ws("/", "user_id", "mask").alias("id"), "user_id", "institution", "mask")
+    gaps = rows.select("account_id", F.col("id").alias("after_txn_id"), (F.col("id") + 1 + F.col("id") % 2 * 150).alias("before_txn_id"), F.col("amount_paisa").alias("missing_paisa")).where("after_txn_id % 3 = 0")
+    return rows, accounts, gaps
+
+
+def merged_transactions(spark, d):
+    return merge.merge_transactions(*_reports(spark, d))[0].drop("created_at", "occurred_at")
+
+
+def merged_accounts(spark, d):
+    return merge.merge_transactions(*_reports(spark, d))[1].select("id", "user_id", "institution", "mask")
+
+
+def merged_gaps(spark, d):
+    """Gaps that have become the same one differ in the amount; their number is what counts."""
+    return merge.merge_transactions(*_reports(spark, d))[2].select("account_id", "after_txn_id", "before_txn_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    card_keys, archive_paths, time_ago_labels, day_labels, span_labels, editable_amounts, preset_totals, active_filter_counts, one_transaction, oldest_in_review, account_range, look_back, earliest_transaction,
+    merged_transactions, merged_accounts, merged_gaps, card_keys, archive_paths, time_ago_labels, day_labels, span_labels, editable_amounts, preset_totals, active_filter_counts, one_transaction, oldest_in_review, account_range, look_back, earliest_transaction,
     attention_counts, gap_states, audit_ranges, expired_files, uploaded_statements, pending_queue, message_dedupe, sms_scan, sms_since, statement_senders, mail_fetch, mail_counts, wallet_statement, bank_statement,
     reparse_statements, mail_alerts, card_mails, manual_entries, rejected_drafts, closed_gaps, marked_messages, run_log, edited_rules, seeded_categories, reparented, repointed_rules, last_written, merged_ledger,
 )}

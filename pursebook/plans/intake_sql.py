@@ -20,7 +20,35 @@ _DRAFTS = """dr AS (SELECT *, CASE WHEN id % 6 = 5 THEN 'SIDEWAYS' ELSE directio
 _DAY = f"CAST({_LOCAL} AS DATE)"
 _AGO = "(epoch_us(TIMESTAMP '2024-03-05 12:00:00') - epoch_us(occurred_at)) // 1000000"
 
+#: The whole merge: reports, their new keys and ranks, what follows from them.
+_MERGE = f"""{_T}, {_CHAIN},
+ rp AS (SELECT id, user_id, CASE WHEN account_id = 7 THEN 'LAXMI' ELSE 'NABIL' END AS institution,
+   CASE WHEN account_id = 7 THEN '77###' WHEN id % 2 = 0 THEN '001#####23' ELSE '001' END || lpad(CAST(account_id AS VARCHAR), 5, '0') AS mask, occurred_at AS created_at, date_trunc('day', occurred_at) AS moment, direction, amount_paisa % 3 + 1 AS amount,
+   balance_after_paisa, ['PAYMENT TO TEA SHOP IN THE OLD TOWN', 'PAYMENT TO TEA SHOP', 'PAYMENT TO TEA SHOP', 'RENT', 'Activate bit.ly/y', 'PAYMENT TO TEA SHELF'][id % 6 + 1] AS clean,
+   ['PAYMENT TO TEA SHOP IN THE OLD TOWN', 'PAYMENT TO TEA SHOP', 'PAYMENT TO TEA SHOP Activate bit.ly/x', 'RENT', 'Activate bit.ly/y', 'PAYMENT TO TEA SHELF'][id % 6 + 1] AS raw,
+   CASE WHEN id % 4 = 0 THEN 'r' || id END AS reference, nullif(counterparty, '') AS counterparty, CASE WHEN id % 5 = 0 THEN 'SMS' END AS channel, user_note, transfer_group_id, excluded_from_spend, category_id, category_source, status FROM chain),
+ ac AS (SELECT DISTINCT user_id, institution, mask, user_id || '/' || mask AS id, CASE WHEN institution = 'NABIL' THEN '001' || right(mask, 5) ELSE mask END AS canon FROM rp),
+ sv AS (SELECT *, first_value(id) OVER (PARTITION BY user_id, institution, canon ORDER BY mask <> canon, id) AS keep_id FROM ac),
+ mk AS (SELECT rp.* EXCLUDE (mask), sv.keep_id AS account_id, CASE WHEN rp.institution = 'NABIL' THEN clean ELSE raw END AS text,
+   CASE WHEN rp.institution <> 'NABIL' THEN 'old' || rp.id ELSE concat_ws(':', 'nabil', canon, strftime(moment + INTERVAL '345 minutes', '%Y-%m-%dT%H:%M'), direction, amount, substr(sha256(regexp_replace(upper(left(clean, 18)), '[^A-Z0-9]', '', 'g')), 1, 8)) END AS new_key
+   FROM rp JOIN sv ON sv.user_id = rp.user_id AND sv.mask = rp.mask),
+ rk AS (SELECT *, row_number() OVER w AS rank, first_value(id) OVER w AS stays FROM mk WINDOW w AS (PARTITION BY user_id, new_key ORDER BY balance_after_paisa IS NULL, created_at, id)),
+ fo AS (SELECT user_id, new_key, max(balance_after_paisa) AS b, first(reference ORDER BY created_at, id) FILTER (reference IS NOT NULL) AS re, first(counterparty ORDER BY created_at, id) FILTER (counterparty IS NOT NULL) AS cp,
+   first(channel ORDER BY created_at, id) FILTER (channel IS NOT NULL) AS ch, first(user_note ORDER BY created_at, id) FILTER (user_note IS NOT NULL) AS un, first(transfer_group_id ORDER BY created_at, id) FILTER (transfer_group_id IS NOT NULL) AS tg,
+   bool_or(excluded_from_spend) AS ex, bool_or(status = 'CONFIRMED') AS co, first(text ORDER BY length(text) DESC, text DESC) AS longest,
+   first({{'c': category_id, 's': category_source}} ORDER BY created_at, id) FILTER (category_id IS NOT NULL) AS ca FROM rk WHERE rank > 1 GROUP BY ALL)"""
+
 ORACLE_SQL = {
+    "merged_transactions": f"""WITH {_MERGE}
+ SELECT k.id, k.user_id, account_id, direction, amount AS amount_paisa, coalesce(balance_after_paisa, b) AS balance_after_paisa, CASE WHEN length(longest) > length(text) AND starts_with(longest, text) THEN longest ELSE text END AS description_raw,
+  coalesce(reference, re) AS reference, coalesce(counterparty, cp) AS counterparty, coalesce(channel, ch) AS channel, coalesce(user_note, un) AS user_note, coalesce(transfer_group_id, tg) AS transfer_group_id,
+  excluded_from_spend OR coalesce(ex, FALSE) AS excluded_from_spend, coalesce(category_id, ca.c) AS category_id, coalesce(category_source, ca.s) AS category_source, CASE WHEN co THEN 'CONFIRMED' ELSE status END AS status, k.new_key AS dedupe_key
+ FROM rk k LEFT JOIN fo ON fo.user_id = k.user_id AND fo.new_key = k.new_key WHERE rank = 1""",
+    "merged_accounts": f"WITH {_MERGE} SELECT id, user_id, institution, canon AS mask FROM sv WHERE id = keep_id",
+    "merged_gaps": f"""WITH {_MERGE},
+ gp AS (SELECT rp.user_id || '/' || rp.mask AS acc, id AS a, id + 1 + id % 2 * 150 AS b FROM rp WHERE id % 3 = 0),
+ g2 AS (SELECT sv.keep_id AS account_id, coalesce(x.stays, a) AS after_txn_id, coalesce(y.stays, b) AS before_txn_id FROM gp JOIN sv ON sv.id = gp.acc LEFT JOIN rk x ON x.id = gp.a LEFT JOIN rk y ON y.id = gp.b)
+ SELECT DISTINCT account_id, after_txn_id, before_txn_id FROM g2 WHERE after_txn_id <> before_txn_id""",
     "card_keys": f"WITH {_T} SELECT id, 'nabil:4321XX' || lpad(CAST(account_id AS VARCHAR), 2, '0') || ':' || strftime({_LOCAL}, '%Y-%m-%d') || ':DEBIT:' || CAST(amount_paisa AS VARCHAR) || ':' || substr(sha1(description_raw), 1, 8) AS dedupe_key FROM t",
     "archive_paths": f"WITH {_T} SELECT id, strftime(occurred_at, '%Y/%m/') || sha256(CAST(id AS VARCHAR)) || '.eml' AS path FROM t",
     "time_ago_labels": f"""WITH {_T}, x AS (SELECT id, {_AGO} AS s FROM t) SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm ago' WHEN s < 86400 THEN CAST(s // 3600 AS VARCHAR) || 'h ago'

@@ -65,7 +65,7 @@ def gap_resolution(spark, d):
 
 def _open(spark, d):
     chain = _chain(spark, d)
-    gaps = reconcile.find_gaps(chain).withColumn("resolved", F.col("before_txn_id") % 5 == 0)
+    gaps = reconcile.gaps_with_ends(chain).withColumn("resolved", F.col("before_txn_id") % 5 == 0)
     return reconcile.open_gaps(gaps, src.accounts(spark, d), chain)
 
 
@@ -85,7 +85,7 @@ def _heat_inputs(spark, d):
 
 def _gap_spans(chain, accounts, txns):
     """Days around each open gap of the whole chain, for every user with rows in its account."""
-    gaps = reconcile.open_gaps(reconcile.find_gaps(chain).withColumn("resolved", F.lit(False)), accounts, chain)
+    gaps = reconcile.open_gaps(reconcile.gaps_with_ends(chain).withColumn("resolved", F.lit(False)), accounts, chain)
     users = txns.select("account_id", "user_id").distinct()
     return gaps.join(users, "account_id").select("user_id", clock.local_day(F.col("after_occurred_at")).alias("after_day"), clock.local_day(F.col("before_occurred_at")).alias("before_day"))
 

@@ -50,10 +50,9 @@ def balance_chain(txns: DataFrame) -> DataFrame:
     rows = txns.withColumns({"_signed": signed, "_piece": F.date_trunc("month", "occurred_at")})
     totals = rows.groupBy("account_id", "_piece").agg(F.sum("_signed").alias("_total"))
     before = W.partitionBy("account_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(F.col("account_id").alias("_account"), F.col("_piece").alias("_month"), F.sum("_total").over(before).alias("_carried"))
+    carried = totals.select("account_id", "_piece", F.sum("_total").over(before).alias("_carried"))
     order = W.partitionBy("account_id", "_piece").orderBy("occurred_at", "id").rowsBetween(W.unboundedPreceding, 0)
-    own = rows.withColumn("_own", F.sum("_signed").over(order))
-    running = own.join(carried, own["account_id"].eqNullSafe(carried["_account"]) & own["_piece"].eqNullSafe(carried["_month"]))
+    running = rows.withColumn("_own", F.sum("_signed").over(order)).join(carried, ["account_id", "_piece"])
     balance = F.coalesce(F.col("_own") + F.col("_carried"), "_own", "_carried") + OPENING_PAISA
     return running.where("id % 97 <> 0").withColumn("balance_after_paisa", F.when(F.col("id") % 5 != 0, balance)).select(*txns.columns, "balance_after_paisa")
 
