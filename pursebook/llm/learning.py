@@ -31,7 +31,7 @@ def labelled_sample(labels: DataFrame, label_col: str, per_class: int, seed: int
     rows = rows.where((place >= part[0]) & (place < part[1])).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rate = F.when(F.col("y") == 1, per_class / max(1, counts.get(1, 0))).otherwise(per_class / max(1, counts.get(0, 0)))
-    return rows.where(hash_share("doc_id", seed=seed) < rate).limit(4 * per_class)
+    return rows.where(hash_share("doc_id", seed=seed) < rate)
 
 
 def class_prior(labels: DataFrame, label_col: str) -> float:

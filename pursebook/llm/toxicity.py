@@ -54,6 +54,8 @@ REPEATS, RATE_CHARS = 2, 1500
 HALVES = 2
 LEXICON_VOTERS = HALVES * (1 + len(BEGINNINGS))
 CUT = 0.5
+#: Labelled rows from which entries are mined, and those on which weights and slope are fitted.
+MINING_PART, CALIBRATION_PART = (0.0, 0.85), (0.85, 1.0)
 
 #: Common insults of several languages, as whole words.
 INSULTS = (
@@ -208,13 +210,13 @@ def posterior(model: dict, votes: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = PER_CLASS) -> dict:
-    sample = labelled_sample(labels, label_col, per_class, seed=3)
+    sample = labelled_sample(labels, label_col, per_class, seed=3, part=MINING_PART)
     entries = mine_entries(docs, sample)
     signals = Signals(entries)
     prior = class_prior(labels, label_col)
     voters = label_model(*vote_moments(docs, signals), prior)
-    trained_on = labelled_sample(labels, label_col, per_class, seed=4)
-    found = docs.select("doc_id", "text").join(F.broadcast(trained_on), "doc_id").select("y", signal_column(docs.sparkSession, entries)("text").alias("p")).limit(4 * per_class).collect()
+    trained_on = labelled_sample(labels, label_col, per_class, seed=4, part=CALIBRATION_PART)
+    found = docs.select("doc_id", "text").join(F.broadcast(trained_on), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("y", signal_column(docs.sparkSession, entries)("text").alias("p")).collect()
     x = np.zeros((len(found), signals.width))
     for row, r in zip(x, found):
         row[list(r.p)] = 1
