@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import IntegralType
 
 #: Rows whose checksum leaves this remainder are never learnt from.
 FOLDS, HELD_OUT_FOLD = 5, 0
@@ -59,8 +60,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Keys of at least HOT_ROWS rows, and of over one row in HOT_KEYS, are dealt into SALTS parts.
-HOT_KEYS, HOT_ROWS, SALTS = 1000, 1000, 200
+#: Keys of at least HOT_ROWS rows, and of over one row in HOT_KEYS, are dealt into SALTS parts;
+#: whatever the input, so are keys of over PART_ROWS rows, and into one more part for so many.
+HOT_KEYS, HOT_ROWS, SALTS, PART_ROWS = 1000, 1000, 200, 1 << 20
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count: str, how: str = "inner", total: int | None = None, merge: bool = False) -> DataFrame:
@@ -68,35 +70,50 @@ def salted_join(rows: DataFrame, table: DataFrame, key: str, spread: str, count:
     of a key in ``count``; ``total`` is a number of rows, if the caller has it.
 
     Few keys can have more than one row in HOT_KEYS; those are dealt by a hash of ``spread``
-    over SALTS partitions, with a copy of the table's row in each, so that no key weighs
-    down a task.  Only the names of those keys are broadcast: by the bound that ``total``
-    sets, or the HOT_KEYS largest.  ``merge``: both sides grow with the corpus, so Spark is
+    over partitions, with a copy of the table's row in each, so that no key weighs
+    down a task: at least SALTS, and as many as PART_ROWS asks for.  Only the names of those
+    keys are broadcast: total / PART_ROWS at most or HOT_KEYS, whichever is more, or without
+    ``total`` the HOT_KEYS largest.  ``merge``: both sides grow with the corpus, so Spark is
     told not to broadcast a table that happens to be small today."""
-    hot = table.where(F.col(count) >= max(HOT_ROWS, (total or 0) // HOT_KEYS))
-    hot = (hot if total is not None else hot.orderBy(F.desc(count), key).limit(HOT_KEYS)).select(F.col(key).alias("_hot"))
+    hot = table.where(F.col(count) >= max(HOT_ROWS, min((total or 0) // HOT_KEYS, PART_ROWS)))
+    hot = hot if total is not None else hot.orderBy(F.desc(count), key).limit(HOT_KEYS)
+    hot = hot.select(F.col(key).alias("_hot"), F.greatest(F.lit(SALTS), F.ceil(F.col(count) / PART_ROWS)).cast("long").alias("_parts"))
     mark = lambda df: df.join(F.broadcast(hot), df[key] == F.col("_hot"), "left")
-    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0)
-    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    left = mark(rows).withColumn("_salt", salt).drop("_hot")
-    right = mark(table).withColumn("_salt", F.explode(salts)).drop("_hot")
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.col("_parts"))).otherwise(0)
+    salts = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).otherwise(F.array(F.lit(0).cast("long")))
+    left = mark(rows).withColumn("_salt", salt).drop("_hot", "_parts")
+    right = mark(table).withColumn("_salt", F.explode(salts)).drop("_hot", "_parts")
     return left.join(right.hint("merge") if merge else right, [key, "_salt"], how).drop("_salt")
 
 
-#: Bits of the filter below: 2,048 rows of 4 KiB, whatever it filters by.
-FILTER_BITS = 1 << 26
+#: Bits of the filter below for each key, its least and its greatest size: 8 MiB and 128 MiB.
+KEY_BITS, FILTER_BITS, MOST_BITS = 16, 1 << 26, 1 << 30
 
 
-def may_hold(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+def may_hold(rows: DataFrame, keys: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """``rows`` without most of those whose ``key`` is not among ``keys``; none of the others
-    is lost.  A bitmap of hashed keys is broadcast; its size is fixed."""
-    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
-    bits = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    marked = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(bits), "_bucket")
+    is lost.  A bitmap of hashed keys is broadcast.  Its size follows from ``total``, the number
+    of keys; where MOST_BITS are too few for them, rows and keys are joined by ``key`` instead."""
+    bits = FILTER_BITS
+    while bits < KEY_BITS * (total or 0):
+        bits *= 2
+    if bits > MOST_BITS:
+        return rows.join(keys.select(key).distinct(), key, "left_semi").select(*rows.columns)
+    place = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    table = keys.select(place.alias("_p")).groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_bucket", F.bitmap_bucket_number("_p")).join(F.broadcast(table), "_bucket")
     byte = F.expr("cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_p) % 8 as int))")) != 0
     return marked.where(hit).select(*rows.columns)
 
 
+def whole_number_id(df: DataFrame, col: str) -> Column:
+    """The id column as a long; a table whose ids are no whole numbers is refused at once."""
+    if not isinstance(df.schema[col].dataType, IntegralType):
+        raise TypeError(f"{col} must hold whole numbers, not {df.schema[col].dataType.simpleString()}")
+    return F.col(col).cast("long")
+
+
 def held_out(id_col: str | Column) -> Column:
     """True where crc32 of the id, written as text, is divisible by five."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

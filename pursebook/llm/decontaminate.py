@@ -16,6 +16,8 @@ broadcast at a time.  One block is the usual case and needs a single pass; more
 one pass each, stored before the next one's tables are built; then they are joined by
 document.
 
+Item ids are whole numbers, others are a TypeError; document ids may be of any type.
+
 Defined results: null or empty texts have no words and no hits; items without words, or
 without an id, match nothing; items that repeat an id are one item; repeated documents
 get equal rows; an empty benchmark leaves every document clean.  Only the named columns
@@ -32,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, discard, read_table, record, stored, text_key
+from pursebook.llm.common import byte_rows, column_function, discard, read_table, record, stored, text_key, whole_number_id
 
 WINDOW_WORDS = 10
 #: Text of the benchmark that one broadcast may hold.
@@ -140,7 +142,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
     """The benchmark's items (i, t) in blocks of about ``block_bytes`` of text."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(whole_number_id(benchmark, id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     n = max(1, -(-size // block_bytes))
     return [items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b) for b in range(n)]

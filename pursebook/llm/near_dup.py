@@ -31,6 +31,7 @@ the memory of a task is bounded by a cell.
 Defined results: null or empty texts and texts without words have empty sets and are
 linked with nothing; fewer than five words are one shingle; repeated rows are in one
 group; a row without an id joins the group of its equal texts but starts and names none.
+Ids are whole numbers, as the smallest one names a group; others are a TypeError.
 Only the named columns are read, so extra or clashing columns do no harm.
 """
 
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pursebook.llm.common import byte_rows, column_function, discard, may_hold, read_table, record, salted_join, stored, text_key
+from pursebook.llm.common import byte_rows, column_function, discard, may_hold, read_table, record, salted_join, stored, text_key, whole_number_id
 
 SHINGLE_WORDS = 5
 #: Similarity as a fraction, kept as integers so that the comparison is exact.
@@ -408,7 +409,7 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_col: str, block_rows: int) -> DataFrame:
     """(id, n_shingles, component_id, grp, and ``extra`` of the text) for every row; grp, the
     smallest set key of the group, is null where the text has no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(whole_number_id(docs, id_col).alias("id"), F.col(text_col).alias("text"))
     sketched = stored(rows.select("id", sketch("text").alias("s"), *[c.alias(n) for n, c in extra.items()]).select("id", "s.*", *extra), "sketch")
     classes = sketched.where("set_key is not null").groupBy("set_key").agg(F.min("id").alias("rep"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     # The number is unique and, once stored, fixed: the table is only read from here on.
@@ -417,7 +418,7 @@ def grouped_rows(docs: DataFrame, extra: dict[str, Column], id_col: str, text_co
     near = candidates(classes, total, block_rows)
     members = classes.select("node", "rep", "set_key", F.col("n_shingles").alias("weight")).join(near, "node")
     texts = rows.where("id is not null and text is not null").select(F.col("id").alias("rep"), "text")
-    texts = may_hold(texts, members.select("rep"), "rep")  # most texts have no candidate and stay where they are
+    texts = may_hold(texts, members.select("rep"), "rep", members.count())  # most texts have no candidate and stay where they are
     groups = confirmed(members, texts, total, block_rows)
     owned = classes.select("node", "set_key", "rep", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = owned.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("set_key").alias("grp"), F.count("*").alias("n"))
@@ -449,7 +450,7 @@ def one_row_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     same = lambda a, b: a["id"].eqNullSafe(b["_id"]) & (a["text_key"] == b["_key"])
     losers = keyed.where("grp is not null").join(grouped, same(keyed, grouped), "left_anti").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
     repeated = keyed.where("n > 1 and (grp is not null or id is not null)").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"))
-    own = docs.withColumns({"_own_id": F.col(id_col).cast("long"), "_own_key": F.concat(F.when(F.col(text_col).isNull(), "n").otherwise("t"), text_key(text_col))})
+    own = docs.withColumns({"_own_id": whole_number_id(docs, id_col), "_own_key": F.concat(F.when(F.col(text_col).isNull(), "n").otherwise("t"), text_key(text_col))})
     on = lambda k: own["_own_id"].eqNullSafe(k["_id"]) & (own["_own_key"] == k["_key"])
     if repeated.isEmpty():
         return own.join(losers, on(losers), "left_anti").select(*docs.columns)
