@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursebook.llm import bpe, decontaminate, line_dedup, near_dup, quality
-from pursebook.llm.common import read_table, stored
+from pursebook.llm.common import discard, read_table, stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs = stored(docs, name.replace(" ", "-").lower())
+            if before is not None:  # nothing reads it any more
+                discard(before)
+            before = docs
     return docs
