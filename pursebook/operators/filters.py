@@ -35,6 +35,18 @@ def preset_range(preset: str, now_local: datetime) -> tuple[datetime | None, dat
     return (start and start - OFFSET), (end and end - OFFSET)
 
 
+def active_count(saved: DataFrame) -> Column:
+    """How many of a saved filter's dimensions narrow anything, for tables of saved filters whose
+    columns are the fields of ``TransactionFilter``; a null narrows nothing."""
+    c = {name: F.col(name) for name in saved.columns}
+    some = lambda x: F.coalesce(F.size(x) > 0, F.lit(False))
+    active = (
+        F.coalesce(F.trim(c["search"]) != "", F.lit(False)), c["start"].isNotNull() | c["end"].isNotNull(), some(c["category_ids"]), some(c["account_ids"]), c["direction"].isNotNull(), c["status"].isNotNull(),
+        F.coalesce(c["transfers"] != "shown", F.lit(False)), c["min_paisa"].isNotNull() | c["max_paisa"].isNotNull(), F.coalesce(c["uncategorized_only"], F.lit(False)),
+    )
+    return sum((a.cast("int") for a in active), F.lit(0))
+
+
 @dataclass(frozen=True)
 class TransactionFilter:
     """Every field narrows; an empty one means any."""

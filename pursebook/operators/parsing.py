@@ -20,6 +20,7 @@ from pursebook.functions.clock import parse_local, parse_statement_date, utc_of
 from pursebook.functions.keys import account_key, canonical_mask, card_key
 from pursebook.functions.money import parse_subunit
 from pursebook.functions.remarks import channel_of, strip_advert, wallet_channel, wallet_counterparty
+from pursebook.operators.registry import Parser, Reader, Registry
 
 #: Shapes of the messages.
 NABIL_SMS = (
@@ -39,37 +40,29 @@ NOT_ROWS = ("opening balance", "closing balance", "total", "carried over")
 EMPTY_AMOUNTS = ("", "-", "0", "0.00")
 
 
+#: Columns of a normalised row.
+NORMALIZED = (
+    "template_key", "parser_version", "institution", "account_mask", "occurred_at", "occurred_precision", "direction", "amount_paisa", "balance_after_paisa", "currency", "reference", "description_raw", "counterparty", "channel", "message_id",
+    "dedupe_key",
+)
+
+
 def route_sms(messages: DataFrame) -> DataFrame:
     """template_key by the first router that fits, in fixed order; null: nobody's."""
-    both = F.upper(F.concat_ws(" ", "sender", "body"))
-    return messages.withColumn(
-        "template_key",
-        F.when(both.contains("NABIL") & F.col("body").rlike(NABIL_SMS), "nabil.sms_alert")
-        .when(both.contains("LAXMI") & F.col("body").rlike(LAXMI_SMS), "laxmi.sms_alert")
-        .when(F.col("sender") == STATEMENT_SENDER, "esewa.statement_row")
-        .when(F.col("sender").endswith(STATEMENT_SUFFIX), "bank.statement_row"),
-    )
+    return SMS_PARSERS.route(messages)
 
 
 def route_email(mails: DataFrame) -> DataFrame:
     """mails (from_addr, subject, text, html): template_key of the first parser that fits."""
-    sender, subject = F.lower("from_addr"), F.lower("subject")
-    return mails.withColumn(
-        "template_key",
-        F.when(sender.contains("card-no-reply@nabilbank.com") | subject.contains("debit and credit txn"), "nabil.card_txn")
-        .when(sender.contains("nabilbank.com") & F.col("text").contains("Transaction Alert"), "nabil.txn_alert")
-        .when(sender.contains(WALLET_DOMAIN) & F.col("html").contains(LOAD_PHRASE), "esewa.fund_load")
-        .when(sender.contains(WALLET_DOMAIN) & F.col("html").contains(PAYMENT_PHRASE), "esewa.payment_success"),
-    )
+    return mail_parsers().route(mails)
 
 
 def _normalized(rows: DataFrame, message_id: str, **columns: Column) -> DataFrame:
     base = {c: F.lit(None).cast(t) for c, t in (
         ("account_mask", "string"), ("balance_after_paisa", "bigint"), ("reference", "string"), ("counterparty", "string"), ("channel", "string"),
     )} | {"parser_version": F.lit(1), "currency": F.lit("NPR"), "message_id": F.col(message_id)}
-    order = ("template_key", "parser_version", "institution", "account_mask", "occurred_at", "occurred_precision", "direction", "amount_paisa", "balance_after_paisa", "currency", "reference", "description_raw", "counterparty", "channel", "message_id", "dedupe_key")
     both = base | columns
-    return rows.select(*[both[c].alias(c) for c in order])
+    return rows.select(*[both[c].alias(c) for c in NORMALIZED])
 
 
 def parse_nabil_sms(messages: DataFrame) -> DataFrame:
@@ -280,3 +273,37 @@ def outcomes(messages: DataFrame, parsed: DataFrame, id_col: str = "content_hash
     status = F.when(F.col("template_key").isNull(), "IGNORED").when(bad, "FAILED").otherwise("PARSED")
     error = F.when(F.col("template_key").isNull(), "no parser matched").when(bad, F.concat("template_key", F.lit(": body did not match the expected shape")))
     return rows.select(id_col, status.alias("status"), error.alias("error"), F.coalesce("n", F.lit(0)).alias("txn_count"))
+
+
+def _both() -> Column:
+    return F.upper(F.concat_ws(" ", "sender", "body"))
+
+
+#: Staged messages: SMS from their bodies, sheets and statements from their extracted cells.
+SMS_PARSERS = Registry(
+    (
+        Parser("nabil.sms_alert", 1, lambda: _both().contains("NABIL") & F.col("body").rlike(NABIL_SMS), Reader(parse_nabil_sms)),
+        Parser("laxmi.sms_alert", 1, lambda: _both().contains("LAXMI") & F.col("body").rlike(LAXMI_SMS), Reader(parse_laxmi_sms)),
+        Parser("esewa.statement_row", 1, lambda: F.col("sender") == STATEMENT_SENDER, Reader(lambda cells: parse_wallet_rows(sheet_rows(cells)), "sheets")),
+        Parser("bank.statement_row", 1, lambda: F.col("sender").endswith(STATEMENT_SUFFIX), Reader(lambda cells: bank_statement_rows(cells), "statements")),
+    ),
+    NORMALIZED,
+    outcomes,
+)
+
+
+def mail_parsers(account_mask: str | None = None) -> Registry:
+    """Parsers of mails; bank alerts name no account, so theirs is given."""
+    sender, subject = F.lower("from_addr"), F.lower("subject")
+    tables = Reader(lambda mails: parse_mail_tables(mail_tables(mails), account_mask))
+    return Registry(
+        (
+            Parser("nabil.card_txn", 1, lambda: sender.contains("card-no-reply@nabilbank.com") | subject.contains("debit and credit txn"), Reader(parse_card_mail)),
+            Parser("nabil.txn_alert", 1, lambda: sender.contains("nabilbank.com") & F.col("text").contains("Transaction Alert"), tables),
+            Parser("esewa.fund_load", 1, lambda: sender.contains(WALLET_DOMAIN) & F.col("html").contains(LOAD_PHRASE), tables),
+            Parser("esewa.payment_success", 1, lambda: sender.contains(WALLET_DOMAIN) & F.col("html").contains(PAYMENT_PHRASE), tables),
+        ),
+        NORMALIZED,
+        outcomes,
+        "message_id",
+    )

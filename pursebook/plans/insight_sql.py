@@ -4,7 +4,8 @@ Only the mapping of the driver's tables to ledger columns is shared text."""
 
 from __future__ import annotations
 
-from pursebook.sources.adapters import BOOK_COLUMNS, BOOK_TODAY, BUDGET_COLUMNS, OPENING_PAISA, PART_COLUMNS
+from pursebook.plans.ledger_sql import ORACLE_SQL as LEDGER_SQL
+from pursebook.sources.adapters import BOOK_COLUMNS, BOOK_TODAY, BUDGET_COLUMNS, OPENING_PAISA, PART_COLUMNS, RULES, SALES_COLUMNS, SAVED_FILTERS, SUPPLIER_RULES, TRANSACTION_COLUMNS
 
 _columns = lambda c: ", ".join(f"{e} AS {n}" for n, e in c.items())
 _B = f"b AS (SELECT {_columns(BOOK_COLUMNS)} FROM orders)"
@@ -27,7 +28,50 @@ _PARTS = f"""q AS (SELECT {_columns(PART_COLUMNS)} FROM lineitem WHERE l_orderke
         UNION ALL SELECT b.*, NULL FROM b WHERE id NOT IN (SELECT txn_id FROM p))"""
 _LOST = "SELECT b.id, any_value(b.amount_paisa) AS amount_paisa, CAST(sum(s.amount_paisa) AS BIGINT) AS parts_paisa"
 
+_T = f"t AS (SELECT {_columns(TRANSACTION_COLUMNS)} FROM events)"
+_SR = f"sr AS (SELECT {_columns(SUPPLIER_RULES)} FROM supplier)"
+_RULE = lambda text, of: "CASE " + " ".join(f"WHEN regexp_matches({text}, '{p}', 'i') THEN {(i, c)[of]}" for i, (_, p, c) in enumerate(RULES)) + " END"
+_FILTERS = {c: e.replace("array(o_custkey)", "[o_custkey]").replace("array()", "[]") for c, e in SAVED_FILTERS.items()}
+
 ORACLE_SQL = {
+    "top_merchants": f"""
+WITH s AS (SELECT {_columns(SALES_COLUMNS)} FROM lineitem),
+ g AS (SELECT user_id, currency, CAST(date_trunc('month', {_LOCAL}) AS DATE) AS month, merchant, CAST(sum(amount_paisa) AS BIGINT) AS spent_paisa, count(*) AS txn_count FROM s
+       WHERE direction = 'DEBIT' AND NOT excluded_from_spend AND merchant IS NOT NULL GROUP BY ALL)
+SELECT *, CAST(rank() OVER (PARTITION BY user_id, currency, month ORDER BY spent_paisa DESC) AS INTEGER) AS rank FROM g QUALIFY rank <= 20
+""",
+    "rule_match_bulk": LEDGER_SQL["rule_match_first"],
+    "implied_rules": f"""
+WITH {_T}, e AS (SELECT user_id, trim(description_raw) AS d, id, category_id, CASE WHEN id % 5 <> 0 THEN id % 12 END AS n FROM t WHERE id % 2 = 0),
+ g AS (SELECT user_id, d AS description_raw, arg_max(n, id) AS category_id, count(*) AS n_edits, count(DISTINCT n) AS n_categories FROM e WHERE n IS NOT NULL AND n IS DISTINCT FROM category_id AND d <> '' GROUP BY 1, 2)
+SELECT user_id, description_raw, CAST(category_id AS INTEGER) AS category_id, n_edits, n_categories, CAST(CASE WHEN {_RULE('description_raw', 1)} <> category_id THEN {_RULE('description_raw', 0)} END AS INTEGER) AS against_rule FROM g
+""",
+    "saved_filter_counts": f"""
+WITH f AS (SELECT {', '.join(f'{e} AS "{c}"' for c, e in _FILTERS.items())} FROM orders)
+SELECT id, CAST((coalesce(trim(search), '') <> '')::INT + (start IS NOT NULL OR "end" IS NOT NULL)::INT + coalesce(len(category_ids) > 0, FALSE)::INT + coalesce(len(account_ids) > 0, FALSE)::INT + (direction IS NOT NULL)::INT + (status IS NOT NULL)::INT
+ + coalesce(transfers <> 'shown', FALSE)::INT + (min_paisa IS NOT NULL OR max_paisa IS NOT NULL)::INT + coalesce(uncategorized_only, FALSE)::INT AS INTEGER) AS active FROM f
+""",
+    "edited_supplier_rules": f"""
+WITH {_SR} SELECT id, priority, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE pattern END AS pattern, coalesce(c_nationkey, category_id) AS category_id
+FROM sr LEFT JOIN (FROM customer WHERE c_custkey % 7 = 0) ON c_custkey = id WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0)
+""",
+    "repointed_supplier_rules": f"WITH {_SR} SELECT id, priority, pattern, coalesce(n_regionkey + 100, category_id) AS category_id FROM sr LEFT JOIN (FROM nation WHERE n_nationkey % 2 = 0) ON n_name = pattern",
+    "span_labels_by_time": """
+WITH x AS (SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS moment FROM orders),
+ y AS (SELECT *, greatest(CAST(floor((epoch(TIMESTAMP '1999-01-01 10:30:00') - epoch(moment)) / 86400) AS BIGINT), 0) AS n FROM x)
+SELECT o_orderkey, strftime(moment, '%Y-%m-%d') || ' (' || CASE WHEN n = 0 THEN 'today' WHEN n = 1 THEN 'about 1 day back' WHEN n < 14 THEN 'about ' || n || ' days back' WHEN n < 70 THEN 'about ' || CAST(round_even(n / 7.0, 0) AS INTEGER) || ' weeks back'
+ WHEN n < 400 THEN 'about ' || CAST(round_even(n / 30.0, 0) AS INTEGER) || ' months back' ELSE 'about ' || printf('%.1f', n / 365.0) || ' years back' END || ')' AS label FROM y
+""",
+    "foreign_card_mails": f"""
+WITH {_T} SELECT 'm' || id AS message_id, 'nabil.card_txn' AS template_key, CAST(1 AS INTEGER) AS parser_version, amount_paisa, ['USD', 'EUR', 'INR', 'JPY', 'NPR'][id % 5 + 1] AS currency, 'SHOP ' || id % 9 AS counterparty, 'SHOP ' || id % 9 || '; CITY' AS description_raw
+FROM t WHERE id % 4 <> 0
+""",
+    "payment_mails": f"""
+WITH {_T}, x AS (SELECT *, id % 7 <> 0 AS ours, id % 10 <> 0 AS legible FROM t)
+SELECT 'm' || id AS message_id, CASE WHEN NOT ours THEN 'IGNORED' WHEN legible THEN 'PARSED' ELSE 'FAILED' END AS status, CASE WHEN NOT ours THEN 'no parser matched' WHEN NOT legible THEN 'esewa.payment_success: body did not match the expected shape' END AS error,
+ CASE WHEN ours THEN date_trunc('second', occurred_at) END AS occurred_at, CASE WHEN ours THEN 'DEBIT' END AS direction, CASE WHEN ours AND legible THEN amount_paisa END AS amount_paisa, CASE WHEN ours THEN 'P' || id END AS reference,
+ CASE WHEN ours THEN 'Shop ' || id % 13 END AS counterparty, CASE WHEN ours THEN 'WALLET_PAYMENT' END AS channel, CASE WHEN ours THEN 'esewa:P' || id END AS dedupe_key FROM x
+""",
     "recurring_series": f"""
 WITH RECURSIVE {_B},
  d AS (SELECT user_id, merchant, currency, CAST({_LOCAL} AS DATE) AS day, CAST(sum(amount_paisa) AS BIGINT) AS a FROM b WHERE direction = 'DEBIT' AND NOT excluded_from_spend AND merchant IS NOT NULL GROUP BY ALL),
@@ -93,5 +137,12 @@ SELECT user_id, date_trunc('month', {_LOCAL}) AS month, category_id, currency, C
 WITH {_B}, {_PARTS}
 {_LOST}, 'all' AS "of" FROM b LEFT JOIN sp s ON s.id = b.id GROUP BY b.id HAVING sum(s.amount_paisa) IS DISTINCT FROM any_value(b.amount_paisa)
 UNION ALL {_LOST}, 'lost' AS "of" FROM b LEFT JOIN (FROM sp WHERE coalesce(part_no, 0) <> 6) s ON s.id = b.id GROUP BY b.id HAVING sum(s.amount_paisa) IS DISTINCT FROM any_value(b.amount_paisa)
+""",
+    "events_streamed_twice": f"""
+WITH {_T}, x AS (SELECT *, id // 2 AS k, CASE WHEN id % 2 = 1 THEN id * 7919 % 100003 END AS bal FROM (SELECT DISTINCT * FROM t)),
+ f AS (SELECT user_id, k, arg_min(account_id, (occurred_at, id)) AS account_id, min((occurred_at, id)) AS place, arg_min({_SIGN}, (occurred_at, id)) AS s, arg_min(bal, (occurred_at, id)) FILTER (bal IS NOT NULL) AS bal FROM x GROUP BY ALL),
+ g AS (SELECT bal - lag(bal) OVER (PARTITION BY account_id ORDER BY place) - s AS missing FROM f WHERE bal IS NOT NULL),
+ n AS (SELECT (SELECT count(*) FROM x) AS parsed, (SELECT count(*) FROM f) AS rows, (SELECT count(*) FROM g WHERE missing <> 0) AS gaps)
+SELECT CAST(1 AS INTEGER) AS run, parsed, rows AS ledger_rows, rows AS new_rows, gaps, gaps AS new_gaps FROM n UNION ALL SELECT 2, 0, rows, 0, gaps, 0 FROM n UNION ALL SELECT 3, parsed, rows, 0, gaps, 0 FROM n
 """,
 }

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pursebook.functions.clock import local_day
 from pursebook.functions.keys import row_id
 from pursebook.operators import audit, categorize, edits, merge, parsing, reconcile, transfers
+from pursebook.operators.registry import Registry
 
 STATEMENTS = ("bank.statement_row",)
 TXN = (
@@ -74,32 +75,18 @@ def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str, look_back_da
     return Ledger(txns, accounts, gaps, ledger.rules, judged.where("reason is not null"))
 
 
-SMS_TEMPLATES = ("nabil.sms_alert", "laxmi.sms_alert")
-
-
-def parse_messages(messages: DataFrame, sheets: DataFrame | None = None, statements: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def parse_messages(messages: DataFrame, sheets: DataFrame | None = None, statements: DataFrame | None = None, parsers: Registry = parsing.SMS_PARSERS) -> tuple[DataFrame, DataFrame]:
     """(normalised rows, outcomes) of staged messages: SMS from their bodies, wallet sheets and
     bank statements from their extracted cells, whose file_id is the message's content hash.
 
     sheets: (file_id, row_no, cells); statements: (file_id, institution, account_mask, page,
     row_no, cells).  A message whose cells are not given has no outcome: it stays pending."""
-    routed = parsing.route_sms(messages)
-    rows = parsing.parse_nabil_sms(routed).unionByName(parsing.parse_laxmi_sms(routed))
-    ran = [*SMS_TEMPLATES]
-    if sheets is not None:
-        rows, ran = rows.unionByName(parsing.parse_wallet_rows(parsing.sheet_rows(sheets))), [*ran, "esewa.statement_row"]
-    if statements is not None:
-        rows, ran = rows.unionByName(parsing.bank_statement_rows(statements)), [*ran, "bank.statement_row"]
-    done = routed.where(F.col("template_key").isNull() | F.col("template_key").isin(*ran))
-    return rows, parsing.outcomes(done, rows)
+    return parsers.parse(messages, sheets=sheets, statements=statements)
 
 
 def parse_mails(mails: DataFrame, account_mask: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(normalised rows, outcomes) of mails (message_id, from_addr, subject, text, html)."""
-    routed = parsing.route_email(mails)
-    cards = parsing.parse_card_mail(routed.where("template_key = 'nabil.card_txn'"))
-    rows = cards.unionByName(parsing.parse_mail_tables(parsing.mail_tables(routed), account_mask))
-    return rows, parsing.outcomes(routed, rows, "message_id")
+    return parsing.mail_parsers(account_mask).parse(mails)
 
 
 def reparse(messages: DataFrame, template: str | None = None, **cells: DataFrame) -> tuple[DataFrame, DataFrame]:

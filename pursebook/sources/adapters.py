@@ -133,3 +133,40 @@ PART_COLUMNS = {"txn_id": "l_orderkey", "part_no": "l_linenumber", "category_id"
 def split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two of three orders are split over their lines; some of the lines weigh nothing."""
     return table(spark, sf_dir, "lineitem").where("l_orderkey % 3 <> 0").selectExpr(*[f"{e} AS {c}" for c, e in PART_COLUMNS.items()])
+
+
+#: SQL text that both engines understand: lines of orders as payments to very many merchants.
+SALES_COLUMNS = {
+    "user_id": "concat('u', cast(l_suppkey % 5 as string))",
+    "occurred_at": "CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate + INTERVAL '19' HOUR ELSE l_shipdate END",
+    "direction": "CASE WHEN l_returnflag = 'R' THEN 'CREDIT' ELSE 'DEBIT' END",
+    "amount_paisa": "cast(floor(l_quantity) as bigint) * 100",
+    "currency": "CASE WHEN l_linenumber = 2 THEN 'USD' ELSE 'NPR' END",
+    "merchant": "CASE WHEN l_partkey % 17 <> 0 THEN concat('m', cast(l_partkey % 700 as string)) END",
+    "excluded_from_spend": "l_linenumber = 7",
+}
+
+
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {c}" for c, e in SALES_COLUMNS.items()])
+
+
+#: SQL text that both engines understand: a rule for each supplier's name.
+SUPPLIER_RULES = {"id": "s_suppkey", "priority": "s_nationkey", "pattern": "concat('NATION_', cast(s_nationkey as string))", "category_id": "s_nationkey"}
+
+
+def supplier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(*[f"{e} AS {c}" for c, e in SUPPLIER_RULES.items()])
+
+
+#: SQL text that both engines understand: filters that users have saved, one for each order.
+SAVED_FILTERS = {
+    "id": "o_orderkey", "search": "CASE o_orderkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'x' WHEN 2 THEN '' END", "start": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END", "end": "CASE WHEN o_orderkey % 6 < 3 THEN o_orderdate END",
+    "category_ids": "CASE WHEN o_orderkey % 5 = 0 THEN array(o_custkey) WHEN o_orderkey % 5 = 1 THEN array() END", "account_ids": "CASE WHEN o_orderkey % 7 = 0 THEN array(o_custkey) END", "direction": "CASE WHEN o_orderstatus = 'F' THEN 'DEBIT' END",
+    "status": "CASE WHEN o_orderstatus = 'P' THEN 'CONFIRMED' END", "transfers": "CASE o_orderkey % 11 WHEN 0 THEN 'only' WHEN 1 THEN 'shown' END", "min_paisa": "CASE WHEN o_orderkey % 13 = 0 THEN 0 END", "max_paisa": "CASE WHEN o_orderkey % 26 < 13 THEN o_custkey END",
+    "uncategorized_only": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 4 = 0 END",
+}
+
+
+def saved_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").selectExpr(*[f"{e} AS `{c}`" for c, e in SAVED_FILTERS.items()])
