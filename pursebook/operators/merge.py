@@ -30,9 +30,10 @@ def extension_of(kept: Column, other: Column) -> Column:
 
 def upsert(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("arrival", "id")) -> DataFrame:
     """One row per key: the first arrival, blanks filled and its description extended by
-    later ones; all else is kept.  One shuffle by key; combining starts before it.
+    later ones; all else is kept.
 
-    Only the distinct descriptions of a key are gathered, in order of first arrival."""
+    Rows are first combined by key and description, then by key: two shuffles, the second of
+    what the first has left.  Only the distinct descriptions of a key are gathered, in order of first arrival."""
     rows = existing.unionByName(incoming)
     at = F.struct(*order)
     once = rows.groupBy(*KEY, "description_raw").agg(

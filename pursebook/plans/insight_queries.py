@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pursebook.functions import clock
 from pursebook.operators import balances, budgets, bulk, categorize, edits, filters, merchants, parsing, reconcile, recurring, splits, trends, views
+from pursebook.plans import sync
+from pursebook.plans.ledger_queries import _sms as sms
 from pursebook.sources import adapters as src
 from pursebook.streaming import ingest
 
@@ -159,10 +161,42 @@ def events_streamed_twice(spark, d):
 
 GAPS = "account_id long, after_txn_id long, before_txn_id long, missing_paisa long, resolved boolean, resolved_by string"
 
+def synced_twice(spark, d):
+    """ORC1, STR4: the whole run over SMS and mails made of the events, and the same run again:
+    (run, transactions, new_transactions, changed, accounts, gaps, new_gaps, rejected, balances)."""
+    t = src.transactions(spark, d)
+    amount = F.format_number((F.col("amount_paisa") / 100).cast("decimal(18,2)"), 2)
+    cell = lambda tag, *cs: F.concat(F.lit("<tr>"), *[x for c in cs for x in (F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))], F.lit("</tr>"))
+    html = F.concat(
+        F.lit('<p>Transaction Alert</p><table border="1">'), cell("th", *[F.lit(x) for x in ("Transaction Date", "Transaction Type", "Transaction Amount", "Available Balance", "Remarks")]),
+        cell("td", F.date_format(clock.local(F.col("occurred_at")), "yyyy-MM-dd HH:mm"), F.initcap("direction"), amount, F.lit("1,000.50"), F.col("description_raw")), F.lit("</table>"),
+    )
+    mails = t.where("account_id = 2 AND id % 3 > 0").select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"), F.lit("alert@nabilbank.com").alias("from_addr"), F.lit("x").alias("subject"), F.lit("Transaction Alert").alias("text"), html.alias("html"))
+    parsed = sync.parse_messages(sms(spark, d).drop("id"))[0].unionByName(sync.parse_mails(mails, "00134502")[0])
+    empty = lambda ddl: spark.createDataFrame([], ddl)
+    rules = src.rules(spark).withColumn("category_id", F.col("category_id").cast("string"))
+    ledger, out = sync.Ledger(empty(sync.TXN_DDL), empty(sync.ACCOUNT_DDL), empty(sync.GAP_DDL), rules), []
+    folder, count = ingest.shared_folder(spark, "synced"), lambda df: df.count()
+
+    def written(df, name):
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    parsed = written(parsed, "parsed")
+    for run in (1, 2):
+        made = sync.sync(ledger, parsed, "u", f"2026-01-0{run}")
+        now = sync.Ledger(*(written(getattr(made, name), f"{name}-{run}") for name in ("transactions", "accounts", "gaps")), rules)
+        changed = now.transactions.exceptAll(ledger.transactions.select(*now.transactions.columns)).join(ledger.transactions.select("id"), "id", "left_semi")
+        new = [count(a) - count(b) for a, b in ((now.transactions, ledger.transactions), (now.gaps, ledger.gaps))]
+        out.append((run, count(now.transactions), new[0], count(changed), count(now.accounts), count(now.gaps), new[1], count(made.rejected), count(now.transactions.where("balance_after_paisa is not null"))))
+        ledger = now
+    return spark.createDataFrame(out, "run int, transactions long, new_transactions long, changed long, accounts long, gaps long, new_gaps long, rejected long, balances long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         recurring_series, budget_report, balances_at_month_ends, balances_now, cumulative_burn, category_changes, split_transactions, split_monthly_spend, split_violations, top_merchants, rule_match_bulk, implied_rules,
-        saved_filter_counts, edited_supplier_rules, repointed_supplier_rules, span_labels_by_time, foreign_card_mails, payment_mails, events_streamed_twice,
+        saved_filter_counts, edited_supplier_rules, repointed_supplier_rules, span_labels_by_time, foreign_card_mails, payment_mails, events_streamed_twice, synced_twice,
     )
 }

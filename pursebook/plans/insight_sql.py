@@ -144,5 +144,12 @@ WITH {_T}, x AS (SELECT *, id // 2 AS k, CASE WHEN id % 2 = 1 THEN id * 7919 % 1
  g AS (SELECT bal - lag(bal) OVER (PARTITION BY account_id ORDER BY place) - s AS missing FROM f WHERE bal IS NOT NULL),
  n AS (SELECT (SELECT count(*) FROM x) AS parsed, (SELECT count(*) FROM f) AS rows, (SELECT count(*) FROM g WHERE missing <> 0) AS gaps)
 SELECT CAST(1 AS INTEGER) AS run, parsed, rows AS ledger_rows, rows AS new_rows, gaps, gaps AS new_gaps FROM n UNION ALL SELECT 2, 0, rows, 0, gaps, 0 FROM n UNION ALL SELECT 3, parsed, rows, 0, gaps, 0 FROM n
+""",
+    "synced_twice": f"""
+WITH {_T}, k AS (SELECT id, account_id, id % 3 AS third, (account_id, date_trunc('minute', occurred_at), direction, amount_paisa, regexp_replace(upper(left(description_raw, 18)), '[^A-Z0-9]', '', 'g')) AS key FROM t),
+ n AS (SELECT (SELECT count(*) FROM k WHERE third = 0) + (SELECT count(DISTINCT key) FROM k WHERE third = 1 OR third = 2 AND account_id = 2) AS txns, (SELECT count(DISTINCT key) FROM k WHERE third > 0 AND account_id = 2) AS mails,
+  (SELECT count(DISTINCT account_id) FROM k WHERE third = 1 OR third = 2 AND account_id = 2) + (SELECT count(*) FROM (FROM k WHERE third = 0 LIMIT 1)) AS accounts)
+SELECT CAST(run AS INTEGER) AS run, txns AS transactions, CASE run WHEN 1 THEN txns ELSE 0 END AS new_transactions, CAST(0 AS BIGINT) AS changed, accounts, greatest(mails - 1, 0) AS gaps, CASE run WHEN 1 THEN greatest(mails - 1, 0) ELSE 0 END AS new_gaps, CAST(0 AS BIGINT) AS rejected, mails AS balances
+FROM n, range(1, 3) AS r(run)
 """,
 }

@@ -47,12 +47,14 @@ def balance_chain(txns: DataFrame) -> DataFrame:
 
     Each month of an account is summed on its own; the total of the months before is added."""
     signed = F.when(F.col("direction") == "CREDIT", F.col("amount_paisa")).otherwise(-F.col("amount_paisa"))
-    rows = txns.withColumns({"_signed": signed, "_piece": F.date_trunc("month", "occurred_at")})
-    totals = rows.groupBy("account_id", "_piece").agg(F.sum("_signed").alias("_total"))
-    before = W.partitionBy("account_id").orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select("account_id", "_piece", F.sum("_total").over(before).alias("_carried"))
-    order = W.partitionBy("account_id", "_piece").orderBy("occurred_at", "id").rowsBetween(W.unboundedPreceding, 0)
-    running = rows.withColumn("_own", F.sum("_signed").over(order)).join(carried, ["account_id", "_piece"])
+    # One key, which is equal to itself even where account or time is null: the window and the join share its partitions.
+    piece = F.struct("account_id", F.date_trunc("month", "occurred_at").alias("month"))
+    rows = txns.withColumns({"_signed": signed, "_account_piece": piece})
+    totals = rows.groupBy("_account_piece").agg(F.sum("_signed").alias("_total"))
+    before = W.partitionBy("_account_piece.account_id").orderBy("_account_piece.month").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select("_account_piece", F.sum("_total").over(before).alias("_carried"))
+    order = W.partitionBy("_account_piece").orderBy("occurred_at", "id").rowsBetween(W.unboundedPreceding, 0)
+    running = rows.withColumn("_own", F.sum("_signed").over(order)).join(carried, "_account_piece")
     balance = F.coalesce(F.col("_own") + F.col("_carried"), "_own", "_carried") + OPENING_PAISA
     return running.where("id % 97 <> 0").withColumn("balance_after_paisa", F.when(F.col("id") % 5 != 0, balance)).select(*txns.columns, "balance_after_paisa")
 

@@ -1,4 +1,4 @@
-"""Where messages come from and where rows go (SRC1-SRC4, SRC7-SRC11, SNK12, SNK14, SNK19, MRG7).
+"""Where messages come from and where rows go (SRC1-SRC4, SRC7-SRC11, SNK12, SNK19, MRG7).
 
 A mailbox here is a folder of .eml files that something else fills: network access is not
 the engine's business, the order, limit and watermark rules are."""
