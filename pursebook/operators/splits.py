@@ -13,7 +13,7 @@ def with_splits(txns: DataFrame, parts: DataFrame) -> DataFrame:
 
     parts: (txn_id, part_no, category_id, weight).  An amount is shared in proportion to the
     weights, rounded down, and what is left goes paisa by paisa to the largest remainders, of
-    equal ones to the smallest part_no, then category.  Weights below 0 or null count as 0; if
+    equal ones to the smallest part_no, then category, then the greatest weight.  Weights below 0 or null count as 0; if
     all are 0 the parts are equal.  Parts that come to nothing have no row, parts of unknown
     transactions neither.  One shuffle by id; the parts of one transaction are a few rows."""
     own = parts.select("txn_id", F.col("part_no").alias("_no"), F.col("category_id").alias("_category"), F.greatest(F.coalesce("weight", F.lit(0)), F.lit(0)).cast("decimal(19,0)").alias("_w"), F.lit(True).alias("_split"))
@@ -24,7 +24,7 @@ def with_splits(txns: DataFrame, parts: DataFrame) -> DataFrame:
     exact = F.col("amount_paisa").cast("decimal(19,0)") * F.col("_w").cast("decimal(19,0)")
     rows = rows.withColumn("_exact", exact).withColumn("_all", F.col("_all").cast("decimal(38,0)")).withColumn("_base", F.expr("_exact div _all"))
     rows = rows.withColumn("_rest", F.col("_exact") - F.col("_base").cast("decimal(19,0)") * F.col("_all").cast("decimal(19,0)"))
-    rank = F.row_number().over(of_txn.orderBy(F.desc("_rest"), "_no", "_category"))
+    rank = F.row_number().over(of_txn.orderBy(F.desc("_rest"), "_no", "_category", F.desc("_w")))
     left = F.col("amount_paisa") - F.sum("_base").over(of_txn)
     paisa = F.when(F.col("_split"), F.col("_base") + F.when(rank <= left, 1).otherwise(0)).otherwise(F.col("amount_paisa"))
     rows = rows.withColumn("amount_paisa", paisa).where(F.col("_split").isNull() | (F.col("amount_paisa") > 0))

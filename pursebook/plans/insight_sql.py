@@ -22,7 +22,7 @@ _CAT = """cat AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey + 100 AS
 _PARTS = f"""q AS (SELECT {_columns(PART_COLUMNS)} FROM lineitem WHERE l_orderkey % 3 <> 0),
  w AS (SELECT q.*, b.amount_paisa AS amount, CASE WHEN max(weight) OVER x > 0 THEN weight ELSE 1 END AS v FROM q JOIN b ON b.id = q.txn_id WINDOW x AS (PARTITION BY txn_id)),
  y AS (SELECT *, sum(v) OVER (PARTITION BY txn_id) AS total, CAST(amount AS HUGEINT) * v AS exact FROM w),
- u AS (SELECT *, exact // total AS base, row_number() OVER (PARTITION BY txn_id ORDER BY exact % total DESC, part_no, category_id) AS rank FROM y),
+ u AS (SELECT *, exact // total AS base, row_number() OVER (PARTITION BY txn_id ORDER BY exact % total DESC, part_no, category_id, v DESC) AS rank FROM y),
  p AS (SELECT txn_id, part_no, category_id, CAST(base + CASE WHEN rank <= amount - sum(base) OVER (PARTITION BY txn_id) THEN 1 ELSE 0 END AS BIGINT) AS paisa FROM u),
  sp AS (SELECT b.* REPLACE (p.category_id AS category_id, paisa AS amount_paisa), p.part_no FROM b JOIN p ON p.txn_id = b.id WHERE paisa > 0
         UNION ALL SELECT b.*, NULL FROM b WHERE id NOT IN (SELECT txn_id FROM p))"""
