@@ -19,20 +19,20 @@ def match_descriptions(txns: DataFrame, rules: DataFrame, match: Callable[[str],
     for each distinct description instead of once for each row.
 
     Descriptions are counted with map-side combine, then matched, then joined back.  The few
-    hot ones, of over one row in HOT_SHARE, are broadcast with their results, so the join
-    that is left has no key that weighs down a task.  ``match`` makes the rule of a column's
-    name; null descriptions have no rule."""
+    hot ones, of over one row in HOT_SHARE, are broadcast with their results; their rows, and
+    those without a description, are neither sent nor sorted, and the join that is left has no
+    key that weighs down a task.  ``match`` makes the rule of a column's name; null
+    descriptions have no rule."""
     find = match or (lambda column: rule_column(rules, column))
     counted = txns.where("description_raw is not null").groupBy(F.col("description_raw").alias("_text")).agg(F.count("*").alias("_n"))
     matched = counted.withColumn("_rule", find("_text"))
     least = max(1000, txns.count() // HOT_SHARE)
     hot = matched.where(F.col("_n") >= least).select(F.col("_text").alias("_hot"), F.col("_rule").alias("_hot_rule"))
     marked = txns.join(F.broadcast(hot), F.col("description_raw") == F.col("_hot"), "left")
+    settled = F.col("_hot").isNotNull() | F.col("description_raw").isNull()
     rest = matched.where(F.col("_n") < least).select("_text", "_rule")
-    # Hot rows and rows without a description look for no key.
-    key = F.when(F.col("_hot").isNull(), F.col("description_raw"))
-    joined = marked.withColumn("_key", key).join(rest, F.col("_key") == F.col("_text"), "left")
-    return joined.select(*txns.columns, F.when(F.col("_hot").isNotNull(), F.col("_hot_rule")).otherwise(F.col("_rule")).alias("rule"))
+    joined = marked.where(~settled).join(rest, F.col("description_raw") == F.col("_text"), "left").select(*txns.columns, F.col("_rule").alias("rule"))
+    return marked.where(settled).select(*txns.columns, F.col("_hot_rule").alias("rule")).unionByName(joined)
 
 
 def implied_rules(edits: DataFrame, rules: DataFrame) -> DataFrame:

@@ -90,6 +90,21 @@ def test_hot_descriptions_take_no_part_in_the_shuffled_join(spark):
     assert out.where("rule.rule_id = 1").count() == sum(i % 3 > 0 for i in range(4000)) and out.count() == 4000
 
 
+def test_hot_rows_and_rows_without_a_description_are_not_sent(spark):
+    """With broadcasts chosen by Spark switched off, as if the other descriptions were many."""
+    text = F.expr("CASE id % 4 WHEN 0 THEN NULL WHEN 3 THEN concat('x', id % 50) ELSE 'hot tea' END")
+    df = spark.range(0, 8000, 1, 8).select("id", F.lit("u").alias("user_id"), text.alias("description_raw"))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        out = bulk.match_descriptions(df, rules(spark)).where("id % 4 < 3")
+        moves = out.select(F.floor(F.col("id") / 1000).alias("was"), F.spark_partition_id().alias("now"), "rule").groupBy("was", "now").agg(F.count("*").alias("n"), F.count("rule.rule_id").alias("ruled")).collect()
+    finally:
+        spark.conf.set(key, before)
+    # The rows of each of the eight partitions are still together, and apart from the others'.
+    assert sorted((r.n, r.ruled) for r in moves) == [(750, 500)] * 8 and len({r.now for r in moves}) == 8
+
+
 def test_one_rule_for_each_description(spark):
     edits = [(1, "u", " tea (1) ", None, 5), (2, "u", "tea (1)", 4, 8), (3, "u", "tea (1)", 8, 8), (4, "u", "rent", None, 6), (5, "w", "rent", None, 1), (6, "u", "  ", None, 1), (7, "u", None, None, 1), (8, "u", "bus", 2, None)]
     got = {(r.user_id, r.description_raw): (r.pattern, r.category_id, r.n_edits, r.n_categories, r.against_rule) for r in bulk.implied_rules(spark.createDataFrame(edits, TXN), rules(spark)).collect()}
