@@ -96,6 +96,18 @@ def decide(txns: DataFrame, rules: DataFrame, classify: Callable[[Column, Column
     }).drop("rule", "model")
 
 
+def apply_rules(txns: DataFrame, rules: DataFrame) -> DataFrame:
+    """All transactions with what ``decide`` makes of those that need review, in place: as
+    ``edits.apply_decisions`` writes it back by id, without a join."""
+    review = F.coalesce(F.col("status") == "NEEDS_REVIEW", F.lit(False))
+    filed = F.col("_rule").isNotNull()
+    by_rule = lambda new, old: F.when(filed, new).otherwise(F.col(old))
+    return txns.withColumns({"_review": review, "_rule": F.when(review, rule_column(rules))}).withColumns({
+        "category_id": by_rule(F.col("_rule.category_id"), "category_id"), "category_source": by_rule(F.lit("rule"), "category_source"),
+        "category_confidence": F.when(filed, F.lit(1.0).cast("decimal(4,3)")).when(~F.col("_review"), F.col("category_confidence")), "status": by_rule(F.lit("CATEGORIZED"), "status"),
+    }).drop("_review", "_rule")
+
+
 def redecide(txns: DataFrame, rules: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, old, new_category_id, decision) for every row outside transfers.
 

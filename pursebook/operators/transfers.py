@@ -17,8 +17,12 @@ AUTO_LINK = 0.8
 LOOK_BACK_DAYS = 60
 
 
+def in_look_back(now: Column, days: int = LOOK_BACK_DAYS) -> Column:
+    return F.col("occurred_at") >= now - F.make_interval(days=F.lit(days))
+
+
 def within_look_back(txns: DataFrame, now: Column, days: int = LOOK_BACK_DAYS) -> DataFrame:
-    return txns.where(F.col("occurred_at") >= now - F.make_interval(days=F.lit(days)))
+    return txns.where(in_look_back(now, days))
 
 
 def candidate_pairs(legs: DataFrame, window_s: int = WINDOW_S) -> DataFrame:

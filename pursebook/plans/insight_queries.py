@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pursebook.functions import clock
+from pursebook.functions.keys import row_id
 from pursebook.operators import balances, budgets, bulk, categorize, edits, filters, merchants, parsing, reconcile, recurring, splits, trends, views
 from pursebook.plans import sync
 from pursebook.plans.ledger_queries import _sms as sms
@@ -182,11 +183,16 @@ def synced_twice(spark, d):
         df.write.parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def marks(df):
+        """128-bit fingerprints of the id and of the whole row, columns in their order."""
+        digest = lambda *cs: F.substring(F.unhex(row_id(*map(F.col, cs))), 1, 16)
+        return df.select(digest("id").alias("id"), digest(*sync.TXN).alias("row"))
+
     parsed = written(parsed, "parsed")
     for run in (1, 2):
-        made = sync.sync(ledger, parsed, "u", f"2026-01-0{run}")
+        made = sync.sync(ledger, parsed, "u", f"2026-01-0{run}", keep=lambda df, name: written(df, f"{name}-{run}"))  # noqa: B023
         now = sync.Ledger(*(written(getattr(made, name), f"{name}-{run}") for name in ("transactions", "accounts", "gaps")), rules)
-        changed = now.transactions.exceptAll(ledger.transactions.select(*now.transactions.columns)).join(ledger.transactions.select("id"), "id", "left_semi")
+        changed = marks(now.transactions).exceptAll(marks(ledger.transactions)).join(marks(ledger.transactions).select("id"), "id", "left_semi")
         new = [count(a) - count(b) for a, b in ((now.transactions, ledger.transactions), (now.gaps, ledger.gaps))]
         out.append((run, count(now.transactions), new[0], count(changed), count(now.accounts), count(now.gaps), new[1], count(made.rejected), count(now.transactions.where("balance_after_paisa is not null"))))
         ledger = now

@@ -5,6 +5,7 @@ inserts nothing.  Whoever calls it writes the tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pursebook.functions.clock import local_day
 from pursebook.functions.keys import row_id
-from pursebook.operators import audit, categorize, edits, merge, parsing, reconcile, transfers
+from pursebook.operators import audit, categorize, merge, parsing, reconcile, transfers
 from pursebook.operators.registry import Registry
 
 STATEMENTS = ("bank.statement_row",)
@@ -42,7 +43,8 @@ class Ledger:
 def to_transactions(parsed: DataFrame, user_id: str, accounts: DataFrame, created_at: str) -> DataFrame:
     """Parsed rows under their accounts, with ids that follow from their keys."""
     rows = parsed.withColumns({"user_id": F.lit(user_id), "mask": F.coalesce("account_mask", F.lit(""))})
-    a = accounts.select(F.col("id").alias("account_id"), "user_id", "institution", "mask")
+    # One person's accounts are few, and most rows are of one or two of them.
+    a = F.broadcast(accounts.where(F.col("user_id") == user_id).select(F.col("id").alias("account_id"), "user_id", "institution", "mask"))
     none = lambda t: F.lit(None).cast(t)
     made = rows.join(a, ["user_id", "institution", "mask"], "left").withColumns({
         "id": row_id(F.lit("txn"), F.col("user_id"), F.col("dedupe_key")), "source_message_id": F.col("message_id"), "category_id": none("string"), "category_source": none("string"), "category_confidence": none("decimal(4,3)"),
@@ -56,22 +58,27 @@ def row_fault() -> Column:
     return F.when(F.col("occurred_at").isNull(), "no time could be read").when(~F.coalesce(F.col("amount_paisa") > 0, F.lit(False)), "no positive amount could be read")
 
 
-def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str, look_back_days: int = transfers.LOOK_BACK_DAYS) -> Ledger:
-    """parsed: normalised rows of this run's messages, of all templates."""
+def sync(ledger: Ledger, parsed: DataFrame, user_id: str, now: str, look_back_days: int = transfers.LOOK_BACK_DAYS, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Ledger:
+    """parsed: normalised rows of this run's messages, of all templates.
+
+    ``keep`` (table, name) may write a table that several results read, and return what it wrote;
+    without it each result folds the ledger anew.  Only the fold sends whole transactions by key:
+    links concern rows within the look-back, gaps need no links, and rules decide row by row."""
     judged = parsed.withColumn("reason", row_fault())
     usable = judged.where("reason is null").drop("reason")
     accounts = merge.get_or_create_accounts(ledger.accounts, usable.select(F.lit(user_id).alias("user_id"), "institution", F.col("account_mask").alias("mask")))
     rows = to_transactions(usable, user_id, accounts, now)
     by_statement = F.split("dedupe_key", ":")[0].endswith("_stmt")
-    folded = merge.upsert(ledger.transactions.select(*TXN), rows.where(~by_statement), ("created_at", "occurred_at", "source_message_id"))
+    folded = keep(merge.upsert(ledger.transactions.select(*TXN), rows.where(~by_statement), ("created_at", "occurred_at", "source_message_id")), "folded")
     lines = rows.where(by_statement).withColumn("day", local_day(F.col("occurred_at")))
     known = folded.withColumn("day", local_day(F.col("occurred_at")))
     missing = audit.missing_from(lines, known, ("account_id", "day", "amount_paisa", "direction"), ("dedupe_key",)).select(*TXN)
-    txns = folded.unionByName(merge.insert_ignore(folded, missing, ("user_id", "dedupe_key"), ("id",)))
-    free = transfers.within_look_back(txns.where("transfer_group_id is null"), F.lit(now).cast("timestamp_ntz"), look_back_days)
-    txns = transfers.link(txns, transfers.scored(transfers.candidate_pairs(free)))
+    txns = folded.unionByName(keep(merge.insert_ignore(folded, missing, ("user_id", "dedupe_key"), ("id",)), "added"))
     gaps = reconcile.record_gaps(ledger.gaps, reconcile.find_gaps(txns))
-    txns = edits.apply_decisions(txns, categorize.decide(txns, ledger.rules)).select(*TXN)
+    recent = F.coalesce(transfers.in_look_back(F.lit(now).cast("timestamp_ntz"), look_back_days), F.lit(False))
+    near = txns.where(recent)
+    linked = transfers.link(near, transfers.scored(transfers.candidate_pairs(near.where("transfer_group_id is null"))))
+    txns = categorize.apply_rules(linked.unionByName(txns.where(~recent)), ledger.rules).select(*TXN)
     return Ledger(txns, accounts, gaps, ledger.rules, judged.where("reason is not null"))
 
 

@@ -1,9 +1,10 @@
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from pursebook.operators import edits
+from pursebook.operators import categorize, edits
 from pursebook.plans.sync import ACCOUNT_DDL, GAP_DDL, TXN_DDL, Ledger, parse_messages, sync
 
 BODY = "Dear Customer, Your {m} has been {v} by NPR {a} on {t}, Remarks: {r}"
@@ -37,6 +38,39 @@ def test_second_run_changes_nothing(spark, empty):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_kept_tables_are_not_folded_again(spark, empty, tmp_path):
+    rows, _ = parse_messages(inbox(spark))
+
+    def keep(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    key, before = "spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set(key, "false")
+    try:
+        # A look-back that h0 and h3, of 15 September, are outside of: they are no transfer for this run.
+        plain, kept = sync(empty, rows, "u", "2026-09-20", 4), sync(empty, rows, "u", "2026-09-20", 4, keep=keep)
+        sent = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for df in (kept.transactions, kept.gaps)]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["added", "folded"]
+    for a, b in ((plain.transactions, kept.transactions), (plain.accounts, kept.accounts), (plain.gaps, kept.gaps)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert {r.source_message_id: (r.transfer_group_id, r.category_id) for r in kept.transactions.collect()} == {"h0": (None, None), "h1": (None, "cash"), "h3": (None, None)}
+    assert sent[0] <= 6 and sent[1] <= 4, sent
+
+
+def test_rules_in_place_are_decisions_written_back(spark, empty):
+    status, texts = ("NEEDS_REVIEW", "CATEGORIZED", "CONFIRMED", None), ("ATM WDL 1", "rent", "tea", None)
+    rows = [(i, texts[i // 4 % 4], "old" if i % 3 else None, "user", Decimal("0.500"), status[i % 4], 5, "DEBIT") for i in range(48)]
+    df = spark.createDataFrame(rows, "id int, description_raw string, category_id string, category_source string, category_confidence decimal(4,3), status string, amount_paisa long, direction string")
+    want = edits.apply_decisions(df, categorize.decide(df, empty.rules)).select(*df.columns)
+    got = categorize.apply_rules(df, empty.rules)
+    assert got.columns == df.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    none = empty.rules.where("false")
+    assert sorted(map(str, categorize.apply_rules(df, none).collect())) == sorted(map(str, edits.apply_decisions(df, categorize.decide(df, none)).select(*df.columns).collect()))
+
+
 def test_statement_adds_only_what_is_missing(spark, empty):
     rows, _ = parse_messages(inbox(spark))
     one = cached(sync(empty, rows, "u", "2026-09-20"), spark)
