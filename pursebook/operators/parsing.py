@@ -206,10 +206,20 @@ class _Tables(HTMLParser):
             self.rows[-1][-1] += data
 
 
+#: A mail whose first table with a border has only bare rows and cells without references, after text and paragraphs.
+BARE_TABLE = re.compile(r'[^<]*+(?:</?p>[^<]*+)*+<table border="1">((?:\s*<tr>(?:\s*<t[dh]>[^<&]*</t[dh]>)*\s*</tr>)*)\s*</table>')
+BARE_CELL = re.compile(r"<t[dh]>([^<]*)<")
+
+
 def table_of(html: str) -> list[dict[str, str]]:
-    reader = _Tables()
-    reader.feed(html or "")
-    rows = [[" ".join(c.split()) for c in r] for r in reader.rows if r]
+    """Most mails are as plain as their templates, and read by two patterns; the others are parsed."""
+    if bare := BARE_TABLE.match(html or ""):
+        found = [BARE_CELL.findall(r) for r in bare[1].split("</tr>")]
+    else:
+        reader = _Tables()
+        reader.feed(html or "")
+        found = reader.rows
+    rows = [[" ".join(c.split()) for c in r] for r in found if r]
     return [dict(zip(rows[0], r)) for r in rows[1:] if len(r) == len(rows[0])] if rows else []
 
 
@@ -253,14 +263,19 @@ def parse_mail_tables(tables: DataFrame, account_mask: str | None = None) -> Dat
     key, mask = F.col("template_key"), F.lit(account_mask).cast("string")
     bank = key == "nabil.txn_alert"
     when_ = c("Transaction Date", "Transaction Time")
-    at = F.coalesce(*[parse_local(when_, k) for k in ("nabil.txn_alert", "esewa.fund_load", "plain")])
+    # The one format that a text of such marks can have: a failed attempt costs an exception.
+    colons = F.length(when_) - F.length(F.replace(when_, F.lit(":"), F.lit("")))
+    at = F.when(when_.contains(","), parse_local(when_, "esewa.fund_load")).when(colons == 1, parse_local(when_, "nabil.txn_alert")).otherwise(parse_local(when_, "plain"))
     amount, remarks = parse_subunit(F.regexp_replace(c("Transaction Amount"), r"(?i)npr|rs\.?", "")), F.coalesce(c("Remarks"), c("Bank Name", "Merchant Name"))
     direction = F.when(bank, F.upper(c("Transaction Type"))).when(key == "esewa.fund_load", "CREDIT").otherwise("DEBIT")
-    reference = c("Reference Code", "Transaction Code")
+    rows = tables.where(key.isin("nabil.txn_alert", "esewa.fund_load", "esewa.payment_success")).select(
+        "message_id", "template_key", at.alias("at"), amount.alias("amount"), remarks.alias("remarks"), direction.alias("way"), c("Reference Code", "Transaction Code").alias("code"), c("Available Balance").alias("left"), c("Bank Name", "Merchant Name").alias("other"),
+    )
+    at, amount, remarks, direction, reference, other = map(F.col, ("at", "amount", "remarks", "way", "code", "other"))
     return _normalized(
-        tables.where(key.isin("nabil.txn_alert", "esewa.fund_load", "esewa.payment_success")), "message_id", template_key=key, institution=F.when(bank, "NABIL").otherwise("ESEWA"), account_mask=F.when(bank, canonical_mask(mask)),
-        occurred_at=utc_of(at), occurred_precision=F.when(bank, "MINUTE").otherwise("SECOND"), direction=direction, amount_paisa=amount, balance_after_paisa=F.when(bank, parse_subunit(c("Available Balance"))), reference=F.when(~bank, reference),
-        description_raw=remarks, counterparty=F.when(~bank, c("Bank Name", "Merchant Name")), channel=F.when(bank, channel_of(remarks)).when(key == "esewa.fund_load", "WALLET_LOAD").otherwise("WALLET_PAYMENT"),
+        rows, "message_id", template_key=key, institution=F.when(bank, "NABIL").otherwise("ESEWA"), account_mask=F.when(bank, canonical_mask(mask)),
+        occurred_at=utc_of(at), occurred_precision=F.when(bank, "MINUTE").otherwise("SECOND"), direction=direction, amount_paisa=amount, balance_after_paisa=F.when(bank, parse_subunit(F.col("left"))), reference=F.when(~bank, reference),
+        description_raw=remarks, counterparty=F.when(~bank, other), channel=F.when(bank, channel_of(remarks)).when(key == "esewa.fund_load", "WALLET_LOAD").otherwise("WALLET_PAYMENT"),
         dedupe_key=F.when(bank, account_key(mask, at, direction, amount, remarks)).otherwise(F.concat(F.lit("esewa:"), reference)),
     )
 

@@ -80,11 +80,13 @@ class Registry:
             made, ran = out if made is None else made.unionByName(out), ran + keys
         return made, ran
 
-    def parse(self, messages: DataFrame, **cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(normalised rows, outcomes of all messages but the pending ones)."""
+    def parse(self, messages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows, **cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(normalised rows, outcomes of all messages but the pending ones).  ``keep`` may write the
+        rows and return what it wrote; without it whoever uses both reads the messages twice."""
         routed = self.route(messages)
         made, ran = self.rows(routed, **cells)
         if made is None:
             raise ValueError("no parser can run")
+        made = keep(made)
         done = routed.where(F.col("template_key").isNull() | F.col("template_key").isin(*ran))
         return made, self.outcomes(done, made, self.id_col)

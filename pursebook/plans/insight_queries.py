@@ -112,6 +112,11 @@ def foreign_card_mails(spark, d):
     return rows.select("message_id", "template_key", "parser_version", "amount_paisa", "currency", "counterparty", "description_raw")
 
 
+def _written(df, path):
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def payment_mails(spark, d):
     """PAR6 and PAR11: wallet payments, some without a code, some whose amount cannot be read; with what became of each mail."""
     t = src.transactions(spark, d)
@@ -122,7 +127,7 @@ def payment_mails(spark, d):
         cell("td", F.date_format(clock.local(F.col("occurred_at")), "yyyy-MM-dd HH:mm:ss"), amount, F.concat(F.lit("P"), F.col("id").cast("string")), F.concat(F.lit("Shop "), (F.col("id") % 13).cast("string"))), F.lit("</table>"),
     )
     mails = t.select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("message_id"), F.when(F.col("id") % 7 == 0, "x@example.org").otherwise("no-reply@esewa.com.np").alias("from_addr"), F.lit("x").alias("subject"), F.lit("").alias("text"), html.alias("html"))
-    rows, outcomes = parsing.mail_parsers().parse(mails)
+    rows, outcomes = parsing.mail_parsers().parse(mails, keep=lambda made: _written(made, f"{ingest.shared_folder(spark, 'payments')}/rows"))
     rows = rows.withColumnRenamed("message_id", "_m").drop("template_key")
     return outcomes.join(rows, F.col("message_id") == F.col("_m"), "left").select("message_id", "status", "error", "occurred_at", "direction", "amount_paisa", "reference", "counterparty", "channel", "dedupe_key")
 
@@ -178,10 +183,7 @@ def synced_twice(spark, d):
     rules = src.rules(spark).withColumn("category_id", F.col("category_id").cast("string"))
     ledger, out = sync.Ledger(empty(sync.TXN_DDL), empty(sync.ACCOUNT_DDL), empty(sync.GAP_DDL), rules), []
     folder, count = ingest.shared_folder(spark, "synced"), lambda df: df.count()
-
-    def written(df, name):
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    written = lambda df, name: _written(df, f"{folder}/{name}")
 
     def marks(df):
         """128-bit fingerprints of the id and of the whole row, columns in their order."""

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -95,3 +96,47 @@ def test_config(tmp_path):
 def test_html_table_without_border_or_rows():
     assert parsing.table_of("<table><tr><td>x</td></tr></table>") == [] and parsing.table_of("") == []
     assert parsing.table_of('<table border="1"><tr><th>A<th>B</tr><tr><td>1<td>2</tr></table>') == [{"A": "1", "B": "2"}]
+
+
+def parsed_table(html):
+    """What the parser alone makes of a mail."""
+    reader = parsing._Tables()
+    reader.feed(html)
+    rows = [[" ".join(c.split()) for c in r] for r in reader.rows if r]
+    return [dict(zip(rows[0], r)) for r in rows[1:] if len(r) == len(rows[0])] if rows else []
+
+
+def test_plain_tables_need_no_parser(monkeypatch):
+    """Mails of random pieces read as the parser alone reads them; plain ones are read without it."""
+    pieces = ["<p>", "</p>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<table border="1">', "</table>", "<table>", " a ", "b  c", "&amp;", "&", "<br>", "<!-- <tr> -->", "<TD>", "<script>", "\n", "<td class='x'>", "é<", ">"]
+    rng = random.Random(7)
+    cell = lambda: rng.choice(["<td>x</td>", "<th> y  z</th>", "<td></td>", "<td>1 &lt; 2</td>", "<td>a>b</th>", " <td>\n</td>", "<td><b>x</b></td>"])
+    row = lambda: "<tr>" + "".join(cell() for _ in range(rng.randint(0, 3))) + "</tr>"
+    for i in range(6000):
+        html = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) if i % 2 else "Hi &amp <p>x</p>" + '<table border="1">' + "".join(row() for _ in range(rng.randint(0, 4))) + "</table>" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))
+        assert parsing.table_of(html) == parsed_table(html), html
+    monkeypatch.setattr(parsing, "_Tables", None)
+    assert parsing.table_of('<p>Hi</p><table border="1"><tr><th>A</th><th>B</th></tr>\n<tr><td>1 </td><td>x  y</td></tr></table><b>') == [{"A": "1", "B": "x y"}]
+
+
+def test_each_format_of_a_table_is_tried_once(spark):
+    times = {"2026-01-02 10:30": datetime(2026, 1, 2, 4, 45), "2026-01-02 10:30:05": datetime(2026, 1, 2, 4, 45, 5), "2 Jan 2026, 10:30:05 PM": datetime(2026, 1, 2, 16, 45, 5), "2026-01-02": None, "1:2:3:4": None, "soon, 1": None, "": None, "2026-01-02T10:30": None}
+    keys = ("nabil.txn_alert", "esewa.fund_load", "esewa.payment_success")
+    rows = [(f"{i} {k}", k, {"Transaction Date": t, "Transaction Amount": "Rs. 5.00"}) for i, t in enumerate(times) for k in keys] + [("none", keys[0], {})]
+    made = parsing.parse_mail_tables(spark.createDataFrame(rows, "message_id string, template_key string, cells map<string,string>"))
+    want = {f"{i} {k}": t for i, t in enumerate(times.values()) for k in keys} | {"none": None}
+    assert {r.message_id: r.occurred_at for r in made.collect()} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") <= 3
+
+
+def test_rows_that_are_kept_are_parsed_once(spark, tmp_path):
+    def keep(made):
+        made.write.parquet(str(tmp_path / "rows"))
+        return spark.read.schema(made.schema).parquet(str(tmp_path / "rows"))
+
+    table = '<p>Transaction Alert</p><table border="1"><tr><th>Transaction Date</th><th>Transaction Type</th><th>Transaction Amount</th></tr><tr><td>2026-01-02 10:30</td><td>Debit</td><td>5.00</td></tr></table>'
+    mails = spark.createDataFrame([(f"m{i}", "a@nabilbank.com", "x", "Transaction Alert", table) for i in range(4)], "message_id string, from_addr string, subject string, text string, html string")
+    rows, outcomes = parsing.mail_parsers("00134567").parse(mails, keep=keep)
+    both = outcomes.join(rows, "message_id")
+    assert sorted((r.message_id, r.status) for r in both.collect()) == [(f"m{i}", "PARSED") for i in range(4)]
+    assert "MapInArrow" not in both._jdf.queryExecution().executedPlan().toString()
