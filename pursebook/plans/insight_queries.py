@@ -157,8 +157,10 @@ def events_streamed_twice(spark, d):
         ingest.ingest(events, folder, f"{folder}-{checkpoint}", parse).awaitTermination()
         added = [f"{folder}/deltas/stream={s}/batch={n}" for s, n in set(ingest.deltas(spark, folder, {})) - before]
         parsed = spark.read.schema(shape).parquet(*added).count() if added else 0
+        # Folded once: what is counted, and where gaps are looked for, is the new base.
+        ingest.compact(spark, folder, shape)
         ledger = ingest.read_ledger(spark, folder, shape)
-        found = reconcile.record_gaps(gaps if gaps is not None else spark.createDataFrame([], GAPS), reconcile.find_gaps(ledger))
+        found = _written(reconcile.record_gaps(gaps if gaps is not None else spark.createDataFrame([], GAPS), reconcile.find_gaps(ledger)), f"{folder}-gaps-{run}")
         now = (ledger.count(), found.count())
         out.append((run, parsed, now[0], now[0] - (rows or (0, 0))[0], now[1], now[1] - (rows or (0, 0))[1]))
         rows, gaps = now, found

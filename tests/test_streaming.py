@@ -119,3 +119,12 @@ def test_events_streamed_twice_are_new_once(spark):
     for r in (again, fresh):
         assert (r.ledger_rows, r.gaps, r.new_rows, r.new_gaps) == (first.ledger_rows, first.gaps, 0, 0)
     assert (again.parsed, fresh.parsed) == (0, first.parsed)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_gaps_are_looked_for_in_a_ledger_that_is_folded_already(spark, monkeypatch):
+    plans, find = [], insight_queries.reconcile.find_gaps
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(insight_queries.reconcile, "find_gaps", lambda rows: (plans.append(plan(rows)), find(rows))[1])
+    assert insight_queries.events_streamed_twice(spark, "/root/testdata/sf0.001").count() == 3
+    assert len(plans) == 3 and not any("Exchange" in p for p in plans)
